@@ -148,9 +148,9 @@ _PARTS: dict[str, str] = {
         FROM (SELECT doc_id, corpus_id, {_spaced("text")} AS t FROM docs) d
         JOIN (SELECT query_id, {_spaced("text")} AS t FROM asked) q ON contains(d.t, q.t)
         LEFT JOIN labels l ON l.doc_id = d.doc_id""",
-    "turns": "SELECT *, conv_id || '-' || turn AS at FROM conversations",
-    "users": "SELECT 'u' || at AS query_id, conv_id, turn, text FROM turns WHERE role = 'user'",
-    "replies": "SELECT 'a' || at AS corpus_id, conv_id, turn, text, '' AS title FROM turns WHERE role = 'assistant'",
+    "turns": "SELECT *, conv_id || '-' || turn AS turn_id FROM conversations",
+    "users": "SELECT 'u' || turn_id AS query_id, conv_id, turn, text FROM turns WHERE role = 'user'",
+    "replies": "SELECT 'a' || turn_id AS corpus_id, conv_id, turn, text, '' AS title FROM turns WHERE role = 'assistant'",
     "pairs": """
         SELECT query_id, corpus_id, u.text AS query, r.text AS gt
         FROM users u JOIN replies r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1""",
@@ -458,10 +458,8 @@ _SELECTS: dict[str, str] = {
         FROM (SELECT query_id, sum(CASE WHEN support > 0 THEN support * (tp / support) ELSE 0 END) / sum(support) AS v FROM classes GROUP BY query_id)
         UNION ALL SELECT 'macro', 'recall@{TOP}', round(avg(v), 6)
         FROM (SELECT query_id, avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END) AS v FROM classes GROUP BY query_id)
-        UNION ALL SELECT 'none', 'recall@{TOP}[' || l || ']', round(avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END), 6)
-        FROM (SELECT id AS query_id, unnest(range(0, 10)) AS l FROM vectors) LEFT JOIN classes c USING (query_id)
-        WHERE c.label = l OR NOT EXISTS (SELECT 1 FROM classes x WHERE x.query_id = c.query_id AND x.label = l) AND c.label = (
-            SELECT min(label) FROM classes y WHERE y.query_id = c.query_id) GROUP BY l""",
+        UNION ALL SELECT 'none', 'recall@{TOP}[' || l || ']', round(coalesce(sum(tp / support), 0) / (SELECT count(*) FROM vectors), 6)
+        FROM (SELECT unnest(range(0, 10)) AS l) LEFT JOIN (SELECT * FROM classes WHERE support > 0) ON label = l GROUP BY l""",
     "lexical_experiment": _report("reply_metrics"),
     "dense_experiment": _report("dense_metrics"),
     "constrained_experiment": _report("beam_metrics"),
