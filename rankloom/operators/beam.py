@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS
 from rankloom.functions.tokens import START_ID, TERMINAL, cut_at_pad, prefix_hashes
-from rankloom.operators.prefix import KEY, build_prefix_index, distinct_paths, read_prefix_index, sequence_documents, write_prefix_index
+from rankloom.operators.prefix import KEY, distinct_paths, read_prefix_index, sequence_documents, write_prefix_index
 from rankloom.session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits, scratch_path
 
 SMOOTHING = 0.1
 QUERY_BONUS = 2.0
 _MEAN_DIGITS = 9
+# Paths that share no more than this many first ids with another need no deeper look.
+_NEAR = 8
 
 # (log-probability of the transition, token, ids of the query) -> score of the step
 Scorer = Callable[[Column, Column, Column], Column]
@@ -43,38 +45,94 @@ def bigram_scores(sequences: DataFrame, smoothing: float = SMOOTHING) -> DataFra
     return pairs.join(totals, "prev").select("prev", "token", F.log(share).alias("logp"))
 
 
+def branch_edges(sequences: DataFrame) -> DataFrame:
+    """Edges between the places where stored sequences part.
+
+    One row per branching prefix and next token: ``label`` holds the ids from there to the
+    next branching, or to the end of the only sequence left (``leaf``). A search has a
+    choice at branchings only, and there are fewer of them than sequences. A sequence that
+    continues beyond the end of another one is left out: a search stops at the first end.
+
+    Prefixes are compared at depth 8 first, and only sequences that are still together
+    there are taken apart into all their prefixes.
+    """
+    paths = distinct_paths(sequences).select("tokens")
+    n1, n2 = prefix_hashes(F.col("tokens"), F.lit(_NEAR))
+    near = paths.withColumn("n1", n1).withColumn("n2", n2)
+    groups = near.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n_near"))
+    depth_limit = F.when(F.col("n_near") > 1, F.size("tokens")).otherwise(F.least(F.size("tokens"), F.lit(_NEAR)))
+    h1, h2 = prefix_hashes(F.col("tokens"), F.col("depth"))
+    spread = (
+        near.join(groups, ["n1", "n2"])
+        .select("tokens", F.explode(F.sequence(F.lit(1), depth_limit)).alias("depth"))
+        .select("tokens", "depth", h1.alias("h1"), h2.alias("h2"), F.coalesce(F.get("tokens", F.col("depth")), F.lit(TERMINAL)).alias("token"))
+    )
+    branchings = (
+        spread.groupBy(*KEY)
+        .agg(F.min("token").alias("least"), F.max("token").alias("most"))
+        .filter(F.col("least") != F.col("most"))
+        .select(*KEY, (F.col("least") == TERMINAL).alias("stop"))
+    )
+    # The start is always a place to begin from, branching or not.
+    found = (
+        spread.filter(F.col("depth") == 1)
+        .select("tokens", "depth", F.lit(False).alias("stop"))
+        .unionByName(spread.join(branchings, KEY).select("tokens", "depth", "stop"))
+    )
+    n = F.size("tokens")
+    on_path = (
+        found.groupBy("tokens")
+        .agg(F.array_sort(F.collect_set("depth")).alias("starts"), F.max(F.col("stop") & (F.col("depth") < n)).alias("shadowed"))
+        .filter(~F.col("shadowed"))
+        # A whole sequence that others continue is a branching too, at its own end.
+        .select("tokens", F.filter("starts", lambda d: d < F.size("tokens")).alias("starts"))
+    )
+    until = F.coalesce(F.get("starts", F.col("at") + 1), n)
+    return (
+        on_path.select("tokens", "starts", F.posexplode("starts").alias("at", "depth"))
+        .select(
+            "depth",
+            h1.alias("h1"),
+            h2.alias("h2"),
+            F.get("tokens", F.col("depth") - 1).alias("prev"),
+            F.slice("tokens", F.col("depth") + 1, until - F.col("depth")).alias("label"),
+            (until == n).alias("leaf"),
+        )
+        .distinct()
+    )
+
+
+BRANCH_SCHEMA = "prev int, token int, h1 long, h2 long, label array<int>, leaf boolean, logp double, depth int"
+
+
 @dataclass(frozen=True)
 class SearchIndex:
-    """Stored tables of a search: edges with ``logp``, distinct sequences, transitions."""
+    """Stored tables of a search: branch edges with their first step's score, and all transitions."""
 
     edges: DataFrame
-    paths: DataFrame
     bigrams: DataFrame
 
 
 def write_search_index(sequences: DataFrame, path: str, files_per_depth: int = 1) -> SearchIndex:
-    """Build and store the three tables; the edges carry their transition's score."""
     spark = sequences.sparkSession
-    distinct_paths(sequences).select("tokens").write.mode("overwrite").parquet(f"{path}/paths")
     bigram_scores(sequences).write.mode("overwrite").parquet(f"{path}/bigrams")
     bigrams = spark.read.parquet(f"{path}/bigrams")
-    edges = build_prefix_index(sequences).filter(F.col("token") != TERMINAL)
-    write_prefix_index(edges.join(bigrams, ["prev", "token"], "left"), f"{path}/edges", files_per_depth)
+    edges = branch_edges(sequences).withColumn("token", F.get("label", F.lit(0)))
+    write_prefix_index(edges.join(bigrams, ["prev", "token"]), f"{path}/edges", files_per_depth)
     return read_search_index(spark, path)
 
 
 def read_search_index(spark, path: str) -> SearchIndex:
-    return SearchIndex(
-        read_prefix_index(spark, f"{path}/edges"),
-        spark.read.parquet(f"{path}/paths"),
-        spark.read.parquet(f"{path}/bigrams"),
-    )
+    return SearchIndex(read_prefix_index(spark, f"{path}/edges", BRANCH_SCHEMA), spark.read.parquet(f"{path}/bigrams"))
+
+
+def stored_search_index(sequences: DataFrame, files_per_depth: int = 1) -> SearchIndex:
+    """A search index in fresh shared scratch space."""
+    return write_search_index(sequences, scratch_path(sequences.sparkSession, "search-index"), files_per_depth)
 
 
-def _with_settled(state: DataFrame) -> DataFrame:
-    """A query is settled when no open beam has a choice left: every one is on a lone path."""
-    choosing = ~F.col("ends") & (F.col("n_paths") > 1)
-    return state.withColumn("settled", ~F.max(choosing).over(W.partitionBy("query_id")))
+_PENDING = "array<struct<token:int,step:double>>"
+_STATE = ["query_id", "query_tokens", "tokens", "total", "ends", "leaf", "pending"]
 
 
 def _mean() -> Column:
@@ -87,33 +145,40 @@ def _best(beams: DataFrame, num_beams: int) -> DataFrame:
     return beams.withColumn("rank", rank).filter(F.col("rank") <= num_beams)
 
 
-def _finish(open_beams: DataFrame, index: SearchIndex, scorer: Scorer, longest: int, small: bool) -> DataFrame:
-    """Complete beams that have one path left, in one pass instead of step by step."""
-    h1, h2 = prefix_hashes(F.col("tokens"), F.size("tokens"))
-    keyed = open_beams.select(
-        "query_id", "query_tokens", "total", F.col("tokens").alias("begun"), F.size("tokens").alias("depth"), h1.alias("h1"), h2.alias("h2")
-    )
-    depths = sorted(row["depth"] for row in keyed.select("depth").distinct().collect())
-    if not depths:
-        return open_beams.select("query_id", "tokens", "total")
-    p1, p2 = prefix_hashes(F.col("tokens"), F.col("depth"))
-    prefixes = (
-        index.paths.select(F.slice("tokens", 1, longest).alias("tokens"))
-        .withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths])))
-        .filter(F.col("depth") < F.size("tokens"))
-        .withColumn("h1", p1)
-        .withColumn("h2", p2)
+def _consume(state: DataFrame, n: Column, max_steps: int) -> DataFrame:
+    """Move every beam ``n`` of its pending steps forward, and mark those at an end."""
+    steps = F.slice("pending", F.lit(1), F.col("_n"))
+    moved = state.withColumn("_n", F.greatest(F.least(n, F.size("pending"), max_steps + 1 - F.size("tokens")), F.lit(0)))
+    return moved.select(
+        "query_id",
+        "query_tokens",
+        F.concat("tokens", F.transform(steps, lambda s: s["token"])).alias("tokens"),
+        F.aggregate(steps, F.col("total"), lambda t, s: t + s["step"]).alias("total"),
+        "ends",
+        "leaf",
+        F.slice("pending", F.col("_n") + 1, F.size("pending")).alias("pending"),
+    ).withColumn("ends", _at_end(max_steps))
+
+
+def _at_end(max_steps: int) -> Column:
+    return F.col("ends") | (F.col("leaf") & (F.size("pending") == 0)) | (F.size("tokens") > max_steps)
+
+
+def _attach_steps(beams: DataFrame, bigrams: DataFrame, scorer: Scorer, small: bool) -> DataFrame:
+    """Scores of the ids in ``rest``, as ``pending``. Beams are few; the transitions stay in place."""
+    keys = ["query_id", "tokens"]
+    prev = F.when(F.col("i") == 0, F.element_at("tokens", -1)).otherwise(F.get("rest", F.col("i") - 1))
+    steps = beams.filter(F.size("rest") > 0).select(*keys, "query_tokens", "rest", F.posexplode("rest").alias("i", "token")).select(
+        *keys, "query_tokens", "i", prev.alias("prev"), "token"
     )
-    whole = prefixes.join(F.broadcast(keyed) if small else keyed, KEY).filter(
-        F.slice("tokens", 1, F.col("depth")) == F.col("begun")
+    scored = bigrams.join(F.broadcast(steps) if small else steps, ["prev", "token"]).select(
+        *keys, F.struct("i", "token", scorer(F.col("logp"), F.col("token"), F.col("query_tokens")).alias("step")).alias("s")
     )
-    steps = whole.select(
-        "query_id", "query_tokens", "tokens", "total", F.explode(F.sequence(F.col("depth"), F.size("tokens") - 1)).alias("i")
-    ).select("*", F.get("tokens", F.col("i") - 1).alias("prev"), F.get("tokens", F.col("i")).alias("token"))
-    scored = steps.join(index.bigrams, ["prev", "token"]).withColumn(
-        "step", scorer(F.col("logp"), F.col("token"), F.col("query_tokens"))
+    pending = scored.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["token"].alias("token"), s["step"].alias("step"))).alias("fresh")
     )
-    return scored.groupBy("query_id", "tokens").agg((F.first("total") + F.sum("step")).alias("total"))
+    pending = F.broadcast(pending) if small else pending
+    return beams.join(pending, keys, "left").withColumn("pending", F.coalesce("fresh", "pending")).drop("fresh", "rest")
 
 
 def constrained_beam_search(
@@ -125,49 +190,64 @@ def constrained_beam_search(
 ) -> DataFrame:
     """``(query_id, rank, tokens, score)``: the best stored sequences of each query.
 
-    ``queries`` is ``(query_id, tokens)``. All queries take a step together: one join of
-    their beams with the edges of one depth, then a cut to ``num_beams`` by mean step
-    score. Complete sequences stay in the table and compete with the open ones. A query
-    whose open beams have no choice left leaves the loop, as nothing can be cut any more;
-    those beams are completed together at the end. The driver sees one flag per step.
+    ``queries`` is ``(query_id, tokens)``. Beams are cut to ``num_beams`` by mean step
+    score after every step at which a query has more than it may keep. Complete sequences
+    stay in the table and compete with the open ones.
+
+    Between two branchings nothing can be cut, so each round moves the beams of a query
+    straight to its next branching, and takes the one step there by a join with the branch
+    edges. A query whose open beams have no branching left is complete. The rounds are as
+    many as the branchings a query meets, not as the ids of a sequence. The driver sees the
+    depths in use (at most ``max_steps`` numbers) and one flag per round.
     """
     scorer = scorer or query_bonus_scorer()
-    state = queries.select(
-        "query_id",
-        F.array_distinct("tokens").alias("query_tokens"),
-        F.array(F.lit(START_ID)).alias("tokens"),
-        F.lit(0.0).alias("total"),
-        F.lit(False).alias("ends"),
-        F.lit(2).cast("bigint").alias("n_paths"),
-        F.lit(False).alias("settled"),
+    state = cut_lineage(
+        queries.select(
+            "query_id",
+            F.array_distinct("tokens").alias("query_tokens"),
+            F.array(F.lit(START_ID)).alias("tokens"),
+            F.lit(0.0).alias("total"),
+            F.lit(False).alias("ends"),
+            F.lit(False).alias("leaf"),
+            F.array().cast(_PENDING).alias("pending"),
+        )
     )
-    state = cut_lineage(state)
-    small = fits(state, BROADCAST_ROWS // num_beams, BROADCAST_BYTES // (2 * num_beams))
-    keep = ["query_id", "query_tokens", "tokens", "total", "ends", "n_paths"]
-    for depth in range(1, max_steps + 1):
-        moving = ~F.col("ends") & ~F.col("settled")
+    # What a round joins is bounded by the queries, the beams and the steps.
+    small = fits(state, BROADCAST_ROWS // (num_beams * max_steps), BROADCAST_BYTES // (num_beams * max_steps))
+    state = state.withColumn("rest", F.array().cast("array<int>"))
+    searching = ~F.col("ends") & ~F.col("leaf")
+    branches = searching & (F.size("pending") == 0)
+    while True:
+        scored = _attach_steps(state, index.bigrams, scorer, small).withColumn("ends", _at_end(max_steps))
+        to_branching = F.min(F.when(searching, F.size("pending"))).over(W.partitionBy("query_id"))
+        ready = cut_lineage(_consume(scored, F.coalesce(to_branching, F.size("pending")), max_steps))
+        # Depths differ between queries; the folders of the others are not read.
+        depths = [row["d"] for row in ready.filter(branches).select(F.size("tokens").alias("d")).distinct().collect()]
+        if not depths:
+            break
         h1, h2 = prefix_hashes(F.col("tokens"), F.size("tokens"))
-        beams = state.filter(moving).select("query_id", "query_tokens", "tokens", "total", h1.alias("h1"), h2.alias("h2"))
-        edges = index.edges.filter(F.col("depth") == depth).select("h1", "h2", "token", "logp", "ends", "n_paths")
-        longer = edges.join(F.broadcast(beams) if small else beams, ["h1", "h2"]).select(
+        at_branch = ready.filter(branches).select(
+            "query_id", "query_tokens", "tokens", "total", F.size("tokens").alias("depth"), h1.alias("h1"), h2.alias("h2")
+        )
+        edges = index.edges.filter(F.col("depth").isin(depths)).select(*KEY, "label", "leaf", "token", "logp")
+        grown = edges.join(F.broadcast(at_branch) if small else at_branch, KEY).select(
             "query_id",
             "query_tokens",
             F.concat("tokens", F.array("token")).alias("tokens"),
             (F.col("total") + scorer(F.col("logp"), F.col("token"), F.col("query_tokens"))).alias("total"),
-            "ends",
-            "n_paths",
+            F.lit(False).alias("ends"),
+            "leaf",
+            F.array().cast(_PENDING).alias("pending"),
+            F.slice("label", 2, F.size("label")).alias("rest"),
         )
-        kept = _best(longer.unionByName(state.filter(~moving).select(*keep)), num_beams).select(*keep)
-        state = cut_lineage(_with_settled(kept))
-        if state.filter(moving).isEmpty():
-            break
-    lone = ~F.col("ends") & F.col("settled") & (F.size("tokens") <= max_steps)
-    columns = ["query_id", "tokens", "total"]
-    # What is still open after the last step is returned as it is; it matches no document.
-    done = state.filter(~lone).select(*columns)
-    finished = _finish(state.filter(lone), index, scorer, max_steps + 1, small).select(*columns)
-    result = _best(done.unionByName(finished), num_beams)
-    return result.select("query_id", "rank", "tokens", _mean().alias("score"))
+        # One step for the others too, unless the whole query is through.
+        still = F.max(F.when(branches, 1).otherwise(0)).over(W.partitionBy("query_id"))
+        others = _consume(ready.withColumn("_still", still).filter(~branches), F.col("_still"), max_steps)
+        kept = _best(grown.unionByName(others.withColumn("rest", F.array().cast("array<int>"))), num_beams)
+        state = cut_lineage(kept.select(*_STATE, "rest"))
+    state = ready
+    done = _best(state.select("query_id", "tokens", "total"), num_beams)
+    return done.select("query_id", "rank", "tokens", _mean().alias("score"))
 
 
 def beams_to_run(beams: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -178,8 +258,3 @@ def beams_to_run(beams: DataFrame, sequences: DataFrame) -> DataFrame:
         .groupBy("query_id", "corpus_id")
         .agg(F.max("score").alias("score"))
     )
-
-
-def stored_search_index(sequences: DataFrame, files_per_depth: int = 1) -> SearchIndex:
-    """A search index in fresh shared scratch space."""
-    return write_search_index(sequences, scratch_path(sequences.sparkSession, "search-index"), files_per_depth)

@@ -37,6 +37,7 @@ class LexicalIndex:
 
 
 _POSTING = ["corpus_id", "field", "term", "dl"]
+POSTING_SCHEMA = "corpus_id string, field string, term string, dl int, tf long, bucket int"
 
 
 def bm25_index(corpus: DataFrame, fields: tuple[str, ...] = FIELDS, analyze: Callable[[Column], Column] = word_tokens) -> LexicalIndex:
@@ -71,7 +72,8 @@ def write_bm25_index(index: LexicalIndex, path: str, buckets: int = 64) -> None:
 
 
 def read_bm25_index(spark, path: str, fields: tuple[str, ...] = FIELDS) -> LexicalIndex:
-    return LexicalIndex(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/stats"), tuple(fields))
+    postings = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings").drop("bucket")
+    return LexicalIndex(postings, spark.read.parquet(f"{path}/stats"), tuple(fields))
 
 
 def bm25_search(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.tokens import START_ID, TERMINAL, prefix_hashes
 
 KEY = ["depth", "h1", "h2"]
+EDGE_SCHEMA = "h1 long, h2 long, prev int, token int, n_seq long, n_paths long, ends boolean, depth int"
 _EDGE = [*KEY, "prev", "token"]
 
 
@@ -213,8 +214,9 @@ def write_prefix_index(edges: DataFrame, path: str, files_per_depth: int = 1) ->
     edges.repartition("depth", part).write.mode("overwrite").partitionBy("depth").parquet(path)
 
 
-def read_prefix_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_prefix_index(spark, path: str, schema: str = EDGE_SCHEMA) -> DataFrame:
+    """The schema is given, not inferred: an empty index has no file to read it from."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def index_path(root: str, task: str, max_length: int, generator: str, chunked: bool) -> str:

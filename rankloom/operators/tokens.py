@@ -17,17 +17,23 @@ _HEAD_TOKENS = 400_000
 _HEAD_CHARS = 40
 
 
-def build_vocab(texts: DataFrame, id_col: str = "corpus_id", text_col: str = "text") -> DataFrame:
+def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``(token, token_id, n, df)``: ids dense from 3, frequent tokens first, ties by token.
 
     0 is the start and pad id, 1 the end id, 2 stands for tokens outside the vocabulary.
     """
-    per_doc = (
-        texts.select(id_col, F.explode(whitespace_tokens(F.col(text_col))).alias("token"))
-        .groupBy(id_col, "token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    tokens = whitespace_tokens(F.col(text_col))
+    # Every occurrence counts for n, the distinct tokens of a text for df: one aggregation.
+    both = F.array(
+        F.struct(tokens.alias("tokens"), F.lit(1).alias("n"), F.lit(0).alias("df")),
+        F.struct(F.array_distinct(tokens).alias("tokens"), F.lit(0).alias("n"), F.lit(1).alias("df")),
+    )
+    counts = (
+        texts.select(F.explode(both).alias("b"))
+        .select("b.n", "b.df", F.explode("b.tokens").alias("token"))
+        .groupBy("token")
+        .agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     )
-    counts = per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
     return number_all(counts, [F.desc("n"), F.asc("token")], "token_id", FIRST_TOKEN_ID).select(
         "token", F.col("token_id").cast("int").alias("token_id"), "n", "df"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import WHITESPACE, spaced
 from rankloom.operators.ordering import number_within
+from rankloom.session import spread
 from rankloom.sources.collection import Collection
 
 _ID_BLOCK = 1_000_000
@@ -16,9 +17,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    return spread(table(spark, root, "documents").select("doc_id", "text"))
+
+
 def documents_corpus(spark: SparkSession, root: str) -> DataFrame:
     """``documents`` as a corpus: the first line is the title, the whole text the text."""
-    return table(spark, root, "documents").select(
+    return documents(spark, root).select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("corpus_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text"),
@@ -60,7 +65,7 @@ def containing_documents(documents: DataFrame, passages: DataFrame) -> DataFrame
 
 def passage_qrels(spark: SparkSession, root: str, graded: bool = False) -> DataFrame:
     """A document containing the passage is relevant: grade 1, or 1 + quality where labelled."""
-    pairs = containing_documents(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    pairs = containing_documents(documents(spark, root), table(spark, root, "benchmark"))
     if graded:
         quality = table(spark, root, "labels").select("doc_id", "quality")
         pairs = pairs.join(quality, "doc_id", "left").withColumn("relevance", 1 + F.coalesce("quality", F.lit(0)))
