@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from rankloom.session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits,
 SMOOTHING = 0.1
 QUERY_BONUS = 2.0
 _MEAN_DIGITS = 9
+# Sequences ahead of a beam that its query may bring into one group for the last steps.
+_FEW = 32
 # Paths that share no more than this many first ids with another need no deeper look.
 _NEAR = 8
 
@@ -45,16 +49,12 @@ def bigram_scores(sequences: DataFrame, smoothing: float = SMOOTHING) -> DataFra
     return pairs.join(totals, "prev").select("prev", "token", F.log(share).alias("logp"))
 
 
-def branch_edges(sequences: DataFrame) -> DataFrame:
-    """Edges between the places where stored sequences part.
-
-    One row per branching prefix and next token: ``label`` holds the ids from there to the
-    next branching, or to the end of the only sequence left (``leaf``). A search has a
-    choice at branchings only, and there are fewer of them than sequences. A sequence that
-    continues beyond the end of another one is left out: a search stops at the first end.
+def search_paths(sequences: DataFrame) -> DataFrame:
+    """``(tokens, starts)``: sequences a search can reach, with the depths where they part from others.
 
-    Prefixes are compared at depth 8 first, and only sequences that are still together
-    there are taken apart into all their prefixes.
+    A sequence that continues beyond the end of another one is left out: a search stops at
+    the first end. Prefixes are compared at depth 8 first, and only sequences that are
+    still together there are taken apart into all their prefixes.
     """
     paths = distinct_paths(sequences).select("tokens")
     n1, n2 = prefix_hashes(F.col("tokens"), F.lit(_NEAR))
@@ -79,37 +79,49 @@ def branch_edges(sequences: DataFrame) -> DataFrame:
         .select("tokens", "depth", F.lit(False).alias("stop"))
         .unionByName(spread.join(branchings, KEY).select("tokens", "depth", "stop"))
     )
-    n = F.size("tokens")
-    on_path = (
+    return (
         found.groupBy("tokens")
-        .agg(F.array_sort(F.collect_set("depth")).alias("starts"), F.max(F.col("stop") & (F.col("depth") < n)).alias("shadowed"))
+        .agg(F.array_sort(F.collect_set("depth")).alias("starts"), F.max(F.col("stop") & (F.col("depth") < F.size("tokens"))).alias("shadowed"))
         .filter(~F.col("shadowed"))
         # A whole sequence that others continue is a branching too, at its own end.
         .select("tokens", F.filter("starts", lambda d: d < F.size("tokens")).alias("starts"))
     )
-    until = F.coalesce(F.get("starts", F.col("at") + 1), n)
+
+
+def branch_edges(paths: DataFrame) -> DataFrame:
+    """Edges between the places where stored sequences part.
+
+    One row per branching prefix and next token: ``label`` holds the ids from there to the
+    next branching, or to the end of the only sequence left, and ``n_paths`` counts the
+    sequences behind it. A search has a choice at branchings only, and there are fewer of
+    them than sequences.
+    """
+    h1, h2 = prefix_hashes(F.col("tokens"), F.col("depth"))
+    until = F.coalesce(F.get("starts", F.col("at") + 1), F.size("tokens"))
     return (
-        on_path.select("tokens", "starts", F.posexplode("starts").alias("at", "depth"))
+        paths.select("tokens", "starts", F.posexplode("starts").alias("at", "depth"))
         .select(
             "depth",
             h1.alias("h1"),
             h2.alias("h2"),
             F.get("tokens", F.col("depth") - 1).alias("prev"),
             F.slice("tokens", F.col("depth") + 1, until - F.col("depth")).alias("label"),
-            (until == n).alias("leaf"),
         )
-        .distinct()
+        .groupBy(*KEY, "prev", "label")
+        .agg(F.count(F.lit(1)).alias("n_paths"))
     )
 
 
-BRANCH_SCHEMA = "prev int, token int, h1 long, h2 long, label array<int>, leaf boolean, logp double, depth int"
+BRANCH_SCHEMA = "prev int, token int, h1 long, h2 long, label array<int>, n_paths long, logp double, depth int"
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Stored tables of a search: branch edges with their first step's score, and all transitions."""
+    """Stored tables of a search: branch edges with their first step's score, the sequences
+    within reach, and the score of every transition."""
 
     edges: DataFrame
+    paths: DataFrame
     bigrams: DataFrame
 
 
@@ -117,13 +129,18 @@ def write_search_index(sequences: DataFrame, path: str, files_per_depth: int = 1
     spark = sequences.sparkSession
     bigram_scores(sequences).write.mode("overwrite").parquet(f"{path}/bigrams")
     bigrams = spark.read.parquet(f"{path}/bigrams")
-    edges = branch_edges(sequences).withColumn("token", F.get("label", F.lit(0)))
+    search_paths(sequences).write.mode("overwrite").parquet(f"{path}/paths")
+    edges = branch_edges(spark.read.parquet(f"{path}/paths")).withColumn("token", F.get("label", F.lit(0)))
     write_prefix_index(edges.join(bigrams, ["prev", "token"]), f"{path}/edges", files_per_depth)
     return read_search_index(spark, path)
 
 
 def read_search_index(spark, path: str) -> SearchIndex:
-    return SearchIndex(read_prefix_index(spark, f"{path}/edges", BRANCH_SCHEMA), spark.read.parquet(f"{path}/bigrams"))
+    return SearchIndex(
+        read_prefix_index(spark, f"{path}/edges", BRANCH_SCHEMA),
+        spark.read.parquet(f"{path}/paths"),
+        spark.read.parquet(f"{path}/bigrams"),
+    )
 
 
 def stored_search_index(sequences: DataFrame, files_per_depth: int = 1) -> SearchIndex:
@@ -132,7 +149,9 @@ def stored_search_index(sequences: DataFrame, files_per_depth: int = 1) -> Searc
 
 
 _PENDING = "array<struct<token:int,step:double>>"
-_STATE = ["query_id", "query_tokens", "tokens", "total", "ends", "leaf", "pending"]
+_NO_IDS = "array<int>"
+_STATE = ["query_id", "query_tokens", "tokens", "total", "ends", "n_paths", "pending", "rest"]
+_OPEN_ENDED = 1 << 62
 
 
 def _mean() -> Column:
@@ -145,6 +164,11 @@ def _best(beams: DataFrame, num_beams: int) -> DataFrame:
     return beams.withColumn("rank", rank).filter(F.col("rank") <= num_beams)
 
 
+def _at_end(max_steps: int) -> Column:
+    through = (F.col("n_paths") == 1) & (F.size("pending") == 0) & (F.size("rest") == 0)
+    return F.col("ends") | through | (F.size("tokens") > max_steps)
+
+
 def _consume(state: DataFrame, n: Column, max_steps: int) -> DataFrame:
     """Move every beam ``n`` of its pending steps forward, and mark those at an end."""
     steps = F.slice("pending", F.lit(1), F.col("_n"))
@@ -155,30 +179,99 @@ def _consume(state: DataFrame, n: Column, max_steps: int) -> DataFrame:
         F.concat("tokens", F.transform(steps, lambda s: s["token"])).alias("tokens"),
         F.aggregate(steps, F.col("total"), lambda t, s: t + s["step"]).alias("total"),
         "ends",
-        "leaf",
+        "n_paths",
         F.slice("pending", F.col("_n") + 1, F.size("pending")).alias("pending"),
+        "rest",
     ).withColumn("ends", _at_end(max_steps))
 
 
-def _at_end(max_steps: int) -> Column:
-    return F.col("ends") | (F.col("leaf") & (F.size("pending") == 0)) | (F.size("tokens") > max_steps)
-
+def _scored_steps(beams: DataFrame, bigrams: DataFrame, scorer: Scorer, small: bool) -> DataFrame:
+    """``(query_id, tokens, rest, steps)``: the scores of the ids in ``rest``, which follow ``tokens``.
 
-def _attach_steps(beams: DataFrame, bigrams: DataFrame, scorer: Scorer, small: bool) -> DataFrame:
-    """Scores of the ids in ``rest``, as ``pending``. Beams are few; the transitions stay in place."""
-    keys = ["query_id", "tokens"]
+    Beams are few; the transitions stay in place.
+    """
+    keys = ["query_id", "tokens", "rest"]
     prev = F.when(F.col("i") == 0, F.element_at("tokens", -1)).otherwise(F.get("rest", F.col("i") - 1))
-    steps = beams.filter(F.size("rest") > 0).select(*keys, "query_tokens", "rest", F.posexplode("rest").alias("i", "token")).select(
-        *keys, "query_tokens", "i", prev.alias("prev"), "token"
+    steps = (
+        beams.filter(F.size("rest") > 0)
+        .select(*keys, "query_tokens", F.posexplode("rest").alias("i", "token"))
+        .select(*keys, "query_tokens", "i", prev.alias("prev"), "token")
     )
     scored = bigrams.join(F.broadcast(steps) if small else steps, ["prev", "token"]).select(
         *keys, F.struct("i", "token", scorer(F.col("logp"), F.col("token"), F.col("query_tokens")).alias("step")).alias("s")
     )
-    pending = scored.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["token"].alias("token"), s["step"].alias("step"))).alias("fresh")
+    pairs = F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["token"].alias("token"), s["step"].alias("step")))
+    return scored.groupBy(*keys).agg(pairs.alias("steps"))
+
+
+def _with_active(state: DataFrame) -> DataFrame:
+    """A query goes on while one of its open beams has more than ``_FEW`` sequences ahead."""
+    ahead = F.max(F.when(~F.col("ends"), F.col("n_paths"))).over(W.partitionBy("query_id"))
+    return state.withColumn("active", F.coalesce(ahead > _FEW, F.lit(False)))
+
+
+def _complete(state: DataFrame, index: SearchIndex, num_beams: int, max_steps: int, scorer: Scorer, small: bool) -> DataFrame:
+    """The last steps of queries with few sequences ahead, query by query.
+
+    A query brings at most ``num_beams`` times ``_FEW`` sequences, so it fits in one task;
+    there its beams are cut step by step among those sequences.
+    """
+    h1, h2 = prefix_hashes(F.col("tokens"), F.size("tokens"))
+    begun = state.filter(~F.col("ends")).select(
+        "query_id", "query_tokens", "total", "tokens", F.size("tokens").alias("depth"), h1.alias("h1"), h2.alias("h2")
     )
-    pending = F.broadcast(pending) if small else pending
-    return beams.join(pending, keys, "left").withColumn("pending", F.coalesce("fresh", "pending")).drop("fresh", "rest")
+    depths = [row["depth"] for row in begun.select("depth").distinct().collect()]
+    ended = state.filter("ends").select("query_id", "total", "tokens", F.array().cast(_PENDING).alias("steps"))
+    if depths:
+        p1, p2 = prefix_hashes(F.col("path"), F.col("depth"))
+        places = (
+            index.paths.select(F.slice("tokens", 1, max_steps + 1).alias("path"), F.explode(F.array(*map(F.lit, depths))).alias("depth"))
+            .filter(F.col("depth") < F.size("path"))
+            .withColumn("h1", p1)
+            .withColumn("h2", p2)
+        )
+        ahead = (
+            places.join(F.broadcast(begun) if small else begun, KEY)
+            .filter(F.slice("path", 1, F.col("depth")) == F.col("tokens"))
+            .select("query_id", "query_tokens", "total", "tokens", F.slice("path", F.col("depth") + 1, F.size("path")).alias("rest"))
+            .distinct()
+        )
+        ahead = cut_lineage(ahead)
+        few_steps = small and fits(ahead, BROADCAST_ROWS // max_steps, BROADCAST_BYTES)
+        steps = _scored_steps(ahead, index.bigrams, scorer, few_steps)
+        going = ahead.drop("rest", "query_tokens").distinct().join(steps, ["query_id", "tokens"])
+        ended = ended.unionByName(going.select(*ended.columns))
+
+    def last_steps(frame: pd.DataFrame) -> pd.DataFrame:
+        heads = [tuple(t) for t in frame["tokens"]]
+        paths = [head + tuple(s["token"] for s in steps) for head, steps in zip(heads, frame["steps"])]
+        sums = [
+            list(itertools.accumulate((s["step"] for s in steps), initial=total))
+            for total, steps in zip(frame["total"], frame["steps"])
+        ]
+        alive = range(len(paths))
+        for size in range(min(map(len, heads)) + 1, max(map(len, paths)) + 1):
+            beams: dict[tuple, list[int]] = {}
+            for at in alive:
+                beams.setdefault(paths[at][:size], []).append(at)
+            if len(beams) > num_beams:
+
+                def place(prefix: tuple) -> tuple:
+                    at = beams[prefix][0]
+                    total = sums[at][max(len(prefix) - len(heads[at]), 0)]
+                    return -round(total / max(len(prefix) - 1, 1), _MEAN_DIGITS), prefix
+
+                alive = [at for prefix in sorted(beams, key=place)[:num_beams] for at in beams[prefix]]
+        whole = {paths[at]: sums[at][-1] for at in alive}
+        return pd.DataFrame(
+            {
+                "query_id": [frame["query_id"].iloc[0]] * len(whole),
+                "tokens": [list(path) for path in whole],
+                "total": list(whole.values()),
+            }
+        )
+
+    return ended.groupBy("query_id").applyInPandas(last_steps, "query_id string, tokens array<int>, total double")
 
 
 def constrained_beam_search(
@@ -196,9 +289,9 @@ def constrained_beam_search(
 
     Between two branchings nothing can be cut, so each round moves the beams of a query
     straight to its next branching, and takes the one step there by a join with the branch
-    edges. A query whose open beams have no branching left is complete. The rounds are as
-    many as the branchings a query meets, not as the ids of a sequence. The driver sees the
-    depths in use (at most ``max_steps`` numbers) and one flag per round.
+    edges. A query with few sequences ahead of every open beam leaves the rounds, and the
+    last steps of all those queries are taken together, each query in one small group. The
+    driver sees the depths in use, at most ``max_steps`` numbers a round.
     """
     scorer = scorer or query_bonus_scorer()
     state = cut_lineage(
@@ -208,46 +301,54 @@ def constrained_beam_search(
             F.array(F.lit(START_ID)).alias("tokens"),
             F.lit(0.0).alias("total"),
             F.lit(False).alias("ends"),
-            F.lit(False).alias("leaf"),
+            F.lit(_OPEN_ENDED).alias("n_paths"),
             F.array().cast(_PENDING).alias("pending"),
+            F.array().cast(_NO_IDS).alias("rest"),
+            F.lit(True).alias("active"),
         )
     )
     # What a round joins is bounded by the queries, the beams and the steps.
     small = fits(state, BROADCAST_ROWS // (num_beams * max_steps), BROADCAST_BYTES // (num_beams * max_steps))
-    state = state.withColumn("rest", F.array().cast("array<int>"))
-    searching = ~F.col("ends") & ~F.col("leaf")
+    searching = ~F.col("ends") & (F.col("n_paths") > 1)
     branches = searching & (F.size("pending") == 0)
     while True:
-        scored = _attach_steps(state, index.bigrams, scorer, small).withColumn("ends", _at_end(max_steps))
+        beams = state.filter("active").select(*_STATE)
+        steps = _scored_steps(beams, index.bigrams, scorer, small)
+        scored = (
+            beams.join(F.broadcast(steps) if small else steps, ["query_id", "tokens", "rest"], "left")
+            .withColumn("pending", F.coalesce("steps", "pending"))
+            .withColumn("rest", F.array().cast(_NO_IDS))
+        )
         to_branching = F.min(F.when(searching, F.size("pending"))).over(W.partitionBy("query_id"))
         ready = cut_lineage(_consume(scored, F.coalesce(to_branching, F.size("pending")), max_steps))
         # Depths differ between queries; the folders of the others are not read.
         depths = [row["d"] for row in ready.filter(branches).select(F.size("tokens").alias("d")).distinct().collect()]
+        waiting = state.filter(~F.col("active"))
         if not depths:
+            state = waiting.select(*_STATE).unionByName(ready)
             break
         h1, h2 = prefix_hashes(F.col("tokens"), F.size("tokens"))
         at_branch = ready.filter(branches).select(
             "query_id", "query_tokens", "tokens", "total", F.size("tokens").alias("depth"), h1.alias("h1"), h2.alias("h2")
         )
-        edges = index.edges.filter(F.col("depth").isin(depths)).select(*KEY, "label", "leaf", "token", "logp")
+        edges = index.edges.filter(F.col("depth").isin(depths)).select(*KEY, "label", "n_paths", "token", "logp")
         grown = edges.join(F.broadcast(at_branch) if small else at_branch, KEY).select(
             "query_id",
             "query_tokens",
             F.concat("tokens", F.array("token")).alias("tokens"),
             (F.col("total") + scorer(F.col("logp"), F.col("token"), F.col("query_tokens"))).alias("total"),
             F.lit(False).alias("ends"),
-            "leaf",
+            "n_paths",
             F.array().cast(_PENDING).alias("pending"),
             F.slice("label", 2, F.size("label")).alias("rest"),
         )
-        # One step for the others too, unless the whole query is through.
+        # The other beams of a query take one step meanwhile, unless none of it branches.
         still = F.max(F.when(branches, 1).otherwise(0)).over(W.partitionBy("query_id"))
         others = _consume(ready.withColumn("_still", still).filter(~branches), F.col("_still"), max_steps)
-        kept = _best(grown.unionByName(others.withColumn("rest", F.array().cast("array<int>"))), num_beams)
-        state = cut_lineage(kept.select(*_STATE, "rest"))
-    state = ready
-    done = _best(state.select("query_id", "tokens", "total"), num_beams)
-    return done.select("query_id", "rank", "tokens", _mean().alias("score"))
+        kept = _best(grown.unionByName(others), num_beams).select(*_STATE).withColumn("ends", _at_end(max_steps))
+        state = cut_lineage(_with_active(kept).unionByName(waiting))
+    finished = _complete(state, index, num_beams, max_steps, scorer, small)
+    return _best(finished, num_beams).select("query_id", "rank", "tokens", _mean().alias("score"))
 
 
 def beams_to_run(beams: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import WHITESPACE, spaced
 from rankloom.operators.ordering import number_within
-from rankloom.session import spread
+from rankloom.session import cut_lineage, spread
 from rankloom.sources.collection import Collection
 
 _ID_BLOCK = 1_000_000
@@ -65,7 +65,8 @@ def containing_documents(documents: DataFrame, passages: DataFrame) -> DataFrame
 
 def passage_qrels(spark: SparkSession, root: str, graded: bool = False) -> DataFrame:
     """A document containing the passage is relevant: grade 1, or 1 + quality where labelled."""
-    pairs = containing_documents(documents(spark, root), table(spark, root, "benchmark"))
+    # Judgements are an input that jobs read more than once, so they are derived once.
+    pairs = cut_lineage(containing_documents(documents(spark, root), table(spark, root, "benchmark")))
     if graded:
         quality = table(spark, root, "labels").select("doc_id", "quality")
         pairs = pairs.join(quality, "doc_id", "left").withColumn("relevance", 1 + F.coalesce("quality", F.lit(0)))
