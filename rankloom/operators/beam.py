@@ -33,12 +33,14 @@ def query_bonus_scorer(bonus: float = QUERY_BONUS) -> Scorer:
     return lambda logp, token, query_tokens: logp + F.when(F.array_contains(query_tokens, token), bonus).otherwise(0.0)
 
 
-def bigram_scores(sequences: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
-    """``(prev, token, logp)``: smoothed log-probability of each transition of the corpus."""
+def bigram_scores(paths: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+    """``(prev, token, logp)``: smoothed log-probability of each transition of the corpus.
+
+    ``paths`` is ``(tokens, n_seq)``, as ``distinct_paths`` gives it.
+    """
     position = F.explode(F.sequence(F.lit(1), F.size("tokens") - 1)).alias("i")
     steps = (
-        distinct_paths(sequences)
-        .filter(F.size("tokens") > 1)
+        paths.filter(F.size("tokens") > 1)
         .select("n_seq", "tokens", position)
         .select(F.get("tokens", F.col("i") - 1).alias("prev"), F.get("tokens", F.col("i")).alias("token"), "n_seq")
     )
@@ -49,16 +51,15 @@ def bigram_scores(sequences: DataFrame, smoothing: float = SMOOTHING) -> DataFra
     return pairs.join(totals, "prev").select("prev", "token", F.log(share).alias("logp"))
 
 
-def search_paths(sequences: DataFrame) -> DataFrame:
+def search_paths(paths: DataFrame) -> DataFrame:
     """``(tokens, starts)``: sequences a search can reach, with the depths where they part from others.
 
     A sequence that continues beyond the end of another one is left out: a search stops at
     the first end. Prefixes are compared at depth 8 first, and only sequences that are
     still together there are taken apart into all their prefixes.
     """
-    paths = distinct_paths(sequences).select("tokens")
     n1, n2 = prefix_hashes(F.col("tokens"), F.lit(_NEAR))
-    near = paths.withColumn("n1", n1).withColumn("n2", n2)
+    near = paths.select("tokens").withColumn("n1", n1).withColumn("n2", n2)
     groups = near.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n_near"))
     depth_limit = F.when(F.col("n_near") > 1, F.size("tokens")).otherwise(F.least(F.size("tokens"), F.lit(_NEAR)))
     h1, h2 = prefix_hashes(F.col("tokens"), F.col("depth"))
@@ -127,9 +128,10 @@ class SearchIndex:
 
 def write_search_index(sequences: DataFrame, path: str, files_per_depth: int = 1) -> SearchIndex:
     spark = sequences.sparkSession
-    bigram_scores(sequences).write.mode("overwrite").parquet(f"{path}/bigrams")
+    distinct = cut_lineage(distinct_paths(sequences))
+    bigram_scores(distinct).write.mode("overwrite").parquet(f"{path}/bigrams")
     bigrams = spark.read.parquet(f"{path}/bigrams")
-    search_paths(sequences).write.mode("overwrite").parquet(f"{path}/paths")
+    search_paths(distinct).write.mode("overwrite").parquet(f"{path}/paths")
     edges = branch_edges(spark.read.parquet(f"{path}/paths")).withColumn("token", F.get("label", F.lit(0)))
     write_prefix_index(edges.join(bigrams, ["prev", "token"]), f"{path}/edges", files_per_depth)
     return read_search_index(spark, path)

@@ -14,7 +14,7 @@ from rankloom.functions.text import fill_prompt
 from rankloom.functions.tokens import START_ID, cut_at_pad, frame_sequence, truncate_tokens
 from rankloom.operators import beam, dense, evaluation, generation, lexical, list_metrics, prefix, rewriting, tokens
 from rankloom.plans import experiments
-from rankloom.session import scratch_path
+from rankloom.session import cut_lineage, scratch_path
 from rankloom.sources import collection as files
 from rankloom.sources import store
 from rankloom.sources import tables
@@ -59,6 +59,12 @@ def _sequences(spark: SparkSession, root: str) -> DataFrame:
     return tokens.framed(tokens.truncated(_encoded(spark, root)[0]))
 
 
+def _stored_sequences(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Sequences for a job that reads them more than once, and the vocabulary."""
+    encoded, vocab = _encoded(spark, root)
+    return cut_lineage(tokens.framed(tokens.truncated(encoded))), vocab
+
+
 def _reply_sequences(spark: SparkSession, root: str, vocab: DataFrame) -> DataFrame:
     replies = tables.reply_collection(spark, root).corpus
     return tokens.framed(tokens.truncated(tokens.encode_tokens(replies, vocab)))
@@ -390,8 +396,7 @@ def _probes(spark: SparkSession, root: str, sequences: DataFrame, vocab: DataFra
 
 
 def _allowed(spark: SparkSession, root: str) -> DataFrame:
-    encoded, vocab = _encoded(spark, root)
-    sequences = tokens.framed(tokens.truncated(encoded))
+    sequences, vocab = _stored_sequences(spark, root)
     return prefix.next_tokens(prefix.build_prefix_index(sequences), _probes(spark, root, sequences, vocab))
 
 
@@ -409,7 +414,7 @@ def next_tokens_policy(spark: SparkSession, root: str) -> Query:
 
 
 def sequence_documents(spark: SparkSession, root: str) -> Query:
-    sequences = _sequences(spark, root).withColumn("ord", F.substring("corpus_id", 2, 20).cast("bigint"))
+    sequences = _stored_sequences(spark, root)[0].withColumn("ord", F.substring("corpus_id", 2, 20).cast("bigint"))
     outputs = sequences.groupBy("tokens").agg(F.min("ord").alias("sequence_id"))
     out = [
         prefix.sequence_documents(outputs, sequences, which).select(F.lit(which).alias("which"), "sequence_id", "corpus_id")
@@ -420,8 +425,7 @@ def sequence_documents(spark: SparkSession, root: str) -> Query:
 
 def add_sequences(spark: SparkSession, root: str) -> Query:
     """Replies added to an index of the documents."""
-    encoded, vocab = _encoded(spark, root)
-    sequences = tokens.framed(tokens.truncated(encoded))
+    sequences, vocab = _stored_sequences(spark, root)
     added = _reply_sequences(spark, root, vocab)
     return _edge_rows(prefix.add_sequences(prefix.build_prefix_index(sequences), sequences, added))
 
@@ -436,8 +440,7 @@ def index_length(spark: SparkSession, root: str) -> Query:
 
 def append_index(spark: SparkSession, root: str) -> Query:
     """An index of replies behind the end id of an index of documents."""
-    encoded, vocab = _encoded(spark, root)
-    sequences = tokens.framed(tokens.truncated(encoded))
+    sequences, vocab = _stored_sequences(spark, root)
     replies = _reply_sequences(spark, root, vocab)
     inside = _probes(spark, root, sequences, vocab)
     last = F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 2).cast("int"))
@@ -456,7 +459,7 @@ def shared_sequences(spark: SparkSession, root: str) -> Query:
 def shadowed_documents(spark: SparkSession, root: str) -> Query:
     """Without end ids, where a short document can be the beginning of a longer one."""
     plain = tokens.framed(tokens.truncated(_encoded(spark, root)[0], MAX_LENGTH, None))
-    return prefix.shadowed_documents(plain)
+    return prefix.shadowed_documents(cut_lineage(plain))
 
 
 def prefix_fanout(spark: SparkSession, root: str) -> Query:
@@ -511,8 +514,7 @@ def encode_vectors(spark: SparkSession, root: str) -> Query:
 
 
 def _beams(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    encoded, vocab = _encoded(spark, root)
-    sequences = tokens.framed(tokens.truncated(encoded))
+    sequences, vocab = _stored_sequences(spark, root)
     asked = tokens.encode_tokens(tables.passage_queries(spark, root), vocab, "query_id")
     return beam.constrained_beam_search(beam.stored_search_index(sequences), asked), sequences
 
@@ -530,7 +532,7 @@ def beams_to_run(spark: SparkSession, root: str) -> Query:
 
 def unmatched_sequences(spark: SparkSession, root: str) -> Query:
     """Document sequences cut at the input cap, looked up among those cut at ``MAX_LENGTH``."""
-    encoded, _ = _encoded(spark, root)
+    encoded = cut_lineage(_encoded(spark, root)[0])
     stored = tokens.framed(tokens.truncated(encoded))
     outputs = encoded.select("corpus_id", frame_sequence(truncate_tokens(F.col("tokens"), INPUT_CAP)).alias("tokens"))
     return prefix.unmatched_sequences(outputs, stored).select("corpus_id", F.size("tokens").cast("bigint").alias("n_tokens"))

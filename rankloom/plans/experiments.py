@@ -94,7 +94,7 @@ def constrained_experiment(
 ) -> DataFrame:
     """Search by generating stored sequences only; same report as the other retrievers."""
     vocab = build_vocab(collection.corpus)
-    sequences = corpus_sequences(collection.corpus, vocab, max_length, chunk)
+    sequences = cut_lineage(corpus_sequences(collection.corpus, vocab, max_length, chunk))
     queries = judged_queries(collection.queries, collection.qrels)
     if max_gen is not None:
         queries = limit_queries(queries, max_gen)

@@ -122,7 +122,7 @@ def test_beam_search_equals_stepwise_search(spark, monkeypatch, num_beams, max_s
             data.append((f"e{i}", [0, *body, dice.choice([3, 4])]))
     sequences = spark.createDataFrame(data, SEQS)
     queries = [("q1", [3, 9]), ("q2", [4, 5]), ("q3", [])]
-    scores = {(r["prev"], r["token"]): r["logp"] for r in beam.bigram_scores(sequences).collect()}
+    scores = {(r["prev"], r["token"]): r["logp"] for r in beam.bigram_scores(prefix.distinct_paths(sequences)).collect()}
     found = beam.constrained_beam_search(
         beam.stored_search_index(sequences),
         spark.createDataFrame(queries, "query_id string, tokens array<int>"),
