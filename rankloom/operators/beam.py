@@ -126,14 +126,14 @@ class SearchIndex:
     bigrams: DataFrame
 
 
-def write_search_index(sequences: DataFrame, path: str, files_per_depth: int = 1) -> SearchIndex:
+def write_search_index(sequences: DataFrame, path: str) -> SearchIndex:
     spark = sequences.sparkSession
     distinct = cut_lineage(distinct_paths(sequences))
     bigram_scores(distinct).write.mode("overwrite").parquet(f"{path}/bigrams")
     bigrams = spark.read.parquet(f"{path}/bigrams")
     search_paths(distinct).write.mode("overwrite").parquet(f"{path}/paths")
     edges = branch_edges(spark.read.parquet(f"{path}/paths")).withColumn("token", F.get("label", F.lit(0)))
-    write_prefix_index(edges.join(bigrams, ["prev", "token"]), f"{path}/edges", files_per_depth)
+    write_prefix_index(edges.join(bigrams, ["prev", "token"]), f"{path}/edges")
     return read_search_index(spark, path)
 
 
@@ -145,9 +145,9 @@ def read_search_index(spark, path: str) -> SearchIndex:
     )
 
 
-def stored_search_index(sequences: DataFrame, files_per_depth: int = 1) -> SearchIndex:
+def stored_search_index(sequences: DataFrame) -> SearchIndex:
     """A search index in fresh shared scratch space."""
-    return write_search_index(sequences, scratch_path(sequences.sparkSession, "search-index"), files_per_depth)
+    return write_search_index(sequences, scratch_path(sequences.sparkSession, "search-index"))
 
 
 _PENDING = "array<struct<token:int,step:double>>"

@@ -60,11 +60,14 @@ def _count(occurrences: DataFrame) -> DataFrame:
 
 
 def write_bm25_index(index: LexicalIndex, path: str, buckets: int = 64) -> None:
-    """Parquet, postings in folders by term bucket and sorted by term inside a file."""
+    """Parquet, postings in folders by term bucket and sorted by term inside a file.
+
+    Rebalancing splits the bucket of a frequent term over as many tasks as it needs.
+    """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     (
         index.postings.withColumn("bucket", bucket)
-        .repartition("bucket", F.pmod(F.xxhash64("corpus_id"), F.lit(4)))
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )

@@ -208,10 +208,12 @@ def prefix_fanout(edges: DataFrame) -> DataFrame:
     )
 
 
-def write_prefix_index(edges: DataFrame, path: str, files_per_depth: int = 1) -> None:
-    """Parquet in one folder per depth, so that a search step reads a single depth."""
-    part = F.pmod("h1", F.lit(files_per_depth))
-    edges.repartition("depth", part).write.mode("overwrite").partitionBy("depth").parquet(path)
+def write_prefix_index(edges: DataFrame, path: str) -> None:
+    """Parquet in one folder per depth, so that a search step reads a single depth.
+
+    Rebalancing gives a depth as many tasks and files as its rows need.
+    """
+    edges.hint("rebalance", "depth").write.mode("overwrite").partitionBy("depth").parquet(path)
 
 
 def read_prefix_index(spark, path: str, schema: str = EDGE_SCHEMA) -> DataFrame:
@@ -224,8 +226,8 @@ def index_path(root: str, task: str, max_length: int, generator: str, chunked: b
     return f"{root}/task={task}/max_length={max_length}/generator={generator}/chunked={str(chunked).lower()}"
 
 
-def prefix_index(spark, path: str, build, create: bool, files_per_depth: int = 1) -> DataFrame:
+def prefix_index(spark, path: str, build, create: bool) -> DataFrame:
     """Build and store the index, or reload the stored one."""
     if create:
-        write_prefix_index(build(), path, files_per_depth)
+        write_prefix_index(build(), path)
     return read_prefix_index(spark, path)

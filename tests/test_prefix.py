@@ -83,7 +83,7 @@ def test_append_index(spark, small):
 def test_index_round_trip(spark, small, tmp_path, rows):
     edges = prefix.build_prefix_index(small)
     path = prefix.index_path(str(tmp_path), "t", 4, "g", False)
-    stored = prefix.prefix_index(spark, path, lambda: edges, create=True, files_per_depth=2)
+    stored = prefix.prefix_index(spark, path, lambda: edges, create=True)
     assert rows(stored.select(sorted(stored.columns))) == rows(edges.select(sorted(edges.columns)))
     again = prefix.prefix_index(spark, path, None, create=False)
     assert again.filter("depth = 1").count() == 2
