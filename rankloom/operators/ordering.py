@@ -46,7 +46,7 @@ def number_all(df: DataFrame, order: list[Column], out: str, start: int = 0) ->
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range partition: small by construction.
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    shifts = cut_lineage(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     return (
         placed.join(F.broadcast(shifts), "_part")
         .withColumn(out, (F.col("_before") + F.col("_row") + start).cast("bigint"))

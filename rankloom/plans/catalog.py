@@ -405,7 +405,7 @@ def next_tokens(spark: SparkSession, root: str) -> Query:
 
 
 def next_tokens_policy(spark: SparkSession, root: str) -> Query:
-    allowed = _allowed(spark, root)
+    allowed = cut_lineage(_allowed(spark, root))
     out = [
         prefix.next_tokens_policy(allowed, policy).select(F.lit(policy).alias("policy"), "probe_id", _long("token"))
         for policy in ("pass", "stop")
@@ -471,7 +471,7 @@ def prefix_fanout(spark: SparkSession, root: str) -> Query:
 
 def zero_fill(spark: SparkSession, root: str) -> Query:
     filled = evaluation.zero_fill(
-        _bm25_run(spark, root, TOP), tables.passage_queries(spark, root), tables.documents_corpus(spark, root)
+        cut_lineage(_bm25_run(spark, root, TOP)), tables.passage_queries(spark, root), tables.documents_corpus(spark, root)
     )
     return filled.select("query_id", "corpus_id", _rounded("score").alias("score"))
 
@@ -592,7 +592,7 @@ def _hit_lists(spark: SparkSession, root: str) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "hit"))), lambda x: x["hit"])
     zeros = F.array_repeat(F.lit(0), TOP)
     ones = F.array_repeat(F.lit(1), F.col("n_judged").cast("int"))
-    return (
+    return cut_lineage(
         flags.groupBy("query_id")
         .agg(listed.alias("hits"))
         .join(judged, "query_id")
@@ -637,9 +637,10 @@ def _neighbour_labels(spark: SparkSession, root: str) -> DataFrame:
     run = dense.dense_search_dot(vectors, vectors, TOP + 1)
     labelled = run.join(vectors.select(F.col("id").alias("corpus_id"), "label"), "corpus_id")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"])
-    return labelled.groupBy("query_id").agg(listed.alias("labels")).select(
+    lists = labelled.groupBy("query_id").agg(listed.alias("labels")).select(
         "query_id", F.slice("labels", 2, TOP).alias("predictions"), F.slice("labels", 1, TOP).alias("references")
     )
+    return cut_lineage(lists)
 
 
 def list_recall_multiclass(spark: SparkSession, root: str) -> Query:

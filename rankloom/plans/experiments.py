@@ -105,5 +105,5 @@ def constrained_experiment(
         max_length + 1,
         scorer,
     )
-    run = beams_to_run(beams, sequences)
+    run = cut_lineage(beams_to_run(beams, sequences))
     return metric_report(zero_fill(run, queries, collection.corpus), collection.qrels)
