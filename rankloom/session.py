@@ -15,14 +15,18 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
+    """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a session that names none (a unit test) gets one of its own.
+    A session of one machine that names none (a unit test) gets one of its own. On a
+    cluster there is no such default: executors would write to their own disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -71,12 +75,10 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCA
     width = F.lit(16)
     for field in df.schema.fields:
         width = width + _width(field)
-    row = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")
-    ).first()
+    # Only the widths meet in one task, not the rows.
+    row = (
+        df.select(width.cast("bigint").alias("w")).limit(max_rows + 1)
+        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b"))
+        .first()
+    )
     return row["n"] <= max_rows and row["b"] <= max_bytes
-
-
-def broadcast_if_fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the measured size allows it; else leave a shuffle join."""
-    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
