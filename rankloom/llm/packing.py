@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import CACHE_ENTRIES, slices, texts
+from rankloom.llm.common import slices, texts
 from rankloom.session import cut_lineage
 
 WINDOW = 2048
@@ -33,6 +33,11 @@ END_ID = 1
 _END = END_ID.to_bytes(4, "little")
 # Blanks that no token of the vocabulary contains and no rule of it looks across.
 _BLANKS = re.compile(r"[ \n\t\r]+")
+# Marks that end words, and the last letter whose lower case and composed form are plain.
+_MARKS = ".,;:!?|"
+_LAST_PLAIN = "\u012f"
+# Words of a worker's cache (about 200 bytes each); a full cache is emptied.
+_CACHE = 800_000
 # str.split() takes these for blanks, the vocabulary does not.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -52,18 +57,40 @@ class Words:
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit bytes, the end id last."""
         split = [_BLANKS.split(text) if _ODD.search(text) else text.split() for text in rows]
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        fresh = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(new, fresh))
-        out = [b"".join(map(known.__getitem__, parts)) + _END for parts in split]
+        known, ids_of = self.known, self.known.__getitem__
+        new = set().union(*split).difference(known)
+        if len(known) + len(new) > _CACHE:
+            known.clear()
+            new = set().union(*split)
+        self._learn(new)
+        out = [b"".join(map(ids_of, parts)) + _END for parts in split]
         for word in new:
             if len(word) > 64:  # long parts are not worth a place in the cache
                 del known[word]
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        """A word of plain letters and the marks behind it are separate pieces of the
+        vocabulary's pattern, and it knows no capitals: such words share their letters' ids."""
+        known, parts, wanted = self.known, {}, set()
+        for word in new:
+            letters = word.rstrip(_MARKS)
+            if letters and letters.isalpha() and max(letters) <= _LAST_PLAIN:
+                small = letters.lower()
+                wanted.add(small)
+                if small != word:
+                    marks = word[len(letters) :]
+                    parts[word] = (small, marks)
+                    if marks:
+                        wanted.add(marks)
+            else:
+                wanted.add(word)
+        missing = [word for word in wanted if word not in known]
+        fresh = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(missing, fresh))
+        for word, (small, marks) in parts.items():
+            known[word] = known[small] + known[marks] if marks else known[small]
+
 
 @functools.lru_cache(maxsize=2)
 def words(path: str) -> Words:
