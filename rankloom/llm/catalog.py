@@ -5,23 +5,56 @@ from __future__ import annotations
 from public_tokenizers import path as vocabulary_file
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, packing
+from rankloom.llm import bpe, language, minhash, packing, quality, secret_scan, suffixes
 from rankloom.llm.common import table
 
 
+def op2_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of all documents, learned from the labels that are not held out."""
+    docs = table(spark, root, "documents")
+    return quality.quality_scores(docs, quality.fit(docs, table(spark, root, "labels")))
+
+
 def op3_packing(spark: SparkSession, root: str) -> DataFrame:
     """Pieces of all documents in windows of 2,048 ids."""
     return packing.pack(table(spark, root, "documents"), vocabulary_file("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_secrets(spark: SparkSession, root: str) -> DataFrame:
+    """Secrets of all documents: counts, and places of base and added spans."""
+    docs = table(spark, root, "documents")
+    return secret_scan.digests(secret_scan.secret_spans(docs, secret_scan.fit(docs)))
+
+
+def op6_suffixes(spark: SparkSession, root: str) -> DataFrame:
+    """What is left of all documents without strings of 200 bytes that occur twice."""
+    return suffixes.repeat_report(table(spark, root, "documents")).drop("spans")
+
+
+def op7_minhash(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of near-duplicates among all documents."""
+    return minhash.near_duplicates(table(spark, root, "documents"))
+
+
 def op8_bpe(spark: SparkSession, root: str) -> DataFrame:
     """Digests of all documents' ids and of the texts they decode to."""
     return bpe.bpe_digests(table(spark, root, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op10_language(spark: SparkSession, root: str) -> DataFrame:
+    """Language of all documents, learned from those that are not held out."""
+    docs, pieces = table(spark, root, "documents"), vocabulary_file("piece_bpe_32k.model")
+    return language.languages(docs, pieces, *language.fit(docs, pieces))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op5_secrets": op5_secrets,
+    "op6_suffixes": op6_suffixes,
+    "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
