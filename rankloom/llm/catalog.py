@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from public_tokenizers import path as vocabulary_file
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, language, minhash, packing, quality, secret_scan, suffixes
+from rankloom.llm import bpe, fingerprints, language, minhash, multi_index, packing, quality, secret_scan, suffixes, url_filter
 from rankloom.llm.common import table
 
 
+# The block list of op4: hosts with one of these labels.
+LISTED_LABELS = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op1_multi_index(spark: SparkSession, root: str) -> DataFrame:
+    """Links and groups among all vectors of a label."""
+    return multi_index.near_vectors(table(spark, root, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, root: str) -> DataFrame:
     """Quality of all documents, learned from the labels that are not held out."""
     docs = table(spark, root, "documents")
@@ -20,6 +30,14 @@ def op3_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"), vocabulary_file("word_bpe_49k.json"), with_ids=False)
 
 
+def op4_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    """A verdict for every page's url."""
+    pages = table(spark, root, "pages").select("page_id", "url")
+    labels = F.array(*[F.lit(label) for label in LISTED_LABELS])
+    listed = url_filter.page_hosts(pages).select("host").distinct().filter(F.arrays_overlap(F.split("host", r"\."), labels))
+    return url_filter.judge_urls(pages, listed)
+
+
 def op5_secrets(spark: SparkSession, root: str) -> DataFrame:
     """Secrets of all documents: counts, and places of base and added spans."""
     docs = table(spark, root, "documents")
@@ -41,6 +59,11 @@ def op8_bpe(spark: SparkSession, root: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, root, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.edit_report(table(spark, root, "documents"))
+
+
 def op10_language(spark: SparkSession, root: str) -> DataFrame:
     """Language of all documents, learned from those that are not held out."""
     docs, pieces = table(spark, root, "documents"), vocabulary_file("piece_bpe_32k.model")
@@ -48,13 +71,34 @@ def op10_language(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multi_index": op1_multi_index,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_url_filter": op4_url_filter,
     "op5_secrets": op5_secrets,
     "op6_suffixes": op6_suffixes,
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
+    "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": f"""
+WITH parts AS (
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), rules(rule_host, rule_path, rule_verdict) AS (
+    VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best AS (
+    SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+    FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY page_id
+)
+SELECT p.page_id, p.host, p.path, b.rule,
+    coalesce(b.verdict, CASE WHEN list_has_any(string_split(p.host, '.'), {LISTED_LABELS}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN best b USING (page_id)
+""",
+}
