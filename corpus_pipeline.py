@@ -1,9 +1,77 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Five stages, each over all that the one before it kept: documents of low quality go, one
+document of each near-duplicate group stays, strings that repeat across documents are cut
+out, secrets are replaced, and what is left is packed into sequences. Every stage but the
+last returns the columns of its input; null texts pass through as they are.
+"""
+
+from __future__ import annotations
+
+from public_tokenizers import path as vocabulary_file
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from rankloom.llm import minhash, packing, quality, secret_scan, suffixes
+from rankloom.llm.common import table, workers_find_package
+from rankloom.session import cut_lineage
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on this input's labelled documents, does not reject."""
+    workers_find_package(spark)
+    return quality.good_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; of rows that repeat an id, one."""
+    workers_find_package(spark)
+    judged = cut_lineage(minhash.near_duplicates(docs).select("doc_id", "kept"))
+    gone = judged.filter("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    repeated = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return left
+    again = left.join(repeated, left["doc_id"] == repeated["doc_id"], "left_semi")
+    order = W.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    first = again.withColumn("_at", F.row_number().over(order)).filter("_at = 1").drop("_at")
+    return left.join(repeated, left["doc_id"] == repeated["doc_id"], "left_anti").unionByName(first)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 200 bytes that start in two places."""
+    workers_find_package(spark)
+    return suffixes.without_repeats(docs)
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets replaced by a mark."""
+    workers_find_package(spark)
+    return secret_scan.redacted(docs, secret_scan.fit(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences, with their ids."""
+    workers_find_package(spark)
+    return packing.pack(docs, vocabulary_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("MinHash near-dedup", one_of_each),
+    ("suffix-array dedup", no_repeats),
+    ("secret scan", no_secrets),
+    ("packing", packed),
+]
+
+# The classifier and the tokenizer cannot be written in SQL; tests check the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read again before the next stage."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -190,7 +190,7 @@ def redacted(docs: DataFrame, model: np.ndarray, mark: str = "[SECRET]") -> Data
             yield replaced(batch, "text", out)
 
     made = docs.mapInArrow(run, docs.schema)
-    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
+    return made.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 
 def digests(spans: DataFrame) -> DataFrame:
