@@ -133,7 +133,7 @@ def sequence_documents(outputs: DataFrame, sequences: DataFrame, which: str = "a
 
 def unmatched_sequences(outputs: DataFrame, sequences: DataFrame) -> DataFrame:
     """Outputs that are no stored sequence."""
-    return outputs.join(sequences.select("tokens"), "tokens", "left_anti")
+    return outputs.join(sequences.select("tokens").distinct(), "tokens", "left_anti")
 
 
 def enumerate_sequences(sequences: DataFrame) -> DataFrame:

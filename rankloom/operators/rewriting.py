@@ -9,8 +9,6 @@ from rankloom.functions.fixed import MAX_GEN, template_array, template_text
 from rankloom.functions.text import fill_prompt
 from rankloom.operators.ordering import number_all
 
-_SMALL_LIMIT = 10_000
-
 
 def render_prompt(queries: DataFrame, stem: str = "nq") -> DataFrame:
     """One prompt per query from one template."""
@@ -76,14 +74,14 @@ def expand_query(
     return judged_queries(queries, qrels).join(first, "query_id", how).select("query_id", text.alias("text"))
 
 
-def limit_queries(queries: DataFrame, max_gen: int = MAX_GEN, order: str = "query_id") -> DataFrame:
-    """The first ``max_gen + 1`` queries in order: the check comes after the count."""
-    n = max_gen + 1
-    if n > MAX_GEN:
-        return queries
-    if n <= _SMALL_LIMIT:
-        return queries.orderBy(order).limit(n)
-    return number_all(queries, [F.col(order)], "_n").filter(F.col("_n") < n).drop("_n")
+def limit_queries(queries: DataFrame, qrels: DataFrame, max_gen: int = MAX_GEN) -> DataFrame:
+    """The first ``max_gen + 1`` judged queries: the check comes after the count.
+
+    Their order is that of their first judgements (``place``).
+    """
+    first = qrels.groupBy("query_id").agg(F.min("place").alias("_place"))
+    chosen = number_all(first, [F.col("_place")], "_n").filter(F.col("_n") <= max_gen).select("query_id")
+    return queries.join(chosen, "query_id", "left_semi")
 
 
 def first_positive(qrels: DataFrame, corpus: DataFrame) -> DataFrame:

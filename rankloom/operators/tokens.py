@@ -39,16 +39,22 @@ def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def encode_tokens(texts: DataFrame, vocab: DataFrame, id_col: str = "corpus_id", text_col: str = "text") -> DataFrame:
+def encode_tokens(
+    texts: DataFrame, vocab: DataFrame, id_col: str = "corpus_id", text_col: str = "text", limit: int | None = None
+) -> DataFrame:
     """Text to ``tokens ARRAY<INT>``, in order; a text without tokens gives an empty array.
 
+    ``limit`` takes that many tokens of a text, for sequences that use no more; the rest is
+    then neither looked up nor shuffled.
+
     Frequent tokens hold most of the rows and would pile up on a few join keys. Ids follow
     frequency, so the head of the vocabulary is a small table of bounded size: it is
     broadcast, and only occurrences of the rare tail are shuffled to meet their ids.
     """
-    placed = texts.select(
-        F.col(id_col), F.posexplode_outer(whitespace_tokens(F.col(text_col))).alias("pos", "token")
-    )
+    split = whitespace_tokens(F.col(text_col))
+    if limit is not None:
+        split = F.slice(split, 1, limit)
+    placed = texts.select(F.col(id_col), F.posexplode_outer(split).alias("pos", "token"))
     is_head = (F.col("token_id") < FIRST_TOKEN_ID + _HEAD_TOKENS) & (F.length("token") <= _HEAD_CHARS)
     ids = vocab.select("token", "token_id")
     seen = placed.join(F.broadcast(ids.filter(is_head)), "token", "left")

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.fixed import INPUT_CAP, MAX_LENGTH, NUM_BEAMS, template_text
+from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS, template_text
 from rankloom.functions.text import fill_prompt
-from rankloom.functions.tokens import START_ID, cut_at_pad, frame_sequence, truncate_tokens
+from rankloom.functions.tokens import START_ID, cut_at_pad, truncate_tokens
 from rankloom.operators import beam, dense, evaluation, generation, lexical, list_metrics, prefix, rewriting, tokens
 from rankloom.plans import experiments
 from rankloom.session import cut_lineage, scratch_path
@@ -24,7 +24,8 @@ TOP = 10
 LIST_KS = [1, 5, 10]
 # Fixed input of the weighted recall: position weights 1, 1/2, 1/3, ...
 POSITION_WEIGHTS = [1.0 / (i + 1) for i in range(TOP)]
-PROMPT_LIMIT = 300
+# Judgements per row of nest_qrels, few enough that queries take several rows.
+NEST_ROWS = 2
 VECTOR_DIM = 256
 
 Query = DataFrame
@@ -55,19 +56,26 @@ def _encoded(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return tokens.encode_tokens(corpus, vocab), vocab
 
 
+def _encoded_heads(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """As many ids of each document as a sequence takes."""
+    corpus = tables.documents_corpus(spark, root)
+    vocab = tokens.build_vocab(corpus)
+    return tokens.encode_tokens(corpus, vocab, limit=MAX_LENGTH), vocab
+
+
 def _sequences(spark: SparkSession, root: str) -> DataFrame:
-    return tokens.framed(tokens.truncated(_encoded(spark, root)[0]))
+    return tokens.framed(tokens.truncated(_encoded_heads(spark, root)[0]))
 
 
 def _stored_sequences(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Sequences for a job that reads them more than once, and the vocabulary."""
-    encoded, vocab = _encoded(spark, root)
+    encoded, vocab = _encoded_heads(spark, root)
     return cut_lineage(tokens.framed(tokens.truncated(encoded))), vocab
 
 
 def _reply_sequences(spark: SparkSession, root: str, vocab: DataFrame) -> DataFrame:
     replies = tables.reply_collection(spark, root).corpus
-    return tokens.framed(tokens.truncated(tokens.encode_tokens(replies, vocab)))
+    return tokens.framed(tokens.truncated(tokens.encode_tokens(replies, vocab, limit=MAX_LENGTH)))
 
 
 def _bm25_run(spark: SparkSession, root: str, k: int = 1000) -> DataFrame:
@@ -111,11 +119,13 @@ def read_queries(spark: SparkSession, root: str) -> Query:
 
 
 def read_qrels(spark: SparkSession, root: str) -> Query:
-    return files.read_qrels(spark, f"{_stored_passages(spark, root)}/qrels/test.tsv").withColumn("relevance", _long("relevance"))
+    return files.read_qrels(spark, f"{_stored_passages(spark, root)}/qrels/test.tsv").select(
+        "query_id", "corpus_id", _long("relevance"), "ord"
+    )
 
 
 def nest_qrels(spark: SparkSession, root: str) -> Query:
-    return files.nest_qrels(tables.passage_qrels(spark, root, graded=True)).select(
+    return files.nest_qrels(tables.passage_qrels(spark, root, graded=True), NEST_ROWS).select(
         "query_id", _long("part"), _joined("corpus_id").alias("corpus_ids"), _joined("relevance").alias("relevances")
     )
 
@@ -246,7 +256,11 @@ def expand_query(spark: SparkSession, root: str) -> Query:
 
 
 def limit_queries(spark: SparkSession, root: str) -> Query:
-    return rewriting.limit_queries(tables.reply_collection(spark, root).queries, 99)
+    """The first hundred queries in the order of a judgement file."""
+    replies = tables.reply_collection(spark, root)
+    path = scratch_path(spark, "judged")
+    files.write_collection(replies, path)
+    return rewriting.limit_queries(replies.queries, files.read_qrels(spark, f"{path}/qrels/test.tsv"), 99)
 
 
 def first_positive(spark: SparkSession, root: str) -> Query:
@@ -341,15 +355,10 @@ def generation_requests(spark: SparkSession, root: str) -> Query:
 
 
 def echo_generator():
-    """A stand-in for a model: numbered echoes of the prompt, with a limit on its length."""
+    """A stand-in for a model: numbered echoes of the prompt."""
 
     def generate(requests: list[dict]) -> list[list[str]]:
-        out = []
-        for request in requests:
-            if len(request["prompt"]) > PROMPT_LIMIT:
-                raise ValueError(f"prompt of {len(request['prompt'])} characters")
-            out.append([f"{request['prompt']} #{i}" for i in range(int(request["n_samples"]))])
-        return out
+        return [[f"{request['prompt']} #{i}" for i in range(int(request["n_samples"]))] for request in requests]
 
     return generate
 
@@ -439,14 +448,22 @@ def index_length(spark: SparkSession, root: str) -> Query:
 
 
 def append_index(spark: SparkSession, root: str) -> Query:
-    """An index of replies behind the end id of an index of documents."""
+    """An index of replies, without start ids, behind the end id of an index of documents.
+
+    Probes are whole and half documents, passages, the document before a conversation's
+    replies without its end id (all beginnings of replies follow), and that document
+    followed by half of each reply (found in the second index).
+    """
     sequences, vocab = _stored_sequences(spark, root)
-    replies = _reply_sequences(spark, root, vocab)
-    inside = _probes(spark, root, sequences, vocab)
-    last = F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 2).cast("int"))
-    beyond = replies.select(F.concat(F.col("corpus_id"), F.lit("/beyond")).alias("probe_id"), last.alias("tokens"))
-    # The unknown id leaves the first index at once; the rest is looked up in the second.
-    probes = inside.unionByName(beyond)
+    replies = cut_lineage(tokens.truncated(tokens.encode_tokens(tables.reply_collection(spark, root).corpus, vocab)))
+    inside = _probes(spark, root, sequences, vocab).filter(~F.col("probe_id").endswith("/1"))
+    document = F.concat(F.lit("d"), F.regexp_extract("corpus_id", r"^a(\d+)-", 1))
+    before = sequences.select(F.col("corpus_id").alias("document"), F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("before"))
+    paired = replies.withColumn("document", document).join(before, "document")
+    half = F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 2).cast("int"))
+    beyond = paired.select(F.concat(F.col("corpus_id"), F.lit("/beyond")).alias("probe_id"), F.concat("before", half).alias("tokens"))
+    at_end = paired.select(F.concat(F.col("corpus_id"), F.lit("/end")).alias("probe_id"), F.col("before").alias("tokens"))
+    probes = inside.unionByName(beyond).unionByName(at_end)
     return prefix.append_index(
         prefix.build_prefix_index(sequences), prefix.build_prefix_index(replies), 1, probes
     ).select("probe_id", _long("token"))
@@ -457,9 +474,12 @@ def shared_sequences(spark: SparkSession, root: str) -> Query:
 
 
 def shadowed_documents(spark: SparkSession, root: str) -> Query:
-    """Without end ids, where a short document can be the beginning of a longer one."""
-    plain = tokens.framed(tokens.truncated(_encoded(spark, root)[0], MAX_LENGTH, None))
-    return prefix.shadowed_documents(cut_lineage(plain))
+    """Titles and texts in one index without end ids, where a title is the beginning of its text."""
+    corpus = tables.documents_corpus(spark, root)
+    titles = corpus.select(F.concat(F.lit("t"), "corpus_id").alias("corpus_id"), F.col("title").alias("text"))
+    vocab = tokens.build_vocab(corpus)
+    plain = tokens.truncated(tokens.encode_tokens(corpus.select("corpus_id", "text").unionByName(titles), vocab, limit=MAX_LENGTH), MAX_LENGTH, None)
+    return prefix.shadowed_documents(cut_lineage(tokens.framed(plain)))
 
 
 def prefix_fanout(spark: SparkSession, root: str) -> Query:
@@ -531,10 +551,11 @@ def beams_to_run(spark: SparkSession, root: str) -> Query:
 
 
 def unmatched_sequences(spark: SparkSession, root: str) -> Query:
-    """Document sequences cut at the input cap, looked up among those cut at ``MAX_LENGTH``."""
-    encoded = cut_lineage(_encoded(spark, root)[0])
-    stored = tokens.framed(tokens.truncated(encoded))
-    outputs = encoded.select("corpus_id", frame_sequence(truncate_tokens(F.col("tokens"), INPUT_CAP)).alias("tokens"))
+    """Passages and documents as outputs, looked up among the documents."""
+    stored, vocab = _stored_sequences(spark, root)
+    passages = tokens.encode_tokens(tables.passage_queries(spark, root), vocab, "query_id", limit=MAX_LENGTH)
+    outputs = tokens.framed(tokens.truncated(passages)).select(F.col("query_id").alias("corpus_id"), "tokens")
+    outputs = outputs.unionByName(stored.select("corpus_id", "tokens"))
     return prefix.unmatched_sequences(outputs, stored).select("corpus_id", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 

@@ -11,7 +11,7 @@ from rankloom.functions.fixed import GENERATORS, INPUT_CAP, K_VALUES, MAX_LENGTH
 from rankloom.operators.beam import QUERY_BONUS, SMOOTHING
 from rankloom.operators.generation import EXTRA_TOKENS, MIN_MARGIN
 from rankloom.operators.lexical import B, K1, TIE_BREAKER
-from rankloom.plans.catalog import PROMPT_LIMIT, TOP, VECTOR_DIM
+from rankloom.plans.catalog import NEST_ROWS, TOP, VECTOR_DIM
 
 
 def _text(value: str | None) -> str:
@@ -164,11 +164,15 @@ _PARTS: dict[str, str] = {
     "seqs": f"SELECT corpus_id, [0] || ids[1:{MAX_LENGTH - 1}] || [1] AS tokens FROM enc",
     "asked_seqs": f"SELECT query_id, [0] || ids[1:{MAX_LENGTH - 1}] || [1] AS tokens FROM asked_enc",
     "reply_seqs": f"SELECT corpus_id, [0] || ids[1:{MAX_LENGTH - 1}] || [1] AS tokens FROM reply_enc",
-    "plain_seqs": f"SELECT corpus_id, [0] || ids[1:{MAX_LENGTH}] AS tokens FROM enc",
+    "titles": "SELECT 't' || corpus_id AS corpus_id, title AS text FROM docs",
+    "title_enc": _encoded("titles", "corpus_id"),
+    "plain_seqs": f"""SELECT corpus_id, [0] || ids[1:{MAX_LENGTH}] AS tokens FROM enc
+        UNION ALL SELECT corpus_id, [0] || ids[1:{MAX_LENGTH}] FROM title_enc""",
     "edges": _edges("seqs"),
     "both_seqs": "SELECT tokens FROM seqs UNION ALL SELECT tokens FROM reply_seqs",
     "both_edges": _edges("both_seqs"),
-    "reply_edges": _edges("reply_seqs"),
+    "bare_replies": f"SELECT corpus_id, ids[1:{MAX_LENGTH - 1}] || [1] AS tokens FROM reply_enc",
+    "reply_edges": _edges("bare_replies"),
     "probes": """
         SELECT corpus_id || '/0' AS probe_id, tokens AS p FROM seqs
         UNION ALL SELECT corpus_id || '/1', tokens[1:len(tokens) - 1] FROM seqs
@@ -257,8 +261,7 @@ _PARTS: dict[str, str] = {
     "prompts": f"SELECT query_id, text, replace({_NQ}, '[QUERY]', text) AS prompt FROM asked",
     "results": f"""
         SELECT query_id, prompt,
-               CASE WHEN length(prompt) <= {PROMPT_LIMIT} THEN [prompt || ' #0', prompt || ' #1', prompt || ' #2'] END AS output,
-               CASE WHEN length(prompt) > {PROMPT_LIMIT} THEN 'ValueError: prompt of ' || length(prompt) || ' characters' END AS error
+               [prompt || ' #0', prompt || ' #1', prompt || ' #2'] AS output, NULL::VARCHAR AS error
         FROM prompts""",
     "assembled": """
         SELECT query_id, corpus_id, a.text AS query, d.text AS gt, output
@@ -327,8 +330,10 @@ _RUN_COLUMNS = "query_id, corpus_id, round(score, 6) AS score, rank"
 _SAMPLES = "array_to_string(output, '|')"
 
 _APPENDED = """
-    SELECT probe_id, CASE WHEN token = 1 THEN (SELECT token FROM reply_edges WHERE depth = 0) ELSE token END AS token
-    FROM all_probes JOIN edges USING (p)
+    SELECT probe_id, e.token FROM all_probes JOIN edges e USING (p) WHERE e.token <> 1
+    UNION ALL
+    SELECT probe_id, r.token FROM all_probes JOIN edges e USING (p) CROSS JOIN (SELECT token FROM reply_edges WHERE depth = 0) r
+    WHERE e.token = 1
     UNION ALL
     SELECT m.probe_id, r.token
     FROM (SELECT probe_id, p[matched + 1:len(p)] AS p
@@ -338,14 +343,19 @@ _APPENDED = """
           WHERE matched < len(p)) m
     LEFT JOIN reply_edges r USING (p)"""
 _PARTS["all_probes"] = """
-    SELECT * FROM probes UNION ALL SELECT corpus_id || '/beyond', tokens[1:len(tokens) // 2] FROM reply_seqs"""
+    SELECT * FROM probes WHERE NOT ends_with(probe_id, '/1')
+    UNION ALL
+    SELECT b.corpus_id || kind, CASE kind WHEN '/end' THEN s.tokens[1:len(s.tokens) - 1]
+                                ELSE s.tokens[1:len(s.tokens) - 1] || b.tokens[1:len(b.tokens) // 2] END
+    FROM bare_replies b JOIN replies r USING (corpus_id) JOIN seqs s ON s.corpus_id = 'd' || r.conv_id
+    CROSS JOIN (VALUES ('/end'), ('/beyond')) k(kind)"""
 
 _SELECTS: dict[str, str] = {
     "read_corpus": "SELECT corpus_id, title, text FROM docs",
     "read_queries": "SELECT query_id, text FROM asked WHERE query_id IN (SELECT query_id FROM qrels)",
     "read_qrels": "SELECT query_id, corpus_id, one::BIGINT AS relevance, ord FROM qrels",
-    "nest_qrels": """SELECT query_id, 0::BIGINT AS part, string_agg(corpus_id, ' ' ORDER BY ord) AS corpus_ids,
-        string_agg(relevance::VARCHAR, ' ' ORDER BY ord) AS relevances FROM qrels GROUP BY query_id""",
+    "nest_qrels": f"""SELECT query_id, ((ord - 1) // {NEST_ROWS})::BIGINT AS part, string_agg(corpus_id, ' ' ORDER BY ord) AS corpus_ids,
+        string_agg(relevance::VARCHAR, ' ' ORDER BY ord) AS relevances FROM qrels GROUP BY ALL""",
     "dataset_counts": """SELECT 'corpus' AS part, count(*) AS n_rows FROM docs UNION ALL SELECT 'queries', count(*) FROM asked
         UNION ALL SELECT 'qrels', count(DISTINCT query_id) FROM qrels""",
     "read_generations": "SELECT query_id, corpus_id, query, gt, gt AS output FROM pairs",
@@ -367,7 +377,8 @@ _SELECTS: dict[str, str] = {
         UNION ALL SELECT 'syn_q', query_id, gt || query FROM pairs
         UNION ALL SELECT 'q_syn', query_id, query || gt FROM pairs
         UNION ALL SELECT 'none', query_id, text FROM users""",
-    "limit_queries": "SELECT query_id, text FROM users ORDER BY query_id LIMIT 100",
+    "limit_queries": """SELECT query_id, text FROM users
+        WHERE query_id IN (SELECT query_id FROM (SELECT DISTINCT query_id FROM pairs) ORDER BY query_id LIMIT 100)""",
     "first_positive": "SELECT query_id, corpus_id, text AS gt FROM qrels JOIN docs USING (corpus_id) WHERE ord = 1",
     "hit_flags": "SELECT query_id, corpus_id, rank, hit_any, hit_first FROM flags",
     "judged_queries": "SELECT query_id, text FROM asked WHERE query_id IN (SELECT query_id FROM qrels)",
@@ -426,8 +437,9 @@ _SELECTS: dict[str, str] = {
     "encode_vectors": "SELECT id, i, round(value, 6) AS value FROM doc_vectors",
     "constrained_beam_search": f"SELECT query_id, rank, {_ids('tokens')} AS tokens, round(score, 6) AS score FROM beams",
     "beams_to_run": "SELECT query_id, corpus_id, round(score, 6) AS score FROM beam_run",
-    "unmatched_sequences": f"""SELECT corpus_id, len(t) AS n_tokens
-        FROM (SELECT corpus_id, [0] || ids[1:{INPUT_CAP - 1}] || [1] AS t FROM enc) WHERE t NOT IN (SELECT tokens FROM seqs)""",
+    "unmatched_sequences": """SELECT corpus_id, len(tokens) AS n_tokens
+        FROM (SELECT corpus_id, tokens FROM seqs UNION ALL SELECT query_id, tokens FROM asked_seqs)
+        WHERE tokens NOT IN (SELECT tokens FROM seqs)""",
     "drop_self_matches": f"SELECT query_id, corpus_id, round(score, 6) AS score FROM near WHERE rank <= {TOP}",
     "rank_run": """SELECT query_id, corpus_id, floor(score * 2) / 2 AS score,
         row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 2) DESC, corpus_id DESC) AS rank FROM run""",

@@ -69,7 +69,7 @@ def generation_job(
     """``(generations, failures)`` for the judged queries of a collection."""
     queries = judged_queries(collection.queries, collection.qrels)
     if max_gen is not None:
-        queries = limit_queries(queries, max_gen)
+        queries = limit_queries(queries, collection.qrels, max_gen)
     requests = generation_requests(queries, template_text(stem), generator, head_mean_length(collection.corpus, corpus_order))
     # Stored once: both outputs read the same results and the generator runs a single time.
     results = cut_lineage(run_generation(requests, make_generate))
@@ -80,7 +80,7 @@ def generation_job(
 
 def corpus_sequences(corpus: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH, chunk: bool = False) -> DataFrame:
     """Framed sequences: one per document, or one per whole chunk."""
-    encoded = encode_tokens(corpus, vocab)
+    encoded = encode_tokens(corpus, vocab, limit=None if chunk else max_length)
     return framed(chunked(encoded, max_length) if chunk else truncated(encoded, max_length))
 
 
@@ -97,7 +97,7 @@ def constrained_experiment(
     sequences = cut_lineage(corpus_sequences(collection.corpus, vocab, max_length, chunk))
     queries = judged_queries(collection.queries, collection.qrels)
     if max_gen is not None:
-        queries = limit_queries(queries, max_gen)
+        queries = limit_queries(queries, collection.qrels, max_gen)
     beams = constrained_beam_search(
         stored_search_index(sequences),
         encode_tokens(queries, vocab, "query_id"),

@@ -48,7 +48,11 @@ def read_queries(spark: SparkSession, path: str, qrels: DataFrame | None = None)
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated judgements under a header line."""
+    """Tab-separated judgements under a header line.
+
+    ``ord`` numbers a query's judgements, ``place`` orders all of them, as they stand in
+    the files.
+    """
     rows = (
         spark.read.schema(QRELS_SCHEMA)
         .csv(path, sep="\t", header=True)
@@ -62,7 +66,7 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     return number_within(rows, ["query_id"], ["file_path", "block_start"], ["line"], "ord").select(
-        "query_id", "corpus_id", "relevance", "ord"
+        "query_id", "corpus_id", "relevance", "ord", F.struct("file_path", "block_start", "line").alias("place")
     )
 
 

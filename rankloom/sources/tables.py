@@ -78,6 +78,7 @@ def passage_qrels(spark: SparkSession, root: str, graded: bool = False) -> DataF
         F.concat(F.lit("d"), F.col("doc_id")).alias("corpus_id"),
         F.col("relevance").cast("int").alias("relevance"),
         "ord",
+        F.struct("item_id", "doc_id").alias("place"),
     )
 
 
@@ -101,6 +102,7 @@ def reply_collection(spark: SparkSession, root: str) -> Collection:
         "corpus_id",
         F.lit(1).alias("relevance"),
         F.lit(1).cast("bigint").alias("ord"),
+        F.struct("conv_id", "turn").alias("place"),
     )
     return Collection(
         replies.select(_turn_id("a").alias("corpus_id"), F.lit("").alias("title"), "text"),

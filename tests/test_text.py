@@ -126,9 +126,11 @@ def test_expansion(expansion):
 
 def test_limits_positives_and_flags(spark, expansion, rows):
     queries, qrels, _ = expansion
-    assert rewriting.limit_queries(queries, 1).count() == 2
-    assert rewriting.limit_queries(queries).count() == 3
-    assert rewriting.limit_queries(spark.range(12_000).select(F.format_string("%05d", "id").alias("query_id")), 11_000).count() == 11_001
+    # In the order of the first judgements, not of the ids.
+    judged = spark.createDataFrame([("3", 1), ("10", 2), ("3", 3), ("2", 4)], "query_id string, place int")
+    asked = spark.createDataFrame([("2", "b"), ("3", "c"), ("10", "d"), ("11", "e")], "query_id string, text string")
+    assert rows(rewriting.limit_queries(asked, judged, 1)) == [("10", "d"), ("3", "c")]
+    assert rewriting.limit_queries(asked, judged).count() == 3
     corpus = spark.createDataFrame([("a", "", "ta"), ("b", "", "tb")], "corpus_id string, title string, text string")
     assert rows(rewriting.first_positive(qrels, corpus)) == [("1", "a", "ta"), ("2", "a", "ta")]
     run = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "c")], "query_id string, corpus_id string")
