@@ -20,20 +20,22 @@ TIE_BREAKER = 0.5
 FIELDS = ("title", "text")
 
 # Scores are rounded, so that the order of a distributed sum cannot reorder equal documents.
-SCORE_DIGITS = 6
+SCORE_DIGITS = 9
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
     """``postings (corpus_id, field, term, dl, tf)`` and ``stats (field, n_docs, avg_len)``.
 
-    ``occurrences`` holds the rows before they are counted; a stored index has none.
+    ``occurrences`` holds the rows before they are counted; a stored index has none, but
+    its postings lie in ``buckets`` folders by term (column ``bucket``).
     """
 
     postings: DataFrame
     stats: DataFrame
     fields: tuple[str, ...]
     occurrences: DataFrame | None = None
+    buckets: int | None = None
 
 
 _POSTING = ["corpus_id", "field", "term", "dl"]
@@ -43,7 +45,8 @@ POSTING_SCHEMA = "corpus_id string, field string, term string, dl int, tf long,
 def bm25_index(corpus: DataFrame, fields: tuple[str, ...] = FIELDS, analyze: Callable[[Column], Column] = word_tokens) -> LexicalIndex:
     """Term counts and field statistics. Empty fields do not count as documents."""
     per_field = F.array(*[F.struct(F.lit(f).alias("field"), analyze(F.col(f)).alias("terms")) for f in fields])
-    lines = corpus.select("corpus_id", F.explode(per_field).alias("f")).select(
+    # Asked for here, the ids' check is in every branch that reads the index, so they stay alike.
+    lines = corpus.filter(F.col("corpus_id").isNotNull()).select("corpus_id", F.explode(per_field).alias("f")).select(
         "corpus_id", "f.field", "f.terms", F.size("f.terms").alias("dl")
     )
     occurrences = lines.select("corpus_id", "field", "dl", F.explode("terms").alias("term"))
@@ -59,24 +62,30 @@ def _count(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy(*_POSTING).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
 def write_bm25_index(index: LexicalIndex, path: str, buckets: int = 64) -> None:
     """Parquet, postings in folders by term bucket and sorted by term inside a file.
 
     Rebalancing splits the bucket of a frequent term over as many tasks as it needs.
     """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     (
-        index.postings.withColumn("bucket", bucket)
+        index.postings.withColumn("bucket", _bucket(buckets))
         .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     )
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_bm25_index(spark, path: str, fields: tuple[str, ...] = FIELDS) -> LexicalIndex:
-    postings = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings").drop("bucket")
-    return LexicalIndex(postings, spark.read.parquet(f"{path}/stats"), tuple(fields))
+    """The index as stored; a search reads only the folders of its terms' buckets."""
+    postings = spark.read.schema(POSTING_SCHEMA).parquet(f"{path}/postings")
+    stats = spark.read.parquet(f"{path}/stats")
+    first = stats.select("buckets").first()
+    return LexicalIndex(postings, stats.drop("buckets"), tuple(fields), None, first["buckets"] if first else None)
 
 
 def bm25_search(
@@ -110,7 +119,10 @@ def bm25_search(
         matching = index.occurrences.join(terms, "term", "left_semi").repartition("corpus_id")
         postings = _count(matching)
     else:
-        postings = index.postings.join(terms, "term", "left_semi").repartition("corpus_id")
+        keys = ["term"]
+        if index.buckets is not None:
+            terms, keys = terms.withColumn("bucket", _bucket(index.buckets)), ["bucket", "term"]
+        postings = index.postings.join(terms, keys, "left_semi").drop("bucket").repartition("corpus_id")
     frequency = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # stats has one row per field.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,9 +11,6 @@ from pyspark.sql import functions as F
 from rankloom.session import cut_lineage
 
 _ROW_BITS = 33
-# Above this k Spark keeps no per-task limit in front of a ranking window.
-_MAP_SIDE_K = 1000
-_TOP_K_SLICES = 64
 
 
 def number_within(df: DataFrame, keys: list[str], buckets: list[str], order: list[str], out: str) -> DataFrame:
@@ -57,17 +56,18 @@ def number_all(df: DataFrame, order: list[Column], out: str, start: int = 0) ->
 def top_k(df: DataFrame, key: str, order: list[Column], k: int, rank: str = "rank", spread: str = "corpus_id") -> DataFrame:
     """The first ``k`` rows of each key, numbered from 1.
 
-    Up to 1000 rows Spark already cuts each task's rows to ``k`` before the shuffle. For a
-    larger ``k`` the key is first cut in slices, so one key never lands whole in one task.
+    Two levels: a key is first cut to ``k`` in slices, as many as the square root of the
+    number of shuffle partitions, and then over its slices. So no task receives the best
+    ``k`` rows of every other task for one key.
     """
-    if k > _MAP_SIDE_K:
-        slice_of = F.pmod(F.xxhash64(spread), F.lit(_TOP_K_SLICES))
-        sliced = W.partitionBy(key, "_slice").orderBy(*order)
-        df = (
-            df.withColumn("_slice", slice_of)
-            .withColumn("_rn", F.row_number().over(sliced))
-            .filter(F.col("_rn") <= k)
-            .drop("_rn", "_slice")
-        )
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(2, math.isqrt(partitions))
+    sliced = W.partitionBy(key, "_slice").orderBy(*order)
+    df = (
+        df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
+        .withColumn("_rn", F.row_number().over(sliced))
+        .filter(F.col("_rn") <= k)
+        .drop("_rn", "_slice")
+    )
     ranked = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return df.withColumn(rank, ranked).filter(F.col(rank) <= k)

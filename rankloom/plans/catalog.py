@@ -21,6 +21,8 @@ from rankloom.sources import tables
 
 DIGITS = 6
 TOP = 10
+# Depth of the registered searches, below the size of the smallest table.
+DEPTH = 100
 LIST_KS = [1, 5, 10]
 # Fixed input of the weighted recall: position weights 1, 1/2, 1/3, ...
 POSITION_WEIGHTS = [1.0 / (i + 1) for i in range(TOP)]
@@ -493,7 +495,7 @@ def zero_fill(spark: SparkSession, root: str) -> Query:
     filled = evaluation.zero_fill(
         cut_lineage(_bm25_run(spark, root, TOP)), tables.passage_queries(spark, root), tables.documents_corpus(spark, root)
     )
-    return filled.select("query_id", "corpus_id", _rounded("score").alias("score"))
+    return filled.select("query_id", "corpus_id", "score")
 
 
 def bm25_index(spark: SparkSession, root: str) -> Query:
@@ -503,7 +505,7 @@ def bm25_index(spark: SparkSession, root: str) -> Query:
 
 
 def bm25_search(spark: SparkSession, root: str) -> Query:
-    return _bm25_run(spark, root).select("query_id", "corpus_id", "score", _long("rank"))
+    return _run_rows(_bm25_run(spark, root, DEPTH))
 
 
 def _vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -511,22 +513,23 @@ def _vectors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _run_rows(run: DataFrame) -> DataFrame:
-    return run.select("query_id", "corpus_id", _rounded("score").alias("score"), _long("rank"))
+    # Searches round scores themselves; a second rounding would meet halves.
+    return run.select("query_id", "corpus_id", "score", _long("rank"))
 
 
 def dense_search_dot(spark: SparkSession, root: str) -> Query:
-    return _run_rows(dense.dense_search_dot(_vectors(spark, root), _vectors(spark, root)))
+    return _run_rows(dense.dense_search_dot(_vectors(spark, root), _vectors(spark, root), DEPTH))
 
 
 def dense_search_cosine(spark: SparkSession, root: str) -> Query:
     """Encoded passages against encoded documents."""
     asked = dense.encode_vectors(tables.passage_queries(spark, root), "query_id", VECTOR_DIM)
     given = dense.encode_vectors(tables.documents_corpus(spark, root), "corpus_id", VECTOR_DIM)
-    return _run_rows(dense.dense_search_cosine(asked, given))
+    return _run_rows(dense.dense_search_cosine(asked, given, DEPTH))
 
 
 def dense_search_blocked(spark: SparkSession, root: str) -> Query:
-    return _run_rows(dense.dense_search_blocked(_vectors(spark, root), _vectors(spark, root), query_block=256, corpus_block=512))
+    return _run_rows(dense.dense_search_blocked(_vectors(spark, root), _vectors(spark, root), DEPTH, query_block=256, corpus_block=512))
 
 
 def encode_vectors(spark: SparkSession, root: str) -> Query:
@@ -563,7 +566,7 @@ def drop_self_matches(spark: SparkSession, root: str) -> Query:
     vectors = _vectors(spark, root)
     run = dense.dense_search_dot(vectors, vectors, TOP).select("query_id", "corpus_id", "score")
     own = vectors.select(F.col("id").alias("query_id"), F.col("id").alias("corpus_id"), F.lit(1.0).alias("score"))
-    return evaluation.drop_self_matches(run.unionByName(own)).withColumn("score", _rounded("score"))
+    return evaluation.drop_self_matches(run.unionByName(own))
 
 
 # --- evaluation --------------------------------------------------------------------

@@ -11,7 +11,7 @@ from rankloom.functions.fixed import GENERATORS, INPUT_CAP, K_VALUES, MAX_LENGTH
 from rankloom.operators.beam import QUERY_BONUS, SMOOTHING
 from rankloom.operators.generation import EXTRA_TOKENS, MIN_MARGIN
 from rankloom.operators.lexical import B, K1, TIE_BREAKER
-from rankloom.plans.catalog import NEST_ROWS, TOP, VECTOR_DIM
+from rankloom.plans.catalog import DEPTH, NEST_ROWS, TOP, VECTOR_DIM
 
 
 def _text(value: str | None) -> str:
@@ -72,7 +72,7 @@ def _bm25(postings: str, queries: str) -> str:
                row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id DESC) AS rank
         FROM (
             SELECT query_id, corpus_id,
-                   round(max(fs) + {TIE_BREAKER} * (sum(fs) - max(fs)), 6) AS score
+                   round(max(fs) + {TIE_BREAKER} * (sum(fs) - max(fs)), 9) AS score
             FROM (
                 SELECT query_id, corpus_id, p.field,
                        sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5))
@@ -130,7 +130,7 @@ def _cosine(queries: str, corpus: str, query_ids: str, corpus_ids: str, own_leng
     return f"""
         SELECT query_id, corpus_id, score,
                row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id DESC) AS rank
-        FROM (SELECT a.query_id, b.corpus_id, round(coalesce(s, 0), 6) AS score
+        FROM (SELECT a.query_id, b.corpus_id, round(coalesce(s, 0), 9) AS score
               FROM {query_ids} a CROSS JOIN {corpus_ids} b
               LEFT JOIN (SELECT x.id AS query_id, y.id AS corpus_id, sum(x.value * y.value) AS s
                          FROM (SELECT id, i, value / {length} AS value FROM {queries}) x
@@ -233,7 +233,7 @@ _PARTS: dict[str, str] = {
     "near": """
         SELECT query_id, corpus_id, label, score,
                row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id DESC) AS rank
-        FROM (SELECT a.id AS query_id, b.id AS corpus_id, b.label, round(list_dot_product(a.e, b.e), 6) AS score
+        FROM (SELECT a.id AS query_id, b.id AS corpus_id, b.label, round(list_dot_product(a.e, b.e), 9) AS score
               FROM vectors a JOIN vectors b ON a.id <> b.id)""",
     "neighbours": f"""
         SELECT query_id, i, max(CASE WHEN rank = i + 1 THEN label END) AS p, max(CASE WHEN rank = i THEN label END) AS r
@@ -326,7 +326,7 @@ def _one_metric(column: str) -> str:
 
 
 _EDGE_COLUMNS = "depth, prev, token, n_seq::BIGINT AS n_seq, n_paths::BIGINT AS n_paths, ends"
-_RUN_COLUMNS = "query_id, corpus_id, round(score, 6) AS score, rank"
+_RUN_COLUMNS = "query_id, corpus_id, score, rank"
 _SAMPLES = "array_to_string(output, '|')"
 
 _APPENDED = """
@@ -430,17 +430,17 @@ _SELECTS: dict[str, str] = {
             (SELECT corpus_id FROM docs ORDER BY corpus_id DESC LIMIT 1001)
         WHERE (query_id, corpus_id) NOT IN (SELECT (query_id, corpus_id) FROM top)""",
     "bm25_index": "SELECT corpus_id, field, term, dl, tf FROM postings",
-    "bm25_search": "SELECT query_id, corpus_id, score, rank FROM run",
-    "dense_search_dot": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= 1000",
-    "dense_search_cosine": f"SELECT {_RUN_COLUMNS} FROM cosine WHERE rank <= 1000",
-    "dense_search_blocked": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= 1000",
+    "bm25_search": f"SELECT {_RUN_COLUMNS} FROM run WHERE rank <= {DEPTH}",
+    "dense_search_dot": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= {DEPTH}",
+    "dense_search_cosine": f"SELECT {_RUN_COLUMNS} FROM cosine WHERE rank <= {DEPTH}",
+    "dense_search_blocked": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= {DEPTH}",
     "encode_vectors": "SELECT id, i, round(value, 6) AS value FROM doc_vectors",
     "constrained_beam_search": f"SELECT query_id, rank, {_ids('tokens')} AS tokens, round(score, 6) AS score FROM beams",
     "beams_to_run": "SELECT query_id, corpus_id, round(score, 6) AS score FROM beam_run",
     "unmatched_sequences": """SELECT corpus_id, len(tokens) AS n_tokens
         FROM (SELECT corpus_id, tokens FROM seqs UNION ALL SELECT query_id, tokens FROM asked_seqs)
         WHERE tokens NOT IN (SELECT tokens FROM seqs)""",
-    "drop_self_matches": f"SELECT query_id, corpus_id, round(score, 6) AS score FROM near WHERE rank <= {TOP}",
+    "drop_self_matches": f"SELECT query_id, corpus_id, score FROM near WHERE rank <= {TOP}",
     "rank_run": """SELECT query_id, corpus_id, floor(score * 2) / 2 AS score,
         row_number() OVER (PARTITION BY query_id ORDER BY floor(score * 2) DESC, corpus_id DESC) AS rank FROM run""",
     "ndcg_at_k": _one_metric("ndcg"),
