@@ -492,10 +492,8 @@ def prefix_fanout(spark: SparkSession, root: str) -> Query:
 
 
 def zero_fill(spark: SparkSession, root: str) -> Query:
-    filled = evaluation.zero_fill(
-        cut_lineage(_bm25_run(spark, root, TOP)), tables.passage_queries(spark, root), tables.documents_corpus(spark, root)
-    )
-    return filled.select("query_id", "corpus_id", "score")
+    run, qrels = _bm25_run(spark, root, TOP), tables.passage_qrels(spark, root)
+    return evaluation.zero_fill(run, qrels, tables.documents_corpus(spark, root))
 
 
 def bm25_index(spark: SparkSession, root: str) -> Query:

@@ -425,10 +425,11 @@ _SELECTS: dict[str, str] = {
         WHERE len(b.tokens) < len(a.tokens) AND a.tokens[1:len(b.tokens)] = b.tokens)""",
     "prefix_fanout": """SELECT depth, count(*) AS n_prefixes, sum(f)::BIGINT AS n_edges, max(f) AS max_fanout
         FROM (SELECT depth, p, count(*) AS f FROM edges GROUP BY ALL) GROUP BY depth""",
-    "zero_fill": """SELECT query_id, corpus_id, score FROM top
-        UNION ALL SELECT query_id, corpus_id, 0 FROM asked CROSS JOIN
-            (SELECT corpus_id FROM docs ORDER BY corpus_id DESC LIMIT 1001)
-        WHERE (query_id, corpus_id) NOT IN (SELECT (query_id, corpus_id) FROM top)""",
+    "zero_fill": """SELECT query_id, corpus_id, score, rank FROM (
+            SELECT q.query_id, d.corpus_id, coalesce(t.score, 0) AS score,
+                   row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(t.score, 0) DESC, d.corpus_id DESC) AS rank
+            FROM asked q CROSS JOIN docs d LEFT JOIN top t ON t.query_id = q.query_id AND t.corpus_id = d.corpus_id)
+        WHERE score > 0 OR (query_id, corpus_id) IN (SELECT (query_id, corpus_id) FROM qrels)""",
     "bm25_index": "SELECT corpus_id, field, term, dl, tf FROM postings",
     "bm25_search": f"SELECT {_RUN_COLUMNS} FROM run WHERE rank <= {DEPTH}",
     "dense_search_dot": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= {DEPTH}",

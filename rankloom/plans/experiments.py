@@ -106,4 +106,5 @@ def constrained_experiment(
         scorer,
     )
     run = cut_lineage(beams_to_run(beams, sequences))
-    return metric_report(zero_fill(run, queries, collection.corpus), collection.qrels)
+    asked = collection.qrels.join(queries.select("query_id"), "query_id", "left_semi")
+    return metric_report(zero_fill(run, asked, collection.corpus), asked, include_empty=True, ranked_run=True)

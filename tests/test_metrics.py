@@ -63,13 +63,13 @@ def test_zero_fill_gives_the_metrics_of_the_whole_corpus(spark):
     qrels = spark.createDataFrame(
         [(q, f"d{i}", 1, i) for q in ("q1", "q2", "d39") for i in (3, 8, 9, 38, 39)], QRELS
     )
-    ks = [1, 3, 5]
-    bounded = ev.zero_fill(run, queries, corpus, max_k=5)
+    ks = [1, 3, 5, 1000]
+    filled = ev.zero_fill(run, qrels, corpus)
     whole = queries.select("query_id").join(corpus.select("corpus_id"), F.lit(True)).join(run, ["query_id", "corpus_id"], "left").fillna(0.0)
     key = lambda r: (r["query_id"], r["metric"], r["k"])
-    a = {key(r): r["value"] for r in ev.per_query_metrics(bounded, qrels, ks).collect()}
+    a = {key(r): r["value"] for r in ev.per_query_metrics(filled, qrels, ks, ranked_run=True).collect()}
     b = {key(r): r["value"] for r in ev.per_query_metrics(whole, qrels, ks).collect()}
-    assert a == b and len(a) == 3 * 4 * 3
+    assert a == b and len(a) == 3 * 4 * 4
 
 
 @pytest.mark.parametrize(
