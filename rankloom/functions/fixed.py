@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Cut-offs of the ranked metrics.
@@ -40,7 +40,6 @@ TEMPLATES = [
     ("trec-covid_hyde", "trec-covid_hyde", SYSTEM_MESSAGE, "Please write a scientific paper passage to answer the question.\nQuestion: [QUERY]\nPassage:"),
     ("trec-news_hyde", "trec-news_hyde", None, "Please write a news passage about the topic. Topic: [QUERY]\nPassage:"),
 ]
-TEMPLATE_SCHEMA = "stem string, template_name string, system string, template string"
 
 # Fixed values: (name, model, style, do_sample, top_k, top_p, num_return_sequences, temperature).
 GENERATORS = [
@@ -70,14 +69,20 @@ RETRIEVERS = {
 }
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, TEMPLATE_SCHEMA)
-
-
 def template_text(stem: str) -> str:
     return {row[0]: row[3] for row in TEMPLATES}[stem]
 
 
+def template_system(stem: str) -> str | None:
+    return {row[0]: row[2] for row in TEMPLATES}[stem]
+
+
+def generator_settings(name: str) -> dict:
+    """The row of one generator by column name."""
+    names = [column.split()[0] for column in GENERATOR_SCHEMA.split(", ")]
+    return {row[0]: dict(zip(names, row)) for row in GENERATORS}[name]
+
+
 def template_array() -> Column:
     """All templates as one constant array of structs."""
     return F.array(
@@ -91,7 +96,3 @@ def template_array() -> Column:
             for stem, name, system, template in TEMPLATES
         ]
     )
-
-
-def generators(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GENERATORS, GENERATOR_SCHEMA)

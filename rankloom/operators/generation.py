@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.fixed import generators
+from rankloom.functions.fixed import generator_settings, template_system, template_text
 from rankloom.functions.text import fill_prompt, whitespace_tokens
 
 Generate = Callable[[list[dict]], list[list[str]]]
@@ -20,10 +20,14 @@ EXTRA_TOKENS = 50
 MIN_MARGIN = 20
 
 
-def generation_requests(queries: DataFrame, template: str, generator: str, ave_len: DataFrame) -> DataFrame:
-    """One request per query: prompt, input length, token budgets and sampling settings."""
-    spark = queries.sparkSession
-    settings = {row["generator"]: row for row in generators(spark).collect()}[generator]
+def generation_requests(queries: DataFrame, stem: str, generator: str, ave_len: DataFrame) -> DataFrame:
+    """One request per query: prompt, input length, token budgets and sampling settings.
+
+    A chat request also has its ``messages``; where the template has no system message it
+    has an ``error`` instead and is not sent.
+    """
+    template, system = template_text(stem), template_system(stem)
+    settings = generator_settings(generator)
     mean_len = ave_len.select("ave_len").scalar()
     sized = (
         queries.select("query_id", fill_prompt(F.lit(template), F.col("text")).alias("prompt"))
@@ -36,9 +40,17 @@ def generation_requests(queries: DataFrame, template: str, generator: str, ave_l
         "local": F.col("ave_len") + EXTRA_TOKENS,
     }[settings["style"]]
     least = F.col("ave_len") - MIN_MARGIN if settings["style"] == "local" else F.lit(None)
+    chat = settings["style"] == "chat"
+    messages = F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
+        F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
+    )
+    kind = "array<struct<role:string,content:string>>"
     return sized.select(
         "query_id",
         "prompt",
+        (messages if chat and system is not None else F.lit(None)).cast(kind).alias("messages"),
+        F.lit("system message missing" if chat and system is None else None).cast("string").alias("error"),
         "input_len",
         F.lit(settings["style"]).alias("style"),
         budget.alias("max_tokens"),
@@ -57,7 +69,7 @@ def run_generation(
     """Apply a caller's batch function; a failing request is recorded and skipped.
 
     ``make_generate`` runs once per task and returns the function, so a model is loaded
-    once and not per batch. When a batch fails, its requests are tried one by one, so one
+    once and not per batch. A request that has an ``error`` is not tried. When a batch fails, its requests are tried one by one, so one
     bad prompt costs only its own row.
     """
 
@@ -73,6 +85,16 @@ def run_generation(
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch].to_dict("records")
+                refused = [request for request in part if request.get("error")]
+                if refused:
+                    yield pd.DataFrame(
+                        {
+                            "query_id": [request["query_id"] for request in refused],
+                            "output": None,
+                            "error": [request["error"] for request in refused],
+                        }
+                    )
+                    part = [request for request in part if not request.get("error")]
                 try:
                     outputs = generate(part)
                     if len(outputs) != len(part):

@@ -15,6 +15,7 @@ is a table of edges, one per (prefix, next token) pair that occurs::
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.tokens import START_ID, TERMINAL, prefix_hashes
@@ -103,10 +104,11 @@ def next_tokens_policy(allowed: DataFrame, policy: str) -> DataFrame:
     """
     if policy not in ("pass", "stop"):
         raise ValueError(f"policy must be 'pass' or 'stop', not {policy!r}")
-    sizes = allowed.groupBy("probe_id").agg(
-        F.count("token").alias("_n"), F.coalesce(F.max(F.col("token") == TERMINAL), F.lit(False)).alias("_ends")
+    # One shuffle, and the input is evaluated once.
+    same = W.partitionBy("probe_id")
+    joined = allowed.withColumn("_n", F.count("token").over(same)).withColumn(
+        "_ends", F.coalesce(F.max(F.col("token") == TERMINAL).over(same), F.lit(False))
     )
-    joined = allowed.join(sizes, "probe_id")
     if policy == "stop":
         kept = joined.filter(~F.col("_ends") | (F.col("token") == TERMINAL))
         token = F.when(F.col("_ends"), F.lit(START_ID)).otherwise(F.col("token"))

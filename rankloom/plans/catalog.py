@@ -6,6 +6,8 @@ joined into text, and real numbers are rounded, so that results compare across e
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -339,19 +341,24 @@ def head_mean_length(spark: SparkSession, root: str) -> Query:
 
 # --- generation --------------------------------------------------------------------
 
-_GENERATOR_STYLES = ("chatGPT", "flan3b", "instructGPT")
+# One generator of each style; chat needs a template with a system message and fails without.
+REQUESTS = (("chatGPT", "nq"), ("chatGPT", "scifact_hyde"), ("flan3b", "nq"), ("instructGPT", "nq"))
 
 
-def _requests(spark: SparkSession, root: str, generator: str) -> DataFrame:
+def _requests(spark: SparkSession, root: str, generator: str, stem: str = "nq") -> DataFrame:
     ave_len = tokens.head_mean_length(_docs_with_ids(spark, root), F.col("doc_id"))
-    return generation.generation_requests(tables.passage_queries(spark, root), template_text("nq"), generator, ave_len)
+    return generation.generation_requests(tables.passage_queries(spark, root), stem, generator, ave_len)
 
 
 def generation_requests(spark: SparkSession, root: str) -> Query:
-    parts = [_requests(spark, root, g).withColumn("generator", F.lit(g)) for g in _GENERATOR_STYLES]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [
+        _requests(spark, root, generator, stem).withColumns({"generator": F.lit(generator), "stem": F.lit(stem)})
+        for generator, stem in REQUESTS
+    ]
+    out = functools.reduce(DataFrame.unionByName, parts)
+    roles = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "|")
     return out.select(
-        "generator", "query_id", "prompt", "input_len", "style", "max_tokens", "min_tokens", "do_sample",
+        "generator", "stem", "query_id", roles.alias("messages"), "error", "prompt", "input_len", "style", "max_tokens", "min_tokens", "do_sample",
         _long("top_k"), "top_p", _long("n_samples"), "temperature",
     )
 

@@ -11,7 +11,7 @@ from rankloom.functions.fixed import GENERATORS, INPUT_CAP, K_VALUES, MAX_LENGTH
 from rankloom.operators.beam import QUERY_BONUS, SMOOTHING
 from rankloom.operators.generation import EXTRA_TOKENS, MIN_MARGIN
 from rankloom.operators.lexical import B, K1, TIE_BREAKER
-from rankloom.plans.catalog import DEPTH, NEST_ROWS, TOP, VECTOR_DIM
+from rankloom.plans.catalog import DEPTH, NEST_ROWS, REQUESTS, TOP, VECTOR_DIM
 
 
 def _text(value: str | None) -> str:
@@ -304,17 +304,21 @@ _REQUEST_BUDGET = {
 }
 
 
-def _requests(name: str) -> str:
+def _requests(name: str, stem: str) -> str:
     def lit(value) -> str:
         return "NULL" if value is None else str(value)
 
     _, _, style, sample, top_k, top_p, n, temperature = next(row for row in GENERATORS if row[0] == name)
     most, least = _REQUEST_BUDGET[style]
+    system, template = next((row[2], row[3]) for row in TEMPLATES if row[0] == stem)
+    messages = f"'system: ' || {_text(system)} || '|user: ' || prompt" if style == "chat" and system else "NULL"
+    error = "'system message missing'" if style == "chat" and not system else "NULL"
     return f"""
-        SELECT '{name}' AS generator, query_id, prompt, input_len, '{style}' AS style,
+        SELECT '{name}' AS generator, '{stem}' AS stem, query_id, {messages} AS messages, {error} AS error, prompt, input_len, '{style}' AS style,
                {most} AS max_tokens, {least} AS min_tokens, {lit(sample)}::BOOLEAN AS do_sample, {lit(top_k)}::BIGINT AS top_k,
                {lit(top_p)}::DOUBLE AS top_p, {lit(n)}::BIGINT AS n_samples, {lit(temperature)}::DOUBLE AS temperature
-        FROM (SELECT query_id, prompt, len({_space_tokens("prompt")}) + 1 AS input_len, ave_len FROM prompts, head)"""
+        FROM (SELECT query_id, prompt, len({_space_tokens("prompt")}) + 1 AS input_len, ave_len
+              FROM (SELECT query_id, replace({_text(template)}, '[QUERY]', text) AS prompt FROM asked), head)"""
 
 
 def _templates(select: str) -> str:
@@ -400,7 +404,7 @@ _SELECTS: dict[str, str] = {
         FROM (SELECT min(length)::DOUBLE AS lo, max(length)::DOUBLE AS hi FROM lengths WHERE part = 'documents'),
              (SELECT unnest(range(0, 20)) AS bin)""",
     "head_mean_length": "SELECT ave_len FROM head",
-    "generation_requests": " UNION ALL ".join(_requests(name) for name in ("chatGPT", "flan3b", "instructGPT")),
+    "generation_requests": " UNION ALL ".join(_requests(name, stem) for name, stem in REQUESTS),
     "run_generation": f"SELECT query_id, {_SAMPLES} AS output, error FROM results",
     "assemble_generations": f"SELECT query_id, corpus_id, query, gt, {_SAMPLES} AS output FROM assembled",
     "explode_samples": "SELECT query_id, unnest(range(0, len(output))) AS sample, unnest(output) AS text FROM assembled",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS, RETRIEVERS, template_text
+from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS, RETRIEVERS
 from rankloom.operators.beam import Scorer, beams_to_run, constrained_beam_search, stored_search_index
 from rankloom.operators.dense import dense_search, encode_vectors
 from rankloom.operators.evaluation import metric_report, zero_fill
@@ -70,7 +70,7 @@ def generation_job(
     queries = judged_queries(collection.queries, collection.qrels)
     if max_gen is not None:
         queries = limit_queries(queries, collection.qrels, max_gen)
-    requests = generation_requests(queries, template_text(stem), generator, head_mean_length(collection.corpus, corpus_order))
+    requests = generation_requests(queries, stem, generator, head_mean_length(collection.corpus, corpus_order))
     # Stored once: both outputs read the same results and the generator runs a single time.
     results = cut_lineage(run_generation(requests, make_generate))
     positives = first_positive(collection.qrels, collection.corpus)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import WHITESPACE, spaced
+from rankloom.functions.text import spaced
 from rankloom.operators.ordering import number_within
 from rankloom.session import cut_lineage, spread
 from rankloom.sources.collection import Collection
