@@ -8,8 +8,8 @@
    value) pairs. The number of ones in the XOR of two sketches estimates the similarity,
    so a candidate that is far too different goes before any set is read.
 4. What is left is verified on the full sets. First each bucket's classes are compared
-   with the smallest one; then only classes of a bucket that are not yet connected are
-   compared with each other. A group of n near copies costs n comparisons, not n squared,
+   with one of them, in two rounds; then only classes of a bucket that are not yet
+   connected are compared with each other. A group of n near copies costs n comparisons, not n squared,
    and no link between different components is left out.
 
 Defined results: words are runs without ASCII blanks, A-Z in lower case. A text of fewer
@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm import bloom
 from rankloom.llm.common import CACHE_ENTRIES, slices, texts
 from rankloom.llm.components import components
 from rankloom.session import cut_lineage
@@ -41,6 +42,9 @@ SKETCH_BITS = 512
 # A candidate whose sketches estimate less than this is not verified; the standard error
 # at 0.75 is below 0.05.
 SKETCH_FLOOR = 0.5
+# Classes of one bucket that are compared with each other get sketches of more samples
+# (standard error 0.01), which tell a pair just below the bound from one above it.
+SHARP_SAMPLES, SHARP_BITS, SHARP_FLOOR = 2048, 4096, 0.7
 # Copies of a set that meets many others are dealt to as many tasks as it has blocks.
 PAIRS_PER_BLOCK = 200
 
@@ -97,8 +101,9 @@ def minhash(shingles: np.ndarray, samples: int) -> np.ndarray:
     odd, flips = _factors(samples)
     least = np.full(samples, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for start in range(0, len(shingles), 2048):
-            block = shingles[start : start + 2048, None]
+        step = max(1, (1 << 18) // samples)
+        for start in range(0, len(shingles), step):
+            block = shingles[start : start + step, None]
             least = np.minimum(least, ((block ^ flips) * odd).min(axis=0))
     return least
 
@@ -152,9 +157,9 @@ def profiles(docs: DataFrame, words: int = WORDS, samples: int = SAMPLES) -> Dat
     )
 
 
-def sketch_distance(a: Column, b: Column) -> Column:
+def sketch_distance(a: Column, b: Column, bits: int = SKETCH_BITS) -> Column:
     """Ones in the XOR of two sketches."""
-    words = range(SKETCH_BITS // 64)
+    words = range(bits // 64)
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in words), F.lit(0))
 
 
@@ -164,9 +169,19 @@ def sketch_bound(floor: float = SKETCH_FLOOR, samples: int = SAMPLES, bits: int
     return int(np.ceil(bits / 2 * (1 - (1 - 2 / bits) ** different)))
 
 
+def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the documents with the given ids (and maybe of a few others).
+
+    A Bloom filter of the ids, of bounded size, picks the documents in the scan, so their
+    texts are not shuffled; more ids than it can hold are met by a join.
+    """
+    named = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter("id IS NOT NULL")
+    made, chosen = bloom.holding(named, ids, F.col("id"), F.col("id"))
+    return named.join(ids, "id", "left_semi") if made is None else chosen
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``(id, hashes)`` of the given documents' shingle sets."""
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
+    """``(id, hashes)`` of the shingle sets of the documents with the given ids."""
 
     def run(batches):
         made = shingler(words)
@@ -174,7 +189,21 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             found = [made.shingles(text).tobytes() for text in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "hashes"])
 
-    return chosen.mapInArrow(run, "id bigint, hashes binary").groupBy("id").agg(F.max("hashes").alias("hashes"))
+    made = chosen_texts(docs, ids).mapInArrow(run, "id bigint, hashes binary")
+    return made.groupBy("id").agg(F.max("hashes").alias("hashes"))
+
+
+def sharp_sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(id, sharp)``: sketches of many samples of the documents with the given ids."""
+
+    def run(batches):
+        made = shingler(words)
+        for batch in slices(batches):
+            sketches = [odd_sketch(minhash(made.shingles(text), SHARP_SAMPLES), SHARP_BITS) for text in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sketches, pa.list_(pa.int64()))], ["id", "sharp"])
+
+    made = chosen_texts(docs, ids).mapInArrow(run, "id bigint, sharp array<bigint>")
+    return made.groupBy("id").agg(F.max("sharp").alias("sharp"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -211,11 +240,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
             F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
         )
     )
+    sketches, bound = classes.select("rep", "sketch"), sketch_bound()
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut_lineage(placed.join(shared.select("bucket", "leader"), "bucket"))
-    sketches = classes.select("rep", "sketch")
-    bound = sketch_bound()
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    members = cut_lineage(placed.join(shared, "bucket").select("bucket", "rep", F.col("rep").alias("at")))
 
     def close(pairs: DataFrame) -> DataFrame:
         of_a = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -223,27 +251,41 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
         both = pairs.join(of_a, "a").join(of_b, "b")
         return both.filter(sketch_distance(F.col("sketch_a"), F.col("sketch_b")) <= bound).select("a", "b")
 
-    stars = members.filter("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut_lineage(verified(cut_lineage(close(stars)), docs, words, percent))
-    first = components(links)
-
-    # Classes of one bucket that the stars left apart meet each other.
-    labelled = (
-        members.select("bucket", "rep")
-        .join(first, F.col("rep") == F.col("node"), "left")
-        .select("bucket", "rep", F.coalesce("component", "rep").alias("at"))
-    )
-    apart = labelled.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
-    open_rows = cut_lineage(
-        labelled.join(apart.select("bucket"), "bucket").join(sketches, "rep").select("bucket", "rep", "at", "sketch")
+    def relabelled(members: DataFrame, at: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component."""
+        now = (
+            members.select("bucket", "rep")
+            .join(at, F.col("rep") == F.col("node"), "left")
+            .select("bucket", "rep", F.coalesce("component", "rep").alias("at"))
+        )
+        apart = now.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
+        return cut_lineage(now.join(apart.select("bucket"), "bucket"))
+
+    links, at = None, None
+    # Stars: first around each bucket's smallest id, which is the same class in many buckets;
+    # then around one by hash, which is another class in every bucket.
+    for place in (F.col("rep"), F.xxhash64("bucket", "rep")):
+        leaders = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "at"), place).alias("leader"))
+        star = members.join(leaders, "bucket").filter(F.col("at") != F.col("leader.at"))
+        pairs = star.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b")).distinct()
+        found = verified(cut_lineage(close(pairs)), docs, words, percent)
+        links = cut_lineage(found if links is None else links.union(found))
+        at = components(links)
+        members = relabelled(members, at)
+
+    # Classes of one bucket that the stars left apart meet each other, in the first bucket
+    # they share.
+    sharp = cut_lineage(sharp_sketches(docs, members.select(F.col("rep").alias("id")), words))
+    rows = cut_lineage(
+        members.join(classes.select("rep", "bands"), "rep").join(sharp, F.col("rep") == F.col("id")).select("bucket", "rep", "at", "bands", "sharp")
     )
-    left = open_rows.select("bucket", F.col("rep").alias("a"), F.col("at").alias("at_a"), F.col("sketch").alias("sketch_a"))
-    right = open_rows.select("bucket", F.col("rep").alias("b"), F.col("at").alias("at_b"), F.col("sketch").alias("sketch_b"))
-    near = sketch_distance(F.col("sketch_a"), F.col("sketch_b")) <= bound
-    crossing = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("at_a") < F.col("at_b")) & near)
-    pairs = cut_lineage(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    second = verified(pairs, docs, words, percent)
-    at = components(links.union(second))
+    left = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "at", "bands", "sharp")])
+    right = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rep", "at", "bands", "sharp")])
+    near = sketch_distance(F.col("sharp_a"), F.col("sharp_b"), SHARP_BITS) <= sketch_bound(SHARP_FLOOR, SHARP_SAMPLES, SHARP_BITS)
+    common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    crossing = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("at_a") < F.col("at_b")) & near & (F.get(common, F.lit(0)) == left["bucket"]))
+    pairs = cut_lineage(crossing.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
+    at = components(links.union(verified(pairs, docs, words, percent)))
 
     placed_classes = cut_lineage(
         classes.join(at, F.col("rep") == F.col("node"), "left").select(

@@ -7,7 +7,7 @@ answers exactly: the depth at which a key is first refused tells whether it is l
 filters are a few constants in the scan, so pages meet no join.
 
 Keys are hosts. Filters are bitmaps of 64-bit words, built by aggregation; a list whose
-first filter would pass ``MAX_WORDS`` words is looked up by a join instead.
+first filter would pass ``bloom.MAX_WORDS`` words is looked up by a join instead.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; an empty
 host is never listed; no rule and not listed means allow; repeated rows are judged one by
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm import bloom
 from rankloom.session import cut_lineage
 
 # Fixed values: (host, path, verdict) of the rules.
@@ -29,10 +30,6 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-# Bits per key and bits set per key: of the first filter, and of the later ones.
-FIRST, LATER = (10, 4), (4, 2)
-# Words of one filter at most: 8 MB.
-MAX_WORDS = 1 << 20
 MAX_LEVELS = 64
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,59 +57,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-class Filter:
-    """One level: a bitmap in a one-row table, and how to ask it."""
-
-    def __init__(self, bitmap: DataFrame, words: int, level: int, probes: int):
-        self.bitmap, self.words, self.level, self.probes = bitmap, words, level, probes
-
-    @staticmethod
-    def places(key: Column, words: int, level: int, probes: int) -> list[Column]:
-        first, step = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
-        # Both parts are below 2^31, so their sums cannot overflow.
-        part, stride = F.pmod(first, F.lit((1 << 31) - 1)), F.pmod(step, F.lit((1 << 31) - 1))
-        return [F.pmod(part + i * stride, F.lit(64 * words)) for i in range(probes)]
-
-    @classmethod
-    def build(cls, keys: DataFrame, count: int, level: int) -> Filter:
-        bits, probes = LATER if level else FIRST
-        words = max(1, -(-count * bits // 64))
-        spots = keys.select(F.explode(F.array(*cls.places(F.col("key"), words, level, probes))).alias("spot"))
-        bit = F.expr("shiftleft(1L, CAST(spot % 64 AS INT))")
-        filled = spots.groupBy(F.floor(F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
-        every = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("word"))
-        dense = every.join(filled, "word", "left").select(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("w"))
-        # One row of at most MAX_WORDS words.
-        bitmap = dense.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("bitmap"))
-        return cls(cut_lineage(bitmap), words, level, probes)
-
-    def accepts(self, key: Column) -> Column:
-        bitmap = self.bitmap.scalar()
-        hits = None
-        for spot in self.places(key, self.words, self.level, self.probes):
-            word = F.get(bitmap, F.floor(spot / 64).cast("int"))
-            hit = F.getbit(word, F.pmod(spot, F.lit(64)).cast("int")) == 1
-            hits = hit if hits is None else hits & hit
-        return hits
-
-
-def cascade(universe: DataFrame) -> list[Filter] | None:
+def cascade(universe: DataFrame) -> list[bloom.Filter] | None:
     """Filters over ``(key, listed)``, every key of the corpus once; None where the first would be too large."""
     sizes = {row["listed"]: row["count"] for row in universe.groupBy("listed").count().collect()}
     encoded, tested = universe.filter("listed").select("key"), universe.filter("NOT listed").select("key")
     count = sizes.get(True, 0)
-    filters: list[Filter] = []
+    filters: list[bloom.Filter] = []
     while count:
-        if -(-count * (LATER if filters else FIRST)[0] // 64) > MAX_WORDS or len(filters) == MAX_LEVELS:
+        if bloom.words_for(count, len(filters)) > bloom.MAX_WORDS or len(filters) == MAX_LEVELS:
             return None
-        filters.append(Filter.build(encoded, count, len(filters)))
+        filters.append(bloom.Filter.build(encoded, count, len(filters)))
         wrong = cut_lineage(tested.filter(filters[-1].accepts(F.col("key"))))
         # What was encoded is asked next: it must be told from the wrongly accepted keys.
         encoded, tested, count = wrong, encoded, wrong.count()
     return filters
 
 
-def listed_by(filters: list[Filter], key: Column) -> Column:
+def listed_by(filters: list[bloom.Filter], key: Column) -> Column:
     """Exact for keys of the corpus: the parity of the first level that refuses."""
     answer = F.lit(len(filters) % 2 == 1)
     for filter_ in reversed(filters):

@@ -11,7 +11,7 @@ import pytest
 from public_tokenizers import path
 
 import corpus_pipeline
-from rankloom.llm import language, multi_index, quality, url_filter
+from rankloom.llm import bloom, language, multi_index, quality, url_filter
 from rankloom.llm.catalog import ORACLE_SQL, QUERIES
 from rankloom.llm.components import components
 
@@ -137,7 +137,7 @@ def url_table(spark, tmp_path):
 @pytest.mark.parametrize("max_words", [1 << 20, 0])
 def test_urls(spark, root, url_table, monkeypatch, max_words):
     """Filters and the join beyond their bound judge alike."""
-    monkeypatch.setattr(url_filter, "MAX_WORDS", max_words)
+    monkeypatch.setattr(bloom, "MAX_WORDS", max_words)
     for at in (root, url_table):
         got = QUERIES["op4_url_filter"](spark, at)
         connection = duckdb.connect()
