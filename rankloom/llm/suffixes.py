@@ -12,8 +12,9 @@ same anchor. Runs of neighbouring start positions with one anchor are the unit o
    scanning the buckets of the first byte. Neighbours of the array with a common prefix of
    200 bytes are repeats.
 4. An anchor with very many different runs (the edges of a passage that many documents
-   share) would be one large group. Its positions are counted by the hash of their 200
-   bytes instead, with partial sums before the shuffle, and not grouped at all.
+   share) would be one large group. Its runs are cut into short parts, equal parts are
+   taken once, and the strings of what is left are counted by their hash, with partial
+   sums before the shuffle.
 5. Marks are merged per document into removed spans.
 
 Defined results: texts are UTF-8 bytes, a null is an empty text; texts shorter than the
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm import bloom
 from rankloom.llm.common import row_key, slices, texts
 from rankloom.llm.minhash import mix
 from rankloom.session import cut_lineage
@@ -41,7 +43,9 @@ GRAM = 32
 # A run of more positions is cut, so that texts of one repeated word stay in small rows.
 RUN_POSITIONS = 256
 # Different runs of one anchor that are sorted together; more go the way of step 4.
-GROUP_RUNS = 128
+GROUP_RUNS = 256
+# Positions of a part of a crowded anchor's run.
+PART_POSITIONS = 16
 # Bytes laid together for one suffix array.
 ARRAY_BYTES = 1 << 20
 
@@ -285,8 +289,39 @@ def sorted_marks(work: DataFrame, length: int) -> DataFrame:
     return dealt.sortWithinPartitions("anchor").mapInArrow(run, _MARKS)
 
 
-def counted_marks(work: DataFrame, length: int) -> DataFrame:
-    """The same marks for anchors with very many different runs: one count per distinct string."""
+def _parts(work: DataFrame, length: int, gram: int) -> DataFrame:
+    """Crowded runs cut into parts of ``PART_POSITIONS``, at places that lie alike around the anchor."""
+
+    def run(batches):
+        for batch in slices(batches, "data"):
+            rows = []
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "key_id", "key_text", "start", "n", "data"))
+            for anchor, key_id, key_text, start, n, raw in zip(*columns):
+                grams = gram_hashes(np.frombuffer(raw, np.uint8), gram).view(np.int64)
+                first, count = int((grams == anchor).argmax()) % PART_POSITIONS, len(raw) - length + 1
+                cuts = [0, *range(first or PART_POSITIONS, count, PART_POSITIONS), count]
+                for low, high in zip(cuts, cuts[1:]):
+                    part = raw[low : high + length - 1]
+                    digest = np.frombuffer(xxhash.xxh3_128_digest(part), np.int64)
+                    rows.append((int(digest[0]), int(digest[1]), key_id, key_text, start + low, high - low, n, part))
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            names = ["part_a", "part_b", "key_id", "key_text", "start", "size", "n", "data"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return work.mapInArrow(run, f"part_a bigint, part_b bigint, {_MARKS}, n bigint, data binary")
+
+
+def counted_marks(work: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same marks for anchors with very many different runs, without grouping them.
+
+    Runs are cut into short parts; equal parts repeat each other as a whole. One of each
+    lists the hashes of its strings, which are counted over all parts.
+    """
+    dealt = work.repartition("key_id", "start")
+    parts = cut_lineage(_parts(dealt, length, gram))
+    part = F.min(F.struct("key_id", "key_text", "start", "data")).alias("part")
+    kinds = cut_lineage(parts.groupBy("part_a", "part_b").agg(F.sum("n").alias("n"), part).select("part_a", "part_b", "n", "part.*"))
+    equal = parts.join(cut_lineage(kinds.filter("n > 1").select("part_a", "part_b")), ["part_a", "part_b"])
 
     def positions(batches):
         for batch in slices(batches, "data"):
@@ -297,8 +332,8 @@ def counted_marks(work: DataFrame, length: int) -> DataFrame:
                 made.append((np.full(n, at), np.arange(n), np.frombuffer(digests, np.int64).reshape(-1, 2)))
             if made:
                 rows, places, codes = (np.concatenate(column) for column in zip(*made))
+                starts = batch.column("start").to_numpy()[rows] + places
                 rows = pa.array(rows)
-                starts = batch.column("start").to_numpy()[rows.to_numpy()] + places
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(codes[:, 0].copy()),
@@ -311,15 +346,15 @@ def counted_marks(work: DataFrame, length: int) -> DataFrame:
                     ["code_a", "code_b", "key_id", "key_text", "start", "n"],
                 )
 
-    dealt = work.select("key_id", "key_text", "start", "n", "data").repartition("key_id", "start")
-    places = cut_lineage(
-        dealt.mapInArrow(positions, "code_a bigint, code_b bigint, key_id bigint, key_text bigint, start int, n bigint")
-    )
-    often = cut_lineage(
-        places.groupBy("code_a", "code_b").agg(F.sum("n").alias("times")).filter("times > 1").select("code_a", "code_b")
+    strings = kinds.select("key_id", "key_text", "start", "n", "data").mapInArrow(
+        positions, "code_a bigint, code_b bigint, key_id bigint, key_text bigint, start int, n bigint"
     )
-    hits = places.join(often, ["code_a", "code_b"])
-    return hits.select("key_id", "key_text", "start", F.lit(1).alias("size"))
+    strings = cut_lineage(strings)
+    often = strings.groupBy("code_a", "code_b").agg(F.sum("n").alias("times")).filter("times > 1").select("code_a", "code_b")
+    # Parts that have an equal are marked already.
+    hits = strings.filter("n = 1").join(cut_lineage(often), ["code_a", "code_b"])
+    columns = ["key_id", "key_text", "start"]
+    return equal.select(*columns, "size").union(hits.select(*columns, F.lit(1).alias("size")))
 
 
 def repeat_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -356,13 +391,17 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             names = ["anchor", "kinds", "key_id", "key_text", "start", "n", "data"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    # Repeated rows share a key and a text: either of them serves.
-    keyed = docs.select(*row_key(), "text").join(by_row, ["key_id", "key_text"])
+    # A Bloom filter of bounded size picks the texts in the scan, so that others are not
+    # shuffled. Repeated rows share a key and a text: either of them serves.
+    by_row = cut_lineage(by_row)
+    code = F.xxhash64("key_id", "key_text")
+    _, chosen = bloom.holding(docs.select(*row_key(), "text"), by_row, code, code)
+    keyed = chosen.join(by_row, ["key_id", "key_text"])
     work = cut_lineage(
         keyed.mapInArrow(cut, "anchor bigint, kinds bigint, key_id bigint, key_text bigint, start int, n bigint, data binary")
     )
     few = sorted_marks(work.filter(F.col("kinds") <= GROUP_RUNS), length)
-    many = counted_marks(work.filter(F.col("kinds") > GROUP_RUNS), length)
+    many = counted_marks(work.filter(F.col("kinds") > GROUP_RUNS), length, gram)
     return equal.union(few).union(many)
 
 
@@ -385,8 +424,14 @@ def _marked(docs: DataFrame, length: int, gram: int, columns: list[str]) -> Data
     )
     keys = [c.alias(f"_{name}") for c, name in zip(row_key(), ("key_id", "key_text"))]
     left = docs.select(*columns, *keys)
-    joined = left.join(per_row, (left["_key_id"] == per_row["key_id"]) & (left["_key_text"] == per_row["key_text"]), "left")
-    return joined.select(*columns, "_marks")
+    # Rows that the filter refuses have no marks and are not joined.
+    named, code = F.xxhash64("_key_id", "_key_text"), F.xxhash64("key_id", "key_text")
+    made, chosen = bloom.holding(left, per_row, named, code)
+    joined = chosen.join(per_row, (chosen["_key_id"] == per_row["key_id"]) & (chosen["_key_text"] == per_row["key_text"]), "left").select(*columns, "_marks")
+    if made is None:
+        return joined
+    free = left.filter(~made.accepts(named)).select(*columns, F.lit(None).cast(per_row.schema["_marks"].dataType).alias("_marks"))
+    return joined.union(free)
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
