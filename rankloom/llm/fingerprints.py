@@ -104,7 +104,7 @@ def _links(docs: DataFrame) -> DataFrame:
         F.col("key_text").alias("prev_text"),
         F.floor(F.col("n") / 4).alias("wanted"),
     )
-    return cut_lineage(numbered.join(before, "number").select(*KEYS, "copies", "prev_id", "prev_text", "wanted"))
+    return cut_lineage(numbered.join(before, "number").select(*KEYS, "doc_id", "copies", "prev_id", "prev_text", "wanted"))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
@@ -113,7 +113,9 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     ``(doc_id, key_id, key_text, copies, prev_id, prev_text, n_chars, text, edited)``
     """
     links = _links(docs)
-    keyed = docs.select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("text"))
+    # The id comes from the links: with only keys and text, both uses of ``own`` shuffle the
+    # same columns of the documents, and Spark does it once.
+    keyed = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
     own = keyed.join(links, KEYS)
     if links.filter("copies > 1").limit(1).count():
         own = own.dropDuplicates(KEYS)
