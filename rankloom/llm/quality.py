@@ -119,12 +119,13 @@ def dual_coordinate_descent(rows: list[tuple[int, np.ndarray]], scale: np.ndarra
     share = max((target > 0).mean(), 1e-9)
     bounds = np.where(target > 0, cost / (2 * share), cost / (2 * max(1 - share, 1e-9)))
     weights, bias, alphas = np.zeros(PLACES), 0.0, np.zeros(len(rows))
-    scaled = [scale[places] for _, places in rows]
-    norms = np.array([float(x @ x) + 1.0 for x in scaled])
+    squares = scale * scale
+    norms = np.array([float(squares[places].sum()) + 1.0 for _, places in rows])
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(rows)).tolist():
-            places, x = rows[i][1], scaled[i]
+            places = rows[i][1]
+            x = scale[places]
             slope = target[i] * (float(weights[places] @ x) + bias) - 1.0
             alpha = min(max(alphas[i] - slope / norms[i], 0.0), bounds[i])
             step = (alpha - alphas[i]) * target[i]
