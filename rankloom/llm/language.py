@@ -3,10 +3,11 @@
 Each language has a probability for each piece of a fixed public vocabulary. A word's
 probability is the sum over all ways to cut it into pieces, by the forward algorithm; a
 text's is the product over its words. The probabilities are estimated by
-expectation-maximisation over the same sums, from the words of at most ``DOCS_PER_LANG``
-documents of each language (chosen by the hash of their id) and at most ``MAX_WORDS``
-counted words in all. Every text is then scored whole, in one pass without a shuffle; the
-tasks are given one probability per piece and language.
+expectation-maximisation over the same sums, from all words of at most ``DOCS_PER_LANG``
+documents of each language (chosen by the hash of their id). The words stay in Spark: a
+round's tasks return sums per language and piece, in whole steps of 2^-24, so they do not
+depend on how the words are dealt. Every text is then scored whole, in one pass without a
+shuffle; the tasks are given one probability per piece and language.
 
 Defined results: words are runs of letters, in lower case; a null text or one without a
 letter is ``und`` with score 0, as is everything when no document is labelled; equal
@@ -29,10 +30,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import CACHE_ENTRIES, slices, texts
+from rankloom.session import cut_lineage
 
 FOLDS, HELD_FOLD = 4, 2
 DOCS_PER_LANG = 400
-MAX_WORDS = 200_000
 MAX_LANGS = 400
 ROUNDS = 3
 PIECE_CHARS = 16
@@ -40,6 +41,8 @@ SMOOTHING = 0.05
 START = "▁"
 _WORDS = re.compile(r"[^\W\d_]+")
 _RESCALE = 12
+# Expected counts are summed as whole numbers of this part.
+_STEP = 2.0**-24
 
 
 def words_of(text: str) -> list[str]:
@@ -117,35 +120,61 @@ def log_chances(words: list[str], made: Pieces, chances: np.ndarray) -> np.ndarr
     return out
 
 
-def estimate(words: list[str], counts: np.ndarray, made: Pieces, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities per language from word counts ``(words, languages)``."""
-    langs = counts.shape[1]
-    chances = np.full((made.size, langs), 1.0 / made.size)
-    chances[made.none] = 0
+def expected(words: list[str], langs: np.ndarray, weights: np.ndarray, made: Pieces, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of pieces over all segmentations of words, each of its own language and weight.
+
+    Returns ``piece * languages + language`` and the counts in steps of ``_STEP``, one row
+    per block that has them.
+    """
+    count = chances.shape[1]
     # Words of more letters teach nothing that shorter ones do not, and need no backward scaling below it.
-    usable = [i for i, word in enumerate(words) if len(word) < 32]
+    usable = np.array([i for i, word in enumerate(words) if len(word) < 32], np.int64)
     marked = [START + words[i] for i in usable]
-    counts = counts[usable]
-    blocks = [(places, made.table([marked[i] for i in places])) for places in by_length(marked)]
+    langs, weights = langs[usable], weights[usable]
+    keys, totals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for places in by_length(marked):
+        spans, n, lang = made.table([marked[i] for i in places]), len(marked[places[0]]), langs[places]
+        ahead = [np.ones(len(places))]
+        for j in range(1, n + 1):
+            ahead.append(sum(ahead[i] * chances[ids, lang] for i in range(max(0, j - PIECE_CHARS), j) if (ids := spans.get((i, j))) is not None))
+        behind = [None] * n + [np.ones(len(places))]
+        for i in range(n - 1, -1, -1):
+            behind[i] = sum(behind[j] * chances[ids, lang] for j in range(i + 1, min(n, i + PIECE_CHARS) + 1) if (ids := spans.get((i, j))) is not None)
+        share = weights[places] / np.maximum(ahead[n], 1e-300)
+        met, parts = [], []
+        for (i, j), ids in spans.items():
+            at = np.flatnonzero(ids != made.none)
+            met.append(ids[at].astype(np.int64) * count + lang[at])
+            parts.append(np.rint((ahead[i] * chances[ids, lang] * behind[j] * share)[at] / _STEP))
+        key, at = np.unique(np.concatenate(met), return_inverse=True)
+        keys.append(key)
+        totals.append(np.bincount(at, np.concatenate(parts)).astype(np.int64))
+    return np.concatenate(keys), np.concatenate(totals)
+
+
+def estimate(counted: DataFrame, langs: list[str], path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities per language from word counts ``(lang, word, n)``."""
+    made, at = pieces(path), {lang: i for i, lang in enumerate(langs)}
+    chances = np.full((made.size, len(langs)), 1.0 / made.size)
+    chances[made.none] = 0
     for _ in range(rounds):
-        expected = np.zeros_like(chances)
-        for places, spans in blocks:
-            n, weight = len(marked[places[0]]), counts[places]
-            ahead = [np.ones_like(weight)]
-            for j in range(1, n + 1):
-                ahead.append(sum(ahead[i] * chances[ids] for i in range(max(0, j - PIECE_CHARS), j) if (ids := spans.get((i, j))) is not None))
-            behind = [None] * n + [np.ones_like(weight)]
-            for i in range(n - 1, -1, -1):
-                behind[i] = sum(behind[j] * chances[ids] for j in range(i + 1, min(n, i + PIECE_CHARS) + 1) if (ids := spans.get((i, j))) is not None)
-            share = weight / np.maximum(ahead[n], 1e-300)
-            for (i, j), ids in spans.items():
-                part = ahead[i] * chances[ids] * behind[j] * share
-                for lang in range(langs):
-                    expected[:, lang] += np.bincount(ids, part[:, lang], made.size)
-        expected[made.none] = 0
-        chances = expected + SMOOTHING
+        shared = counted.sparkSession.sparkContext.broadcast(chances)
+
+        def run(batches):
+            for batch in slices(batches, "word"):
+                numbers = np.fromiter(map(at.__getitem__, batch.column("lang").to_pylist()), np.int64, batch.num_rows)
+                weights = batch.column("n").to_numpy().astype(np.float64)
+                found = expected(batch.column("word").to_pylist(), numbers, weights, pieces(path), shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in found], ["key", "total"])
+
+        # One row per piece and language reaches the driver.
+        sums = counted.mapInArrow(run, "key bigint, total bigint").groupBy("key").agg(F.sum("total").alias("total")).toArrow()
+        chances = np.full(chances.size, SMOOTHING)
+        chances[sums.column("key").to_numpy()] += sums.column("total").to_numpy() * _STEP
+        chances = chances.reshape(made.size, len(langs))
         chances[made.none] = 0
         chances /= chances.sum(axis=0)
+        shared.unpersist()
     return chances
 
 
@@ -169,14 +198,11 @@ def fit(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, [pa.string(), pa.string(), pa.int64()])], ["lang", "word", "n"])
 
     words = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, word string, n bigint")
-    counted = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(MAX_WORDS).collect()
-    langs = sorted({row["lang"] for row in counted})
-    places = {word: i for i, word in enumerate(dict.fromkeys(row["word"] for row in counted))}
-    counts = np.zeros((len(places), len(langs)))
-    at = {lang: i for i, lang in enumerate(langs)}
-    for row in counted:
-        counts[places[row["word"]], at[row["lang"]]] += row["n"]
-    return langs, estimate(list(places), counts, pieces(path)) if langs else np.zeros((0, 0))
+    # Dealt evenly, as a word costs far more time than bytes.
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    counted = cut_lineage(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(tasks, "lang", "word"))
+    langs = sorted(row["lang"] for row in counted.select("lang").distinct().collect())
+    return langs, estimate(counted, langs, path) if langs else np.zeros((0, 0))
 
 
 class Scorer:

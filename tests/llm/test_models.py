@@ -229,6 +229,54 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(long).all()
 
 
+def _expected_plain(words, langs, weights, made, chances):
+    """Expected piece counts by listing every segmentation."""
+
+    def ways(word):
+        if not word:
+            yield []
+        for j in range(1, len(word) + 1):
+            piece = made.ids.get(word[:j], made.unknown if j == 1 else made.none)
+            if piece != made.none:
+                yield from ([piece, *rest] for rest in ways(word[j:]))
+
+    want = Counter()
+    for word, lang, weight in zip(words, langs, weights):
+        found = [(way, math.prod(chances[piece, lang] for piece in way)) for way in ways(language.START + word)]
+        for way, chance in found:
+            for piece in way:
+                want[piece * chances.shape[1] + lang] += weight * chance / sum(c for _, c in found)
+    return want
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    made = language.pieces(path("piece_bpe_32k.model"))
+    random = np.random.default_rng(2)
+    chances = random.random((made.size, 3)) / 50
+    chances[made.none] = 0
+    words, langs, weights = ["the", "a", "élan", "station", "數字", "the"], np.array([0, 1, 2, 1, 0, 2]), np.array([3.0, 1, 2, 5, 1, 7])
+    got = Counter()
+    for key, total in zip(*language.expected(words, langs, weights, made, chances)):
+        got[int(key)] += int(total) * language._STEP
+    want = _expected_plain(words, langs, weights, made, chances)
+    assert got.keys() <= want.keys() and all(abs(got[key] - n) < 1e-5 for key, n in want.items())
+
+
+def test_languages_with_rare_words_are_learned_beside_large_ones(spark):
+    """More frequent words of one language take nothing from another, whatever their number and names."""
+    letters = "abcdefghijklmnopqrst"
+    word = lambda n: "".join(letters[n // 20**k % 20] for k in range(5))
+    rows = [(i, " ".join(word(600 * i + k) for k in range(600)) + "\n", "aa") for i in range(560)]
+    rows = [(i, 2 * text, lang) for i, text, lang in rows] + [(1000 + i, f"żółw{letters[i]} gęś{letters[i]}", "zz") for i in range(20)]
+    docs, pieces = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4), path("piece_bpe_32k.model")
+    langs, chances = language.fit(docs, pieces)
+    assert langs == ["aa", "zz"] and chances.shape[1] == 2
+    pred = language.languages(docs.filter("doc_id >= 1000 OR doc_id < 20"), pieces, langs, chances).collect()
+    assert all(r.lang_pred == ("zz" if r.doc_id >= 1000 else "aa") for r in pred)
+    again = language.fit(docs.repartition(7), pieces)[1]
+    assert (again == chances).all()
+
+
 def test_languages_of_odd_tables(spark):
     docs, pieces = _odd_docs(spark), path("piece_bpe_32k.model")
     rows = {r.doc_id: r for r in language.languages(docs, pieces, *language.fit(docs, pieces)).collect()}
