@@ -101,14 +101,15 @@ def forward(spans: dict, n: int, chances: np.ndarray, count: int) -> tuple[list[
     return sums, logs
 
 
-def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
-    """Places of words of equal length, in blocks."""
+def by_length(words: list[str], most: int = 20_000, letters: int = 600_000) -> Iterator[list[int]]:
+    """Places of words of equal length, in blocks of at most so many words and letters (or of one word)."""
     groups = defaultdict(list)
     for at, word in enumerate(words):
         groups[len(word)].append(at)
-    for places in groups.values():
-        for start in range(0, len(places), most):
-            yield places[start : start + most]
+    for length, places in groups.items():
+        step = max(1, min(most, letters // max(1, length)))
+        for start in range(0, len(places), step):
+            yield places[start : start + step]
 
 
 def log_chances(words: list[str], made: Pieces, chances: np.ndarray) -> np.ndarray:
@@ -127,25 +128,29 @@ def expected(words: list[str], langs: np.ndarray, weights: np.ndarray, made: Pie
     per block that has them.
     """
     count = chances.shape[1]
-    # Words of more letters teach nothing that shorter ones do not, and need no backward scaling below it.
-    usable = np.array([i for i, word in enumerate(words) if len(word) < 32], np.int64)
-    marked = [START + words[i] for i in usable]
-    langs, weights = langs[usable], weights[usable]
+    marked = [START + word for word in words]
     keys, totals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for places in by_length(marked):
         spans, n, lang = made.table([marked[i] for i in places]), len(marked[places[0]]), langs[places]
-        ahead = [np.ones(len(places))]
+        # Sums are kept as fractions and powers of two, so long words neither vanish nor round.
+        ahead, up = [np.ones(len(places))], [np.zeros(len(places), np.int32)]
         for j in range(1, n + 1):
-            ahead.append(sum(ahead[i] * chances[ids, lang] for i in range(max(0, j - PIECE_CHARS), j) if (ids := spans.get((i, j))) is not None))
-        behind = [None] * n + [np.ones(len(places))]
+            near = ((i, ids) for i in range(max(0, j - PIECE_CHARS), j) if (ids := spans.get((i, j))) is not None)
+            part, power = np.frexp(sum(np.ldexp(ahead[i] * chances[ids, lang], up[i] - up[j - 1]) for i, ids in near))
+            ahead.append(part)
+            up.append(up[j - 1] + power)
+        behind, down = [None] * n + [np.ones(len(places))], [None] * n + [np.zeros(len(places), np.int32)]
         for i in range(n - 1, -1, -1):
-            behind[i] = sum(behind[j] * chances[ids, lang] for j in range(i + 1, min(n, i + PIECE_CHARS) + 1) if (ids := spans.get((i, j))) is not None)
-        share = weights[places] / np.maximum(ahead[n], 1e-300)
+            near = ((j, ids) for j in range(i + 1, min(n, i + PIECE_CHARS) + 1) if (ids := spans.get((i, j))) is not None)
+            behind[i], power = np.frexp(sum(np.ldexp(behind[j] * chances[ids, lang], down[j] - down[i + 1]) for j, ids in near))
+            down[i] = down[i + 1] + power
+        share = weights[places] / ahead[n]
         met, parts = [], []
         for (i, j), ids in spans.items():
             at = np.flatnonzero(ids != made.none)
             met.append(ids[at].astype(np.int64) * count + lang[at])
-            parts.append(np.rint((ahead[i] * chances[ids, lang] * behind[j] * share)[at] / _STEP))
+            part = np.ldexp(ahead[i] * chances[ids, lang] * behind[j] * share, up[i] + down[j] - up[n])
+            parts.append(np.rint(part[at] / _STEP))
         key, at = np.unique(np.concatenate(met), return_inverse=True)
         keys.append(key)
         totals.append(np.bincount(at, np.concatenate(parts)).astype(np.int64))

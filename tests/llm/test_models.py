@@ -262,6 +262,27 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert got.keys() <= want.keys() and all(abs(got[key] - n) < 1e-5 for key, n in want.items())
 
 
+def test_long_runs_are_learned_from(spark):
+    """As in text written without blanks: each segmentation of a run covers all its letters."""
+    made = language.pieces(path("piece_bpe_32k.model"))
+    random = np.random.default_rng(3)
+    chances = random.random((made.size, 2)) / 50
+    chances[made.none] = 0
+    sizes = {i: len(piece) for piece, i in made.ids.items()} | {made.unknown: 1}
+    short, langs = ["station", "數字"], np.array([1, 0])
+    for words in (short, ["station" * 5, "數字" * 20], ["station" * 400, "數字" * 1500]):
+        keys, totals = language.expected(words, langs, np.array([3.0, 2.0]), made, chances)
+        for lang, weight in ((0, 2), (1, 3)):
+            letters = sum(int(n) * language._STEP * sizes[int(key) // 2] for key, n in zip(keys, totals) if key % 2 == lang)
+            assert abs(letters - weight * (len(words[langs.tolist().index(lang)]) + 1)) < 1e-2
+    runs = {"aa": "thestationofthelastlineintown", "bb": "數字文本語言模型"}
+    rows = [(i, runs[lang] * (2 + i % 40), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    docs, pieces = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), path("piece_bpe_32k.model")
+    langs, learned = language.fit(docs, pieces)
+    assert langs == ["aa", "bb"] and all(len(set(learned[:, i])) > 3 for i in range(2))
+    assert all(r.lang_pred == ["aa", "bb"][r.doc_id % 2] for r in language.languages(docs, pieces, langs, learned).collect())
+
+
 def test_languages_with_rare_words_are_learned_beside_large_ones(spark):
     """More frequent words of one language take nothing from another, whatever their number and names."""
     letters = "abcdefghijklmnopqrst"
