@@ -47,6 +47,8 @@ SKETCH_FLOOR = 0.5
 SHARP_SAMPLES, SHARP_BITS, SHARP_FLOOR = 2048, 4096, 0.7
 # Copies of a set that meets many others are dealt to as many tasks as it has blocks.
 PAIRS_PER_BLOCK = 200
+# Classes of one bucket that meet each other are dealt to blocks of about this many.
+BLOCK_CLASSES = 2048
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,6 +233,24 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return right.join(left, ["a", "block"]).select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def met_in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of rows of one bucket with different ``at``, each once, as ``columns`` with _a and _b.
+
+    A bucket is cut into blocks by the hash of ``rep``, as many as its size asks for, and
+    each two blocks meet under a key of their own: no task gets all of a large bucket.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+
+    def side(end: str, s: Column, t: Column) -> DataFrame:
+        return placed.select("bucket", s.alias("s"), t.alias("t"), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+
+    left = side("a", F.col("own"), F.explode(F.sequence("own", F.col("blocks") - 1)))
+    right = side("b", F.explode(F.sequence(F.lit(0), "own")), F.col("own"))
+    once = (F.col("s") < F.col("t")) | (F.col("rep_a") < F.col("rep_b"))
+    return left.hint("merge").join(right, ["bucket", "s", "t"]).filter((F.col("at_a") != F.col("at_b")) & once)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``."""
     made = cut_lineage(profiles(docs, words))
@@ -279,11 +299,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     rows = cut_lineage(
         members.join(classes.select("rep", "bands"), "rep").join(sharp, F.col("rep") == F.col("id")).select("bucket", "rep", "at", "bands", "sharp")
     )
-    left = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "at", "bands", "sharp")])
-    right = rows.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rep", "at", "bands", "sharp")])
     near = sketch_distance(F.col("sharp_a"), F.col("sharp_b"), SHARP_BITS) <= sketch_bound(SHARP_FLOOR, SHARP_SAMPLES, SHARP_BITS)
     common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    crossing = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("at_a") < F.col("at_b")) & near & (F.get(common, F.lit(0)) == left["bucket"]))
+    crossing = met_in_blocks(rows, ["rep", "at", "bands", "sharp"]).filter(near & (F.get(common, F.lit(0)) == F.col("bucket")))
     pairs = cut_lineage(crossing.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
     at = components(links.union(verified(pairs, docs, words, percent)))
 

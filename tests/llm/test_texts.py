@@ -216,6 +216,21 @@ def test_near_duplicates_of_a_chain(spark):
     assert got == {i: v[1] for i, v in _near_plain([(r[0], r[1]) for r in rows]).items()}
 
 
+def test_classes_of_a_large_bucket_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 16)
+    rows = [(bucket, rep, rep % 3) for bucket, n in ((7, 200), (8, 5), (9, 1)) for rep in range(n)]
+    pairs = minhash.met_in_blocks(spark.createDataFrame(rows, "bucket bigint, rep bigint, at bigint"), ["rep", "at"]).collect()
+    got = Counter((r.bucket, *sorted((r.rep_a, r.rep_b))) for r in pairs)
+    assert got == Counter((x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2])
+    # No key holds a share of a bucket that grows with it.
+    assert max(Counter((r.bucket, r.s, r.t) for r in pairs).values()) < 40 * 40
+
+
+def test_near_duplicates_of_a_chain_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_CLASSES", 2)
+    test_near_duplicates_of_a_chain(spark)
+
+
 def test_odd_sketches_estimate_similarity():
     random = np.random.default_rng(0)
     bound = minhash.sketch_bound()
