@@ -15,8 +15,8 @@
 Defined results: words are runs without ASCII blanks, A-Z in lower case. A text of fewer
 than five words is one shingle; one without words, or a null, has no shingles and links
 with nothing. A row with a null ``doc_id`` links with nothing, has no component and is
-kept. Rows that repeat a ``doc_id`` count as one document
-(with different texts: linked through the id). Extra columns are not read.
+kept. Rows that repeat a ``doc_id`` count as one document (with different texts: each
+text has its own links, and they are linked through the id). Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from rankloom.llm import bloom
 from rankloom.llm.common import CACHE_ENTRIES, slices, texts
 from rankloom.llm.components import components
+from rankloom.operators.ordering import number_all
 from rankloom.session import cut_lineage
 
 WORDS = 5
@@ -182,44 +183,76 @@ def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return named.join(ids, "id", "left_semi") if made is None else chosen
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``(id, hashes)`` of the shingle sets of the documents with the given ids."""
+def set_names(found: list[np.ndarray]) -> list[pa.Array]:
+    """``set_a`` and ``set_b`` of shingle sets; 0 for an empty one."""
+    names = np.zeros((len(found), 2), np.int64)
+    for at, shingles in enumerate(found):
+        if len(shingles):
+            names[at] = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+    return [pa.array(names[:, 0]), pa.array(names[:, 1])]
+
+
+def of_classes(docs: DataFrame, wanted: DataFrame, words: int, name: str, kind: str, make) -> DataFrame:
+    """``(rep, name)``: what ``make`` says of the shingle sets of the classes ``(rep, doc, set_a, set_b)``.
+
+    A class is found by a document's id and the set itself, as an id may repeat with other texts.
+    """
+    keys = ["id", "set_a", "set_b"]
 
     def run(batches):
         made = shingler(words)
         for batch in slices(batches):
-            found = [made.shingles(text).tobytes() for text in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "hashes"])
+            found = [made.shingles(text) for text in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *set_names(found), make(found)], [*keys, name])
 
-    made = chosen_texts(docs, ids).mapInArrow(run, "id bigint, hashes binary")
-    return made.groupBy("id").agg(F.max("hashes").alias("hashes"))
+    wanted = wanted.select("rep", F.col("doc").alias("id"), "set_a", "set_b")
+    made = chosen_texts(docs, wanted.select("id").distinct()).mapInArrow(run, f"id bigint, set_a bigint, set_b bigint, {name} {kind}")
+    return made.groupBy(*keys).agg(F.max(name).alias(name)).join(wanted, keys).select("rep", name)
 
 
-def sharp_sketches(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``(id, sharp)``: sketches of many samples of the documents with the given ids."""
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``(rep, hashes)`` of the shingle sets of the given classes."""
+    return of_classes(docs, wanted, words, "hashes", "binary", lambda found: pa.array([x.tobytes() for x in found], pa.binary()))
 
-    def run(batches):
-        made = shingler(words)
-        for batch in slices(batches):
-            sketches = [odd_sketch(minhash(made.shingles(text), SHARP_SAMPLES), SHARP_BITS) for text in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sketches, pa.list_(pa.int64()))], ["id", "sharp"])
 
-    made = chosen_texts(docs, ids).mapInArrow(run, "id bigint, sharp array<bigint>")
-    return made.groupBy("id").agg(F.max("sharp").alias("sharp"))
+def sharp_sketches(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``(rep, sharp)``: sketches of many samples of the given classes."""
 
+    def make(found):
+        return pa.array([odd_sketch(minhash(x, SHARP_SAMPLES), SHARP_BITS) for x in found], pa.list_(pa.int64()))
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    return of_classes(docs, wanted, words, "sharp", "array<bigint>", make)
+
+
+def numbered(filled: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Classes with a number ``rep`` of their own, and pairs of classes that share a document's id.
+
+    The number is the smallest id; where an id repeats with other texts, it is the place by smallest id and set.
+    """
+    name = F.struct("set_a", "set_b")
+    several = filled.groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).filter("low <> high").select("doc_id")
+    several = cut_lineage(several)
+    if not several.limit(1).count():
+        return made.withColumn("rep", F.col("doc")), None
+    classes = number_all(made, [F.col("doc"), F.col("set_a"), F.col("set_b")], "rep")
+    classes = cut_lineage(classes)
+    texts_of = filled.join(several, "doc_id").select("doc_id", "set_a", "set_b").distinct().join(classes.select("rep", "set_a", "set_b"), ["set_a", "set_b"])
+    first = texts_of.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return classes, cut_lineage(texts_of.join(first, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct())
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` with 100 * intersection >= percent * union of their full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut_lineage(sets_of(docs, ids, words))
+    reps = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    sets = cut_lineage(sets_of(docs, classes.join(reps, "rep"), words))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_BLOCK).cast("int").alias("n_blocks"))
     left = (
-        blocks.join(sets, F.col("a") == F.col("id"))
+        blocks.join(sets, F.col("a") == F.col("rep"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select("a", "block", F.col("hashes").alias("hashes_a"))
     )
     dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "n_blocks").cast("int").alias("block"))
-    right = dealt.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    right = dealt.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hashes_b")), "b")
 
     def run(batches):
         for batch in slices(batches, "hashes_b"):
@@ -257,9 +290,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     filled = made.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = cut_lineage(
         filled.groupBy("set_a", "set_b").agg(
-            F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")
         )
     )
+    classes, links = numbered(filled, classes)
+    repeated = links is not None
     sketches, bound = classes.select("rep", "sketch"), sketch_bound()
     placed = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
@@ -281,35 +316,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
         apart = now.groupBy("bucket").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high")
         return cut_lineage(now.join(apart.select("bucket"), "bucket"))
 
-    links, at = None, None
+    at = None
     # Stars: first around each bucket's smallest id, which is the same class in many buckets;
     # then around one by hash, which is another class in every bucket.
     for place in (F.col("rep"), F.xxhash64("bucket", "rep")):
         leaders = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "at"), place).alias("leader"))
         star = members.join(leaders, "bucket").filter(F.col("at") != F.col("leader.at"))
         pairs = star.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b")).distinct()
-        found = verified(cut_lineage(close(pairs)), docs, words, percent)
+        found = verified(cut_lineage(close(pairs)), docs, classes, words, percent)
         links = cut_lineage(found if links is None else links.union(found))
         at = components(links)
         members = relabelled(members, at)
 
     # Classes of one bucket that the stars left apart meet each other, in the first bucket
     # they share.
-    sharp = cut_lineage(sharp_sketches(docs, members.select(F.col("rep").alias("id")), words))
-    rows = cut_lineage(
-        members.join(classes.select("rep", "bands"), "rep").join(sharp, F.col("rep") == F.col("id")).select("bucket", "rep", "at", "bands", "sharp")
-    )
+    sharp = cut_lineage(sharp_sketches(docs, classes.join(members.select("rep").distinct(), "rep"), words))
+    rows = cut_lineage(members.join(classes.select("rep", "bands"), "rep").join(sharp, "rep").select("bucket", "rep", "at", "bands", "sharp"))
     near = sketch_distance(F.col("sharp_a"), F.col("sharp_b"), SHARP_BITS) <= sketch_bound(SHARP_FLOOR, SHARP_SAMPLES, SHARP_BITS)
     common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     crossing = met_in_blocks(rows, ["rep", "at", "bands", "sharp"]).filter(near & (F.get(common, F.lit(0)) == F.col("bucket")))
     pairs = cut_lineage(crossing.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
-    at = components(links.union(verified(pairs, docs, words, percent)))
+    at = components(links.union(verified(pairs, docs, classes, words, percent)))
 
-    placed_classes = cut_lineage(
-        classes.join(at, F.col("rep") == F.col("node"), "left").select(
-            "set_a", "set_b", F.coalesce("component", "rep").alias("component")
-        )
+    placed_classes = classes.join(at, F.col("rep") == F.col("node"), "left").select(
+        "set_a", "set_b", F.coalesce("component", "rep").alias("component")
     )
+    if repeated:
+        named = classes.select(F.col("rep").alias("component"), "doc")
+        placed_classes = placed_classes.join(named, "component").select("set_a", "set_b", F.col("doc").alias("component"))
+    placed_classes = cut_lineage(placed_classes)
     return (
         made.select("doc_id", "n_shingles", "set_a", "set_b")
         .join(placed_classes, ["set_a", "set_b"], "left")

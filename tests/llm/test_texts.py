@@ -216,6 +216,17 @@ def test_near_duplicates_of_a_chain(spark):
     assert got == {i: v[1] for i, v in _near_plain([(r[0], r[1]) for r in rows]).items()}
 
 
+def test_near_duplicates_where_an_id_repeats_with_other_texts(spark):
+    """Every text of the id has its links, and the id links its texts."""
+    words = [[f"{kind}{i}" for i in range(60)] for kind in "abc"]
+    one, two, three = (" ".join(w) for w in words)
+    near_one, near_two, near_three = (" ".join(w[1:]) for w in words)
+    rows = [(5, one), (5, two), (7, near_one), (8, near_two), (2, three), (9, three), (9, "some other words that are far from all of these"), (4, near_three)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (8, 5, False), (2, 2, True), (9, 2, False), (4, 2, False)}
+
+
 def test_classes_of_a_large_bucket_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_CLASSES", 16)
     rows = [(bucket, rep, rep % 3) for bucket, n in ((7, 200), (8, 5), (9, 1)) for rep in range(n)]
