@@ -44,7 +44,8 @@ def lane_sums(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     pieces = paragraphs.select(*keys, "paragraph", F.posexplode_outer(F.regexp_extract_all("paragraph", F.lit(PIECE), F.lit(0))).alias("at", "piece"))
     # A paragraph's own hash counts with its first piece, or alone where it has none.
     own = (F.coalesce(F.col("at"), F.lit(0)) == 0) & (F.col("paragraph") != "")
-    words = [F.when(own, F.xxhash64("paragraph", F.lit(i))).otherwise(F.lit(0)).alias(f"h{i}") for i in range(EXACT_LANES // 2)]
+    # The number comes first, as a seed: the paragraph itself is hashed for every word.
+    words = [F.when(own, F.xxhash64(F.lit(i), "paragraph")).otherwise(F.lit(0)).alias(f"h{i}") for i in range(EXACT_LANES // 2)]
     hashed = pieces.select(*keys, *words, F.when(F.col("piece").isNotNull(), F.xxhash64("piece")).alias("p"))
     exact = [
         F.sum(_modulo(F.shiftright(f"h{i}", shift))).alias(f"e{2 * i + shift // 32}") for i in range(EXACT_LANES // 2) for shift in (0, 32)

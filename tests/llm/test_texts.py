@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from public_tokenizers import path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -275,6 +276,15 @@ def test_fingerprints(odd, given):
             assert np.mean([r.near_edited for r in rows]) > 0.6 > 0.2 > np.mean([r.near_next for r in rows])
 
 
+def test_exact_lanes_are_hashes_of_the_paragraph_itself(spark):
+    """No lane is made from another's hash, so a collision of one word is not one of all."""
+    text = "one paragraph of some words"
+    lanes = fingerprints.fingerprints(spark.createDataFrame([(1, text)], "k int, body string"), ["k"], "body").first().lanes
+    seeds = [xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42) for i in range(4)]
+    words = [xxhash.xxh64_intdigest(text.encode(), seed) for seed in seeds]
+    assert lanes[:8] == [word >> shift & fingerprints.LANE for word in words for shift in (0, 32)]
+
+
 def test_fingerprints_take_paragraphs_in_and_out(spark):
     texts = ["one\ntwo words here\nthree", "three\none\ntwo words here", "one\nthree", "two words here"]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, body string")
