@@ -462,6 +462,10 @@ def append_index(spark: SparkSession, root: str) -> Query:
     Probes are whole and half documents, passages, the document before a conversation's
     replies without its end id (all beginnings of replies follow), and that document
     followed by half of each reply (found in the second index).
+
+    Left out: documents without a conversation's reply are not probed without their end id.
+    Each such probe is answered by the first ids of all replies, so asking for every
+    document would return documents times first ids.
     """
     sequences, vocab = _stored_sequences(spark, root)
     replies = cut_lineage(tokens.truncated(tokens.encode_tokens(tables.reply_collection(spark, root).corpus, vocab)))
