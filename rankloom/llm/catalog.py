@@ -6,7 +6,9 @@ from public_tokenizers import path as vocabulary_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, fingerprints, language, minhash, multi_index, packing, quality, secret_scan, suffixes, url_filter
+from rankloom.llm import (
+    alignment, bpe, divergence, fingerprints, language, minhash, multi_index, packing, quality, sanitise, secret_scan, suffixes, url_filter,
+)
 from rankloom.llm.common import table
 
 
@@ -70,6 +72,22 @@ def op10_language(spark: SparkSession, root: str) -> DataFrame:
     return language.languages(docs, pieces, *language.fit(docs, pieces))
 
 
+def op11_sanitise(spark: SparkSession, root: str) -> DataFrame:
+    """Personal data of all documents, and the words that give it away."""
+    return sanitise.digests(sanitise.private_spans(table(spark, root, "documents")))
+
+
+def op12_divergence(spark: SparkSession, root: str) -> DataFrame:
+    """How each source's words differ from the language's other sources and from the language."""
+    return divergence.source_divergence(table(spark, root, "documents"))
+
+
+def op13_alignment(spark: SparkSession, root: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies in all documents."""
+    docs = table(spark, root, "documents")
+    return alignment.alignment_report(docs, vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_quality": op2_quality,
@@ -81,6 +99,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_fingerprints": op9_fingerprints,
     "op10_language": op10_language,
+    "op11_sanitise": op11_sanitise,
+    "op12_divergence": op12_divergence,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,5 +121,39 @@ WITH parts AS (
 SELECT p.page_id, p.host, p.path, b.rule,
     coalesce(b.verdict, CASE WHEN list_has_any(string_split(p.host, '.'), {LISTED_LABELS}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN best b USING (page_id)
+""",
+    "op12_divergence": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 30
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), sets AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT s.lang, s.source, k.term, coalesce(w.n, 0) AS n
+    FROM sets s JOIN kept k ON k.lang = s.lang
+    LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL) w ON w.lang = s.lang AND w.source = s.source AND w.term = k.term
+), shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM counts JOIN sizes USING (lang)
+), common AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+    FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) JOIN sizes USING (lang)
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+    FROM sets a JOIN sets b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value
+               FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) d
+    ON d.lang = a.lang AND d.source = a.source AND d.other = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares JOIN common USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
 """,
 }

@@ -30,12 +30,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded text size (a single longer text stays whole)."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(text).nbytes)))
+        rows = max(1, int(batch.num_rows * size / max(1, batch.column(text).nbytes)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 
