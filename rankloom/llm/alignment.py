@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from hashlib import sha256
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.bpe import byte_symbols
+from rankloom.llm.bpe import PIECES, byte_symbols
 from rankloom.llm.common import slices
 from rankloom.session import cut_lineage
 
@@ -40,13 +41,20 @@ TEXT_BYTES, PAIR_BYTES = 1 << 20, 1 << 22
 # Pair counts that a task holds, and that tasks are given at once.
 HELD_PAIRS, WAVE_PAIRS = 4_000_000, 4_000_000
 BLANK = "▁"
+_RUN = 10_000
+_LONG_RUN = re.compile(r"\s{%d}" % _RUN)
 
 
 class ByteLevel:
-    """A: a byte-level vocabulary. Special tokens' strings inside texts are plain text."""
+    """A: a byte-level vocabulary. Special tokens' strings inside texts are plain text.
+
+    Two libraries run the same vocabulary file with equal ids. The faster one cannot take
+    very long runs of blanks; texts with such a run go to the other.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,12 +64,18 @@ class ByteLevel:
         back = {symbol: byte for byte, symbol in byte_symbols().items()}
         with open(path, encoding="utf-8") as file:
             special = {token["content"] for token in json.load(file)["added_tokens"]}
-        self.bytes_of = [b""] * self.tokenizer.get_vocab_size()
+        self.bytes_of, ranks = [b""] * self.tokenizer.get_vocab_size(), {}
         for token, at in self.tokenizer.get_vocab().items():
             self.bytes_of[at] = token.encode() if token in special else bytes(back[c] for c in token)
+            if token not in special:
+                ranks[self.bytes_of[at]] = at
+        self.fast = tiktoken.Encoding("a", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, rows: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + text for text in rows], add_special_tokens=False)]
+        return [self._slow(text) if len(text) > _RUN and _LONG_RUN.search(text) else self.fast(" " + text) for text in rows]
+
+    def _slow(self, text: str) -> list[int]:
+        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
 
 class Pieces:

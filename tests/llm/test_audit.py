@@ -310,6 +310,16 @@ def test_alignment_equals_plain_overlaps(spark, root, wave):
     assert got == [(i == len(texts), i % len(texts), *row) for i, row in enumerate(want)]
 
 
+def test_both_libraries_of_a_agree():
+    side = alignment.aligner(*PATHS).a
+    signs = [" ", "  ", "\n", "'s", "a", "É", "9", "½", "-", "\u0300", "xyz" * 9, "€", "\U0001f600", "数", "\xa0", "\u3000", "\u200b"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(signs, rng.integers(1, 60))) for _ in range(2000)] + ["<|endoftext|>", "a" * 50_000]
+    assert side.encode(texts) == [side._slow(text) for text in texts]
+    blanks = "x" + " " * 1_200_000 + "y"
+    assert len(side.encode([blanks])[0]) > 1_000_000
+
+
 def test_aligned_groups(spark):
     docs = frame(spark, [(i, text, "en", "s") for i, text in enumerate(ALIGNED)])
     _, want = plain_alignment(ALIGNED)
