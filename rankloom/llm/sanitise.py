@@ -182,32 +182,38 @@ def telling_words(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alp
     """``(term, action)``: words to remove or to generalise."""
     named = found.select("row", F.explode("spans").alias("s")).select("row", "s.entity", "s.near")
     often = named.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = (
+    total = found.agg(F.count(F.lit(1))).scalar()
+    known = F.log2(total / F.col("n_entity"))
+
+    def tells(n_word: Column) -> Column:
+        told = F.log2(F.col("n_both") * total / (n_word * F.col("n_entity")))
+        return (F.col("n_both") == n_word) | (told >= known / alpha)
+
+    near = cut_lineage(
         named.select("row", "entity", F.explode("near").alias("term"), F.xxhash64("near").alias("around"))
         .groupBy("row", "entity", "term")
         .agg(F.min("around").alias("around"))
-        .groupBy("entity", "term", "around")
+    )
+    pairs = (
+        near.groupBy("entity", "term", "around")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("entity", "term")
         .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_around"))
         .filter(F.col("n_around") >= support)
     )
-    pairs = cut_lineage(pairs)
+    # A word is in no fewer documents than it is near some entity: most common words go here.
+    least = near.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = cut_lineage(pairs.join(often, "entity").join(least, "term").filter(tells(F.col("n_near"))))
     # A word counts once in a document, however it is spelt there.
     candidates = cut_lineage(pairs.select("term").distinct())
     few = F.broadcast(candidates) if fits(candidates) else candidates
     words = F.array_distinct(F.transform(words_in(F.coalesce("text", F.lit(""))), F.lower))
     counts = docs.select(F.explode(words).alias("term")).join(few, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = found.agg(F.count(F.lit(1))).scalar()
-    told = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
-    known = F.log2(total / F.col("n_entity"))
-    removed = F.col("n_both") == F.col("n_term")
     return (
-        pairs.join(often, "entity")
-        .join(counts, "term")
-        .filter(removed | (told >= known / alpha))
+        pairs.join(counts, "term")
+        .filter(tells(F.col("n_term")))
         .groupBy("term")
-        .agg(F.when(F.max(removed), F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
+        .agg(F.when(F.max(F.col("n_both") == F.col("n_term")), F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
     )
 
 
