@@ -14,9 +14,11 @@ empty text is one token long; repeated rows are packed as often as they occur; a
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.llm.bpe import byte_symbols
 from rankloom.llm.common import slices, texts
 from rankloom.session import cut_lineage
 
@@ -36,14 +39,18 @@ _BLANKS = re.compile(r"[ \n\t\r]+")
 # Marks that end words, and the last letter whose lower case and composed form are plain.
 _MARKS = ".,;:!?|"
 _LAST_PLAIN = "\u012f"
-# Words of a worker's cache (about 200 bytes each); a full cache is emptied.
-_CACHE = 800_000
+# Words of one generation of a worker's cache (about 200 bytes each).
+_CACHE = 100_000
 # str.split() takes these for blanks, the vocabulary does not.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
 class Words:
-    """Ids of a text by those of its parts between blanks, each tokenised once."""
+    """Ids of a text by those of its parts between blanks, each tokenised once.
+
+    The cache has two generations: when the newer is full it becomes the older, and of that
+    only what is used again goes over.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,17 +60,20 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.piece = _piece_encoder(path)
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit bytes, the end id last."""
         split = [_BLANKS.split(text) if _ODD.search(text) else text.split() for text in rows]
-        known, ids_of = self.known, self.known.__getitem__
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > _CACHE:
-            known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        out = [b"".join(map(ids_of, parts)) + _END for parts in split]
+        every = set().union(*split)
+        new = every.difference(self.known)
+        if len(self.known) + len(new) > _CACHE:
+            self.older, self.known, new = self.known, {}, every
+        known, older = self.known, self.older
+        known.update((word, older[word]) for word in new.intersection(older))
+        self._learn(new.difference(older))
+        out = [b"".join(map(known.__getitem__, parts)) + _END for parts in split]
         for word in new:
             if len(word) > 64:  # long parts are not worth a place in the cache
                 del known[word]
@@ -71,25 +81,41 @@ class Words:
 
     def _learn(self, new: set[str]) -> None:
         """A word of plain letters and the marks behind it are separate pieces of the
-        vocabulary's pattern, and it knows no capitals: such words share their letters' ids."""
-        known, parts, wanted = self.known, {}, set()
+        vocabulary's pattern, and it knows no capitals: such words are two pieces at most."""
+        known, piece, whole = self.known, self.piece, []
         for word in new:
             letters = word.rstrip(_MARKS)
-            if letters and letters.isalpha() and max(letters) <= _LAST_PLAIN:
+            if not letters:
+                known[word] = piece(word)
+            elif letters.isalpha() and max(letters) <= _LAST_PLAIN:
                 small = letters.lower()
-                wanted.add(small)
-                if small != word:
-                    marks = word[len(letters) :]
-                    parts[word] = (small, marks)
-                    if marks:
-                        wanted.add(marks)
+                ids = known.get(small) or piece(small)
+                marks = word[len(letters) :]
+                known[word] = ids + (known.get(marks) or piece(marks)) if marks else ids
             else:
-                wanted.add(word)
-        missing = [word for word in wanted if word not in known]
-        fresh = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(missing, fresh))
-        for word, (small, marks) in parts.items():
-            known[word] = known[small] + known[marks] if marks else known[small]
+                whole.append(word)
+        for word, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            known[word] = array("I", found.ids).tobytes()
+
+
+def _piece_encoder(path: str):
+    """Ids of one piece of the vocabulary's pattern: plain small letters or marks, of one kind.
+
+    The vocabulary marks the last byte of a piece. That mark is written as a byte 0 behind
+    the piece, which such pieces do not hold, so that a library without such marks can run
+    the same merges: a byte and its mark come before any other pair.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    back = {symbol: byte for byte, symbol in byte_symbols().items()}
+    ranks = {}
+    for token, at in model["vocab"].items():
+        plain = bytes(back[c] for c in token.removesuffix(model["end_of_word_suffix"]))
+        ranks[plain + b"\0" if token.endswith(model["end_of_word_suffix"]) else plain] = at
+    encode = tiktoken.Encoding("pieces", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda piece: array("I", encode(piece + "\0")).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
