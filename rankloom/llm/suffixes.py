@@ -11,11 +11,10 @@ same anchor. Runs of neighbouring start positions with one anchor are the unit o
    smaller than their successors are sorted directly, the others follow from them by
    scanning the buckets of the first byte. Neighbours of the array with a common prefix of
    200 bytes are repeats.
-4. An anchor with very many different runs (the edges of a passage that many documents
-   share) would be one large group. Its runs are cut into short parts, equal parts are
-   taken once, and the strings of what is left are counted by their hash, with partial
-   sums before the shuffle.
-5. Marks are merged per document into removed spans.
+   An anchor with very many different runs (the edges of a passage that many documents
+   share) would be one large group. Its runs are first split by longer and longer anchors,
+   each of them in no more than two, until few runs share one.
+4. Marks are merged per document into removed spans.
 
 Defined results: texts are UTF-8 bytes, a null is an empty text; texts shorter than the
 length lose nothing; repeated rows are copies of each other and lose all they can; a null
@@ -42,10 +41,8 @@ LENGTH = 200
 GRAM = 32
 # A run of more positions is cut, so that texts of one repeated word stay in small rows.
 RUN_POSITIONS = 256
-# Different runs of one anchor that are sorted together; more go the way of step 4.
+# Different runs of one anchor that are sorted together; more are split by longer anchors first.
 GROUP_RUNS = 256
-# Positions of a part of a crowded anchor's run.
-PART_POSITIONS = 16
 # Bytes laid together for one suffix array.
 ARRAY_BYTES = 1 << 20
 
@@ -289,72 +286,73 @@ def sorted_marks(work: DataFrame, length: int) -> DataFrame:
     return dealt.sortWithinPartitions("anchor").mapInArrow(run, _MARKS)
 
 
-def _parts(work: DataFrame, length: int, gram: int) -> DataFrame:
-    """Crowded runs cut into parts of ``PART_POSITIONS``, at places that lie alike around the anchor."""
+def _longer(work: DataFrame, length: int, gram: int) -> DataFrame:
+    """Runs split by what lies around their anchor, as runs of longer anchors.
+
+    Of a string that holds an anchor of ``gram`` bytes, half of the other bytes at least lie
+    behind it, or before it: the anchor grows to that side. Equal strings hold the anchor at
+    the same place first, so they grow alike. ``at`` is where a run holds its anchor, or null
+    where it must be looked for; a string's anchor is the first one in it.
+    """
+    more = -(-(length - gram) // 2)
+    behind = length - gram - more
 
     def run(batches):
         for batch in slices(batches, "data"):
             rows = []
-            columns = (batch.column(c).to_pylist() for c in ("anchor", "key_id", "key_text", "start", "n", "data"))
-            for anchor, key_id, key_text, start, n, raw in zip(*columns):
-                grams = gram_hashes(np.frombuffer(raw, np.uint8), gram).view(np.int64)
-                first, count = int((grams == anchor).argmax()) % PART_POSITIONS, len(raw) - length + 1
-                cuts = [0, *range(first or PART_POSITIONS, count, PART_POSITIONS), count]
-                for low, high in zip(cuts, cuts[1:]):
-                    part = raw[low : high + length - 1]
-                    digest = np.frombuffer(xxhash.xxh3_128_digest(part), np.int64)
-                    rows.append((int(digest[0]), int(digest[1]), key_id, key_text, start + low, high - low, n, part))
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            names = ["part_a", "part_b", "key_id", "key_text", "start", "size", "n", "data"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    return work.mapInArrow(run, f"part_a bigint, part_b bigint, {_MARKS}, n bigint, data binary")
-
-
-def counted_marks(work: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same marks for anchors with very many different runs, without grouping them.
-
-    Runs are cut into short parts; equal parts repeat each other as a whole. One of each
-    lists the hashes of its strings, which are counted over all parts.
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "key_id", "key_text", "start", "n", "at", "data"))
+            for anchor, key_id, key_text, start, n, at, raw in zip(*columns):
+                count = len(raw) - length + 1
+                if at is None:
+                    places = np.flatnonzero(gram_hashes(np.frombuffer(raw, np.uint8), gram).view(np.int64) == anchor).tolist()
+                else:
+                    places = [at]
+                low = 0
+                for place in places:
+                    high = min(count, place + 1)
+                    cut = min(high, max(low, place - behind))
+                    for side, first, last, begin in ((0, low, cut, place - more), (1, cut, high, place)):
+                        if first < last:
+                            part = raw[first : last + length - 1]
+                            grown = xxhash.xxh3_64_intdigest(raw[begin : begin + gram + more], 2 * gram + side)
+                            rows.append((grown, xxhash.xxh3_64_intdigest(part), key_id, key_text, start + first, n, begin - first, part))
+                    low = max(low, high)
+            columns = list(zip(*rows)) if rows else [[]] * 8
+            hashes = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[:2]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([*hashes, *(pa.array(c, k) for c, k in zip(columns[2:], kinds))], ["anchor", "bytes_hash", *_WORK[1:5], "at", "data"])
+
+    return work.mapInArrow(run, "anchor bigint, bytes_hash bigint, key_id bigint, key_text bigint, start int, n bigint, at int, data binary")
+
+
+_WORK = ["anchor", "key_id", "key_text", "start", "n", "data"]
+
+
+def split_anchors(work: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows ``(anchor, key_id, key_text, start, n, data)`` with few runs to an anchor, and marks found on the way.
+
+    Runs of an anchor with more than ``GROUP_RUNS`` different ones are split by longer
+    anchors, until few share one. At the latest the anchor is the whole string. Runs with
+    equal bytes repeat each other and are taken once.
     """
-    dealt = work.repartition("key_id", "start")
-    parts = cut_lineage(_parts(dealt, length, gram))
-    part = F.min(F.struct("key_id", "key_text", "start", "data")).alias("part")
-    kinds = cut_lineage(parts.groupBy("part_a", "part_b").agg(F.sum("n").alias("n"), part).select("part_a", "part_b", "n", "part.*"))
-    equal = parts.join(cut_lineage(kinds.filter("n > 1").select("part_a", "part_b")), ["part_a", "part_b"])
-
-    def positions(batches):
-        for batch in slices(batches, "data"):
-            made = []
-            for at, raw in enumerate(batch.column("data").to_pylist()):
-                n = len(raw) - length + 1
-                digests = b"".join(xxhash.xxh3_128_digest(raw[p : p + length]) for p in range(n))
-                made.append((np.full(n, at), np.arange(n), np.frombuffer(digests, np.int64).reshape(-1, 2)))
-            if made:
-                rows, places, codes = (np.concatenate(column) for column in zip(*made))
-                starts = batch.column("start").to_numpy()[rows] + places
-                rows = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(codes[:, 0].copy()),
-                        pa.array(codes[:, 1].copy()),
-                        batch.column("key_id").take(rows),
-                        batch.column("key_text").take(rows),
-                        pa.array(starts.astype(np.int32)),
-                        batch.column("n").take(rows),
-                    ],
-                    ["code_a", "code_b", "key_id", "key_text", "start", "n"],
-                )
-
-    strings = kinds.select("key_id", "key_text", "start", "n", "data").mapInArrow(
-        positions, "code_a bigint, code_b bigint, key_id bigint, key_text bigint, start int, n bigint"
-    )
-    strings = cut_lineage(strings)
-    often = strings.groupBy("code_a", "code_b").agg(F.sum("n").alias("times")).filter("times > 1").select("code_a", "code_b")
-    # Parts that have an equal are marked already.
-    hits = strings.filter("n = 1").join(cut_lineage(often), ["code_a", "code_b"])
-    columns = ["key_id", "key_text", "start"]
-    return equal.select(*columns, "size").union(hits.select(*columns, F.lit(1).alias("size")))
+    small = work.filter(F.col("kinds") <= GROUP_RUNS).select(*_WORK)
+    rest = work.filter(F.col("kinds") > GROUP_RUNS).withColumn("at", F.lit(None).cast("int"))
+    marks = None
+    while gram < length and not rest.isEmpty():
+        pieces = cut_lineage(_longer(rest, length, gram))
+        gram += -(-(length - gram) // 2)
+        one = F.min(F.struct("key_id", "key_text", "start", "at", "data")).alias("one")
+        classes = cut_lineage(pieces.groupBy("anchor", "bytes_hash").agg(F.sum("n").alias("n"), one).select("anchor", "bytes_hash", "n", "one.*"))
+        whole = classes.filter("n > 1").select("anchor", "bytes_hash")
+        # Runs that stand for equal ones are marked already.
+        equal = pieces.filter("n = 1").join(whole, ["anchor", "bytes_hash"])
+        equal = equal.select("key_id", "key_text", "start", (F.octet_length("data") - (length - 1)).alias("size"))
+        marks = equal if marks is None else marks.union(equal)
+        groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+        known = classes.join(groups.filter("least = 1 AND kinds > 1"), "anchor")
+        small = small.union(known.filter(F.col("kinds") <= GROUP_RUNS).select(*_WORK))
+        rest = known.filter(F.col("kinds") > GROUP_RUNS)
+    return (small if marks is None else small.union(rest.select(*_WORK))), marks
 
 
 def repeat_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -400,9 +398,9 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     work = cut_lineage(
         keyed.mapInArrow(cut, "anchor bigint, kinds bigint, key_id bigint, key_text bigint, start int, n bigint, data binary")
     )
-    few = sorted_marks(work.filter(F.col("kinds") <= GROUP_RUNS), length)
-    many = counted_marks(work.filter(F.col("kinds") > GROUP_RUNS), length, gram)
-    return equal.union(few).union(many)
+    work, more = split_anchors(work, length, gram)
+    found = equal.union(sorted_marks(work, length))
+    return found if more is None else found.union(more)
 
 
 def _covered(marks: list | None, length: int, n: int) -> np.ndarray:
@@ -417,20 +415,18 @@ def _covered(marks: list | None, length: int, n: int) -> np.ndarray:
     return np.stack((spans[new, 0], np.minimum(ends[last], n)), axis=1)
 
 
-def _marked(docs: DataFrame, length: int, gram: int, columns: list[str]) -> DataFrame:
+def _marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``(own, marks)``: the rows' own columns as one struct, whatever their names, and their marks."""
     marks = repeat_marks(docs, length, gram)
-    per_row = cut_lineage(
-        marks.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("start", "size")).alias("_marks"))
-    )
-    keys = [c.alias(f"_{name}") for c, name in zip(row_key(), ("key_id", "key_text"))]
-    left = docs.select(*columns, *keys)
+    per_row = cut_lineage(marks.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("start", "size")).alias("marks")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *row_key())
     # Rows that the filter refuses have no marks and are not joined.
-    named, code = F.xxhash64("_key_id", "_key_text"), F.xxhash64("key_id", "key_text")
-    made, chosen = bloom.holding(left, per_row, named, code)
-    joined = chosen.join(per_row, (chosen["_key_id"] == per_row["key_id"]) & (chosen["_key_text"] == per_row["key_text"]), "left").select(*columns, "_marks")
+    code = F.xxhash64("key_id", "key_text")
+    made, chosen = bloom.holding(rows, per_row, code, code)
+    joined = chosen.join(per_row, ["key_id", "key_text"], "left").select("own", "marks")
     if made is None:
         return joined
-    free = left.filter(~made.accepts(named)).select(*columns, F.lit(None).cast(per_row.schema["_marks"].dataType).alias("_marks"))
+    free = rows.filter(~made.accepts(code)).select("own", F.lit(None).cast(per_row.schema["marks"].dataType).alias("marks"))
     return joined.union(free)
 
 
@@ -438,10 +434,10 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)`` per row; spans are byte offsets."""
 
     def run(batches):
-        for batch in slices(batches):
-            rows = []
-            for text, marks in zip(texts(batch), batch.column("_marks").to_pylist()):
-                raw = text.encode()
+        for batch in slices(batches, "own"):
+            own, rows = batch.column("own"), []
+            for text, marks in zip(own.field("text").to_pylist(), batch.column("marks").to_pylist()):
+                raw = (text or "").encode()
                 spans = _covered(marks, length, len(raw))
                 edges = [0, *spans.ravel().tolist(), len(raw)]
                 kept = sha256()
@@ -452,11 +448,11 @@ def repeat_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
             arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+                [own.field("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _marked(docs, length, gram, ["doc_id", "text"]).mapInArrow(
+    return _marked(docs.select("doc_id", "text"), length, gram).mapInArrow(
         run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>"
     )
 
@@ -468,9 +464,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """
 
     def run(batches):
-        for batch in slices(batches):
-            kept = []
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("_marks").to_pylist()):
+        for batch in slices(batches, "own"):
+            own, kept = batch.column("own"), []
+            for text, marks in zip(own.field("text").to_pylist(), batch.column("marks").to_pylist()):
                 if text is None or not marks:
                     kept.append(text)
                     continue
@@ -485,10 +481,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     parts.append(raw[at:begin])
                     at = max(at, end)
                 kept.append(b"".join([*parts, raw[at:]]).decode())
-            names = [n for n in batch.schema.names if n != "_marks"]
-            columns = [pa.array(kept, batch.schema.field(n).type) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [pa.array(kept, f.type) if f.name == "text" else own.field(f.name) for f in own.type]
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in own.type])
 
-    columns = [f"`{c}`" for c in docs.columns]
-    out = _marked(docs, length, gram, columns).mapInArrow(run, docs.schema)
+    out = _marked(docs, length, gram).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
