@@ -251,7 +251,7 @@ def pair_counts(stored: DataFrame, n_a: int, n_b: int) -> DataFrame:
             numbers[where[: len(keys)]] += counts
             return found, numbers
 
-        for batch in slices(batches, "pairs", PAIR_BYTES):
+        for batch in slices(batches, "pairs", size=PAIR_BYTES):
             waiting.append(_pairs_of(batch, kind)[0])
             size += len(waiting[-1])
             if size > HELD_PAIRS:
@@ -276,7 +276,7 @@ def _looked_up(stored: DataFrame, shared, wave: int, waves: int, kind: str) -> D
 
     def run(batches):
         known, numbers, best = shared.value
-        for batch in slices(batches, "pairs", PAIR_BYTES):
+        for batch in slices(batches, "pairs", size=PAIR_BYTES):
             pairs, sizes = _pairs_of(batch, kind)
             columns = zip(batch.column("times").to_pylist(), sizes.tolist())
             times = [_unpacked(data, "<u4", n).astype(np.int64) for data, n in columns if n]

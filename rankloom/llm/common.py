@@ -3,17 +3,36 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # Texts are taken from an Arrow batch in slices of about this many bytes.
 SLICE_BYTES = 4 * 1024 * 1024
 # Entries of a worker's word cache; a full cache is emptied.
 CACHE_ENTRIES = 400_000
+# The same where an entry costs a hash only.
+HASH_ENTRIES = 100_000
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept_in_worker(name: tuple, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task.
+
+    Spark goes on with the same workers in later stages, so what another operator left is
+    dropped first: a worker holds one operator's caches at a time.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
 
 
 def workers_find_package(spark: SparkSession) -> None:
@@ -30,12 +49,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded text size (a single longer text stays whole)."""
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded size by these columns, or ``text`` (a single longer row stays whole)."""
+    columns = columns or ("text",)
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        rows = max(1, int(batch.num_rows * size / max(1, batch.column(text).nbytes)))
+        rows = max(1, int(batch.num_rows * size / max(1, sum(batch.column(c).nbytes for c in columns))))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
 

@@ -16,7 +16,9 @@ Defined results: words are runs without ASCII blanks, A-Z in lower case. A text
 than five words is one shingle; one without words, or a null, has no shingles and links
 with nothing. A row with a null ``doc_id`` links with nothing, has no component and is
 kept. Rows that repeat a ``doc_id`` count as one document (with different texts: each
-text has its own links, and they are linked through the id). Extra columns are not read.
+text has its own links, and they are linked through the id). An empty table gives no rows;
+texts of any length are read whole, and so is a set that is compared. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import bloom
-from rankloom.llm.common import CACHE_ENTRIES, slices, texts
+from rankloom.llm.common import HASH_ENTRIES, kept_in_worker, slices, texts
 from rankloom.llm.components import components
 from rankloom.operators.ordering import number_all
 from rankloom.session import cut_lineage
@@ -74,7 +76,7 @@ class Shingler:
         if not parts:
             return np.empty(0, np.uint64)
         new = set(parts).difference(known)
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) + len(new) > HASH_ENTRIES:
             known.clear()
             new = set(parts)
         for word in new:
@@ -89,9 +91,8 @@ class Shingler:
         return np.unique(total)
 
 
-@functools.lru_cache(maxsize=4)
 def shingler(words: int) -> Shingler:
-    return Shingler(words)
+    return kept_in_worker(("shingles", words), lambda: Shingler(words))
 
 
 @functools.lru_cache(maxsize=4)
@@ -255,7 +256,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     right = dealt.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hashes_b")), "b")
 
     def run(batches):
-        for batch in slices(batches, "hashes_b"):
+        for batch in slices(batches, "hashes_a", "hashes_b"):
             hits = []
             for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -8,12 +8,12 @@ window can be shorter than the others, so that is all the padding there is.
 
 Defined results: a null text is an empty one; every document ends with the end id, so an
 empty text is one token long; repeated rows are packed as often as they occur; a null
-``doc_id`` is carried as it is; an empty table gives no rows; extra columns are not read.
+``doc_id`` is carried as it is; an empty table gives no rows; texts of any length are read
+whole; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.bpe import byte_symbols
-from rankloom.llm.common import slices, texts
+from rankloom.llm.common import kept_in_worker, slices, texts
 from rankloom.session import cut_lineage
 
 WINDOW = 2048
@@ -118,9 +118,8 @@ def _piece_encoder(path: str):
     return lambda piece: array("I", encode(piece + "\0")).tobytes()
 
 
-@functools.lru_cache(maxsize=2)
 def words(path: str) -> Words:
-    return Words(path)
+    return kept_in_worker(("words", path), lambda: Words(path))
 
 
 def token_rows(docs: DataFrame, path: str) -> DataFrame:

@@ -13,13 +13,14 @@ is one weight per hash place, of fixed size.
 Defined results: a null or empty text has no indicators and gets the score of the bias;
 labels other than 0 and 1, and labels of unknown documents, are ignored; a document
 labelled twice counts with its greatest label; with labels of one class only (or none) the
-score is that class (or 0.5); a null ``doc_id`` is scored and not held out; extra columns
-are not read.
+score is that class (or 0.5); a null ``doc_id`` is scored and not held out; ids are whole
+numbers; of texts that repeat an id the least is learned from, and each row is scored; equal
+texts have equal scores; an empty table gives no rows; texts of any length are read whole;
+extra columns are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import CACHE_ENTRIES, slices, texts
+from rankloom.llm.common import HASH_ENTRIES, kept_in_worker, slices, texts
 from rankloom.llm.minhash import mix
 
 PLACES = 1 << 18
@@ -45,7 +46,7 @@ _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\
 
 
 def shape(word: str) -> str:
-    return _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))[:12]
+    return _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word)))
 
 
 class Indicators:
@@ -58,7 +59,7 @@ class Indicators:
         if not words:
             return np.empty(0, np.int32)
         new = set(words).difference(known)
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) + len(new) > HASH_ENTRIES:
             known.clear()
             new = set(words)
         for word in new:
@@ -73,9 +74,8 @@ class Indicators:
         return np.unique(places.astype(np.int32))
 
 
-@functools.lru_cache(maxsize=1)
 def indicators() -> Indicators:
-    return Indicators()
+    return kept_in_worker(("indicators",), Indicators)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,7 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> list[t
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), places], ["doc_id", "quality", "places"])
 
     # At most max_rows ids are broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
     rows = found.mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, places array<int>").toArrow()
     ids = rows.column("doc_id").to_numpy()
