@@ -13,8 +13,11 @@ block returns counts and a spanning forest, never its pairs.
 
 Defined results: vectors that are null, empty or zero, or hold a null or a number that is
 not finite, and rows with a null id or label, link with nothing; vectors of different
-length link with nothing; repeated rows are vectors of their own; extra columns are not
-read.
+length link with nothing; one component is compared by its sign; repeated rows are vectors
+of their own, and so are rows that repeat an id with other vectors; labels of any type are
+equal as strings; components of doubles stay doubles; codes at equal distance are taken in
+their order; vectors of any length are read whole; an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.llm.components import components
+from rankloom.operators.ordering import number_all
 from rankloom.session import cut_lineage
 
 SAMPLE_ROWS = 20_000
 CODES_MAX = 1024
 TARGET_RECALL = 0.999
+ASKED = 4000
 BLOCK_ROWS = 512
-_SCHEMA = "rep bigint, label bigint, w bigint, vector array<float>, cell int, visits array<int>"
+_SCHEMA = "rep bigint, label string, w bigint, vector array<{kind}>, cell int, visits array<int>"
 
 
 def code_count(rows: int) -> int:
@@ -114,7 +120,8 @@ def fit_index(sample: np.ndarray, rows: int, threshold: float, recall: float = T
     cut, k = made.shape[1] // 2, code_count(rows)
     index = Index([k_means(made[:, :cut], k), k_means(made[:, cut:], k)], 0.0)
     random = np.random.default_rng(1)
-    asked = made[random.permutation(len(made))[:4000]]
+    # The vectors of a small sample are asked for several partners each.
+    asked = made[np.resize(random.permutation(len(made)), ASKED)]
     aside = random.standard_normal(asked.shape)
     aside -= (aside * asked).sum(1, keepdims=True) * asked
     aside /= np.maximum(np.sqrt((aside * aside).sum(1, keepdims=True)), 1e-12)
@@ -146,7 +153,8 @@ def _placed(classes: DataFrame, index: Index) -> DataFrame:
                     ["rep", "label", "w", "vector", "cell", "visits"],
                 )
 
-    return classes.select("rep", "label", "w", "vector").mapInArrow(run, _SCHEMA)
+    kind = classes.schema["vector"].dataType.elementType.simpleString()
+    return classes.select("rep", "label", "w", "vector").mapInArrow(run, _SCHEMA.format(kind=kind))
 
 
 def _forest(hits: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -221,29 +229,38 @@ def class_links(classes: DataFrame, index: Index, threshold: float) -> DataFrame
 def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``(vec_id, embedding, label)``."""
     spark = vectors.sparkSession
-    numbers = F.col("embedding").cast("array<float>")
+    kind = "float" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "double"
+    numbers = F.col("embedding").cast(f"array<{kind}>")
     good = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = good & (F.size(numbers) > 1) & F.exists(numbers, lambda x: x != 0) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+    usable = good & (F.size(numbers) > 0) & F.exists(numbers, lambda x: x != 0) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
     rows = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
-        F.col("label").cast("bigint").alias("label"),
+        F.col("label").cast("string").alias("label"),
         F.when(F.coalesce(usable, F.lit(False)), numbers).alias("vector"),
     )
     # Adding 0 makes equal vectors equal bit by bit.
-    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
+    rows = rows.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind))).withColumn("size", F.size("vector"))
     keyed = rows.withColumn("key_a", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector"))).withColumn(
         "key_b", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), "vector", "label"))
     )
+    # A vector of one component has no halves: a zero behind it changes no cosine.
+    zero = F.when(F.col("size") == 1, F.array(F.lit(0.0).cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
     classes = cut_lineage(
         keyed.filter("vector IS NOT NULL")
         .groupBy("key_a", "key_b")
-        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+        .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("w"), F.first("label").alias("label"), F.first("size").alias("size"), F.first("vector").alias("vector"))
+        .withColumn("vector", F.concat("vector", zero))
     )
-    # A vector id should occur once; where it repeats with other vectors, its classes take turns as one node.
-    sizes = [(r["n"], r["rows"]) for r in classes.groupBy(F.size("vector").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy("n").collect()]
+    # A class is named by its smallest id, or by its place where an id occurs with several vectors.
+    repeated = classes.groupBy("first").count().filter("count > 1").limit(1).count() > 0
+    if repeated:
+        classes = cut_lineage(number_all(classes, [F.asc("first"), F.asc("key_a"), F.asc("key_b")], "rep"))
+    else:
+        classes = classes.withColumn("rep", F.col("first"))
+    sizes = [(r["n"], r["rows"]) for r in classes.groupBy(F.col("size").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy("n").collect()]
     found = spark.createDataFrame([], "rep bigint, links bigint, other bigint")
     for size, count in sizes:
-        of_size = classes.filter(F.size("vector") == size)
+        of_size = classes.filter(F.col("size") == size)
         # At most SAMPLE_ROWS vectors reach the driver.
         sample = of_size.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).toArrow()
         index = fit_index(_matrix(sample.column("vector")), count, threshold)
@@ -257,6 +274,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         .join(at, F.col("rep") == F.col("node"), "left")
         .select("key_a", "key_b", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
+    if repeated:
+        names = classes.select(F.col("rep").alias("component"), "first")
+        judged = cut_lineage(judged.join(names, "component").select("key_a", "key_b", "links", F.col("first").alias("component")))
     return (
         keyed.select("vec_id", "key_a", "key_b")
         .join(judged, ["key_a", "key_b"], "left")
