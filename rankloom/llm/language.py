@@ -4,42 +4,45 @@ Each language has a probability for each piece of a fixed public vocabulary. A w
 probability is the sum over all ways to cut it into pieces, by the forward algorithm; a
 text's is the product over its words. The probabilities are estimated by
 expectation-maximisation over the same sums, from all words of at most ``DOCS_PER_LANG``
-documents of each language (chosen by the hash of their id). The words stay in Spark: a
+documents of each language (chosen by the hash of their id), and of at most ``MAX_LANGS``
+times as many in all: the bound of labelled rows. The words stay in Spark: a
 round's tasks return sums per language and piece, in whole steps of 2^-24, so they do not
 depend on how the words are dealt. Every text is then scored whole, in one pass without a
 shuffle; the tasks are given one probability per piece and language.
 
-Defined results: words are runs of letters, in lower case; a null text or one without a
+Defined results: words are runs of letters with their marks, in lower case; a null text or one without a
 letter is ``und`` with score 0, as is everything when no document is labelled; equal
-texts have equal results; a null ``doc_id`` is not learned from; ties go to the first
-language by name; extra columns are not read.
+texts have equal results, and repeated rows of one id and language are learned from as one
+id; a null ``doc_id`` is not learned from; ties go to the first language by name; an empty
+table gives no rows; texts of any length are read whole; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import CACHE_ENTRIES, slices, texts
+from rankloom.operators.ordering import top_k
 from rankloom.session import cut_lineage
 
 FOLDS, HELD_FOLD = 4, 2
 DOCS_PER_LANG = 400
 MAX_LANGS = 400
 ROUNDS = 3
-PIECE_CHARS = 16
+# Bytes of a worker's table of words.
+SCORER_BYTES = 64 * 1024 * 1024
 SMOOTHING = 0.05
 START = "▁"
-_WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _RESCALE = 12
 # Expected counts are summed as whole numbers of this part.
 _STEP = 2.0**-24
@@ -57,7 +60,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-        self.ids = {name: i for i, name in enumerate(n for n in dict.fromkeys(names) if len(n) <= PIECE_CHARS)}
+        self.ids = {name: i for i, name in enumerate(dict.fromkeys(names))}
+        self.longest = max(map(len, self.ids), default=1)
         self.unknown = len(self.ids)  # a letter that is no piece
         self.none = self.unknown + 1  # a string that is no piece: probability 0
         self.size = self.none + 1
@@ -67,7 +71,7 @@ class Pieces:
         n, find, none = len(words[0]), self.ids.get, self.none
         spans = {}
         for j in range(1, n + 1):
-            for i in range(max(0, j - PIECE_CHARS), j):
+            for i in range(max(0, j - self.longest), j):
                 ids = np.fromiter((find(w[i:j], none) for w in words), np.int32, len(words))
                 if j - i == 1:
                     ids[ids == none] = self.unknown
@@ -82,13 +86,13 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def forward(spans: dict, n: int, chances: np.ndarray, count: int) -> tuple[list[np.ndarray], np.ndarray]:
+def forward(spans: dict, n: int, chances: np.ndarray, count: int, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Scaled forward sums per position, and the log probability per word and language."""
     sums = [np.ones((count, chances.shape[1]))]
     logs = np.zeros((count, chances.shape[1]))
     for j in range(1, n + 1):
         total = np.zeros_like(logs)
-        for i in range(max(0, j - PIECE_CHARS), j):
+        for i in range(max(0, j - longest), j):
             ids = spans.get((i, j))
             if ids is not None:
                 total += sums[i] * chances[ids]
@@ -96,7 +100,7 @@ def forward(spans: dict, n: int, chances: np.ndarray, count: int) -> tuple[list[
         if j % _RESCALE == 0 or j == n:
             logs += np.log(total)
             scale = 1 / total
-            for i in range(max(0, j - PIECE_CHARS), j + 1):
+            for i in range(max(0, j - longest), j + 1):
                 sums[i] = sums[i] * scale
     return sums, logs
 
@@ -117,7 +121,7 @@ def log_chances(words: list[str], made: Pieces, chances: np.ndarray) -> np.ndarr
     marked = [START + word for word in words]
     for places in by_length(marked):
         group = [marked[i] for i in places]
-        out[places] = forward(made.table(group), len(group[0]), chances, len(group))[1]
+        out[places] = forward(made.table(group), len(group[0]), chances, len(group), made.longest)[1]
     return out
 
 
@@ -135,13 +139,13 @@ def expected(words: list[str], langs: np.ndarray, weights: np.ndarray, made: Pie
         # Sums are kept as fractions and powers of two, so long words neither vanish nor round.
         ahead, up = [np.ones(len(places))], [np.zeros(len(places), np.int32)]
         for j in range(1, n + 1):
-            near = ((i, ids) for i in range(max(0, j - PIECE_CHARS), j) if (ids := spans.get((i, j))) is not None)
+            near = ((i, ids) for i in range(max(0, j - made.longest), j) if (ids := spans.get((i, j))) is not None)
             part, power = np.frexp(sum(np.ldexp(ahead[i] * chances[ids, lang], up[i] - up[j - 1]) for i, ids in near))
             ahead.append(part)
             up.append(up[j - 1] + power)
         behind, down = [None] * n + [np.ones(len(places))], [None] * n + [np.zeros(len(places), np.int32)]
         for i in range(n - 1, -1, -1):
-            near = ((j, ids) for j in range(i + 1, min(n, i + PIECE_CHARS) + 1) if (ids := spans.get((i, j))) is not None)
+            near = ((j, ids) for j in range(i + 1, min(n, i + made.longest) + 1) if (ids := spans.get((i, j))) is not None)
             behind[i], power = np.frexp(sum(np.ldexp(behind[j] * chances[ids, lang], down[j] - down[i + 1]) for j, ids in near))
             down[i] = down[i + 1] + power
         share = weights[places] / ahead[n]
@@ -190,8 +194,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities."""
     usable = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.withColumn("_place", place).filter(F.col("_place") <= DOCS_PER_LANG).orderBy("_place", "lang")
+    order = [F.asc(F.xxhash64("doc_id")), F.asc("doc_id")]
+    chosen = top_k(usable, "lang", order, DOCS_PER_LANG, rank="_place", spread="doc_id").orderBy("_place", "lang")
     # At most MAX_LANGS * DOCS_PER_LANG ids are broadcast.
     chosen = chosen.limit(MAX_LANGS * DOCS_PER_LANG).select("doc_id", "lang")
 
@@ -225,7 +229,7 @@ class Scorer:
         """Log probability per text and language, and the number of words per text."""
         split = [words_of(text) for text in rows]
         new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        if len(self.known) + len(new) > min(CACHE_ENTRIES, SCORER_BYTES // (8 * self.chances.shape[1])):
             self._empty()
             new = list(set().union(*split))
         if new:
