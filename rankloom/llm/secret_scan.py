@@ -139,10 +139,14 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> np.ndarray:
 
 
 def random_spans(text: str, model: np.ndarray, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    found = []
+    found, before, reach = [], sorted((s, e) for _, s, e in taken), 0
+    at = 0
     for match in TOKENS.finditer(text):
         begin, end = match.span()
-        if any(begin < e and s < end for _, s, e in taken):
+        # Both lists go forward together: where the spans that begin before this end reach to.
+        while at < len(before) and before[at][0] < end:
+            reach, at = max(reach, before[at][1]), at + 1
+        if reach > begin:
             continue
         path = _path(match.group())
         total = float(model[path[:-1], path[1:]].sum())
