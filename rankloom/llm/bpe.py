@@ -169,12 +169,16 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids)`` to ``(doc_id, text)``; bytes that are no UTF-8 become U+FFFD. Null ids are none."""
+    """``(doc_id, ids)`` to ``(doc_id, text)``; bytes that are no UTF-8 become U+FFFD.
+
+    A null array is an empty one; ids that are null or not in the vocabulary decode to nothing.
+    """
 
     def run(batches):
         vocab = vocabulary(path)
         for batch in slices(batches, "ids"):
-            decoded = [vocab.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            rows = ([i for i in ids or [] if i is not None and 0 <= i < len(vocab.bytes_of)] for ids in batch.column("ids").to_pylist())
+            decoded = [vocab.decode(ids) for ids in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(decoded, pa.string())], ["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
