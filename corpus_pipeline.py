@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from public_tokenizers import path as vocabulary_file
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.llm import minhash, packing, quality, secret_scan, suffixes
@@ -34,8 +33,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not repeated.limit(1).count():
         return left
     again = left.join(repeated, left["doc_id"] == repeated["doc_id"], "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    first = again.withColumn("_at", F.row_number().over(order)).filter("_at = 1").drop("_at")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.struct(*columns)
+    first = again.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*columns)).alias("row")).select("row.*")
     return left.join(repeated, left["doc_id"] == repeated["doc_id"], "left_anti").unionByName(first)
 
 
