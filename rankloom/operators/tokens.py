@@ -9,12 +9,11 @@ from rankloom.functions.fixed import INPUT_CAP, MAX_LENGTH
 from rankloom.functions.text import whitespace_tokens
 from rankloom.functions.tokens import END_ID, FIRST_TOKEN_ID, UNKNOWN_ID, frame_sequence, full_chunks, truncate_tokens
 from rankloom.operators.ordering import number_all
-from rankloom.session import BROADCAST_ROWS
+from rankloom.session import BROADCAST_ROWS, fits
 
-# The frequent head of the vocabulary that encode_tokens may broadcast: at most this
-# many tokens of at most this many characters.
+# The frequent head of the vocabulary that encode_tokens may broadcast: at most this many
+# tokens, fewer where they are long.
 _HEAD_TOKENS = 400_000
-_HEAD_CHARS = 40
 
 
 def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,8 +54,10 @@ def encode_tokens(
     if limit is not None:
         split = F.slice(split, 1, limit)
     placed = texts.select(F.col(id_col), F.posexplode_outer(split).alias("pos", "token"))
-    is_head = (F.col("token_id") < FIRST_TOKEN_ID + _HEAD_TOKENS) & (F.length("token") <= _HEAD_CHARS)
-    ids = vocab.select("token", "token_id")
+    ids, head = vocab.select("token", "token_id"), _HEAD_TOKENS
+    while head > 1 and not fits(ids.filter(F.col("token_id") < FIRST_TOKEN_ID + head)):
+        head //= 2
+    is_head = F.col("token_id") < FIRST_TOKEN_ID + head
     seen = placed.join(F.broadcast(ids.filter(is_head)), "token", "left")
     tail = ids.filter(~is_head)
     if not tail.isEmpty():

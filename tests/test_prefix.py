@@ -68,6 +68,64 @@ def test_adding_equals_rebuilding(spark, small, rows):
     assert rows(grown.select(columns)) == rows(prefix.build_prefix_index(small.union(added)).select(columns))
 
 
+def _many(seed, n=400):
+    dice = random.Random(seed)
+    out = []
+    for i in range(n):
+        body = [dice.choice([3, 4]) if dice.random() < 0.8 else dice.choice([5, -1, 6]) for _ in range(dice.choice([0, 1, 2, 3, 5, 9, 14]))]
+        out.append((f"d{i}", [0, *body]))
+    return out + [("e", [])]
+
+
+def _plain_edges(data):
+    paths = {}
+    for _, tokens in data:
+        paths[tuple(tokens)] = paths.get(tuple(tokens), 0) + 1
+    edges = {}
+    for path, n in paths.items():
+        for d in range(len(path) + 1):
+            key = (path[:d], path[d] if d < len(path) else -1, d < len(path))
+            old = edges.get(key, (0, 0, False))
+            edges[key] = (old[0] + n, old[1] + 1, old[2] or d == len(path) - 1)
+    return sorted((len(p), p[-1] if p else None, t, *e) for (p, t, _), e in edges.items())
+
+
+@pytest.mark.parametrize("partitions, batch", [(1, 10_000), (7, 10_000), (7, 3), (40, 1)])
+def test_index_of_sorted_neighbours(spark, partitions, batch):
+    data = [(i, [t if t >= 0 else 7 for t in tokens]) for i, tokens in _many(partitions)]
+    names = ["spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, (partitions, batch)):
+            spark.conf.set(name, value)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sequences = spark.createDataFrame(data, SEQS)
+        got = prefix.build_prefix_index(sequences, shared_start=False).select("depth", "prev", "token", "n_seq", "n_paths", "ends").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(_plain_edges(data), key=repr)
+        half = spark.createDataFrame(data[:200], SEQS), spark.createDataFrame(data[150:], SEQS)
+        grown = prefix.add_sequences(prefix.build_prefix_index(half[0]), *half).select("depth", "prev", "token", "n_seq", "n_paths", "ends").collect()
+        assert sorted(map(tuple, grown), key=repr) == sorted(_plain_edges(data[:200] + data[150:]), key=repr)
+        paths = {tuple(t) for _, t in data if t}
+        want = sorted((list(p), any(p[:n] in paths for n in range(1, len(p))), any(q != p and q[: len(p)] == p for q in paths)) for p in paths)
+        nested = prefix.nested_paths(sequences).collect()
+        assert sorted((list(r["tokens"]), r["shadowed"], r["continued"]) for r in nested) == want
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_index_checks_the_first_id(spark, small):
+    prefix.build_prefix_index(small, shared_start=True)
+    with pytest.raises(ValueError):
+        prefix.build_prefix_index(small.union(spark.createDataFrame([("x", [9])], SEQS)), shared_start=True)
+
+
+def test_adding_beyond_the_bound_equals_rebuilding(spark, small, rows, monkeypatch):
+    monkeypatch.setattr(prefix, "fits", lambda df: False)
+    test_adding_equals_rebuilding(spark, small, rows)
+
+
 def test_append_index(spark, small):
     first = prefix.build_prefix_index(small)
     second = prefix.build_prefix_index(spark.createDataFrame([("x", [40, 41]), ("y", [42])], SEQS))
@@ -149,3 +207,15 @@ def test_search_in_an_empty_index(spark, small):
     queries = spark.createDataFrame([("q", [4])], "query_id string, tokens array<int>")
     empty = beam.stored_search_index(small.filter("false"))
     assert beam.constrained_beam_search(empty, queries).count() == 0
+
+
+def test_hot_keys_are_dealt_to_slices(spark, small, probes, rows, monkeypatch):
+    from rankloom.operators import skew
+
+    edges = prefix.build_prefix_index(small)
+    many = probes.unionByName(spark.createDataFrame([(f"r{i}", []) for i in range(30)] + [(f"n{i}", [7]) for i in range(30)], PROBES))
+    docs = small.unionByName(spark.createDataFrame([(f"x{i}", [5, 8]) for i in range(30)], SEQS))
+    outputs = spark.createDataFrame([("q", [5, 8]), ("p", [5, 8]), ("q", [5, 6])], "query_id string, tokens array<int>")
+    want = rows(prefix.next_tokens(edges, many)), rows(prefix.sequence_documents(outputs, docs).select("query_id", "corpus_id"))
+    monkeypatch.setattr(skew, "SLICE_ROWS", 4)
+    assert (rows(prefix.next_tokens(edges, many)), rows(prefix.sequence_documents(outputs, docs).select("query_id", "corpus_id"))) == want
