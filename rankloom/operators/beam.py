@@ -1,20 +1,27 @@
-"""Beam search limited to stored sequences, for all queries at once."""
+"""Beam search limited to stored sequences, for all queries at once.
+
+The search index holds edges between the places where stored sequences part, each with the
+log-probabilities of its steps, so a round joins the beams with the edges of their depths
+and with nothing else.
+"""
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS
 from rankloom.functions.tokens import START_ID, TERMINAL, cut_at_pad, prefix_hashes
-from rankloom.operators.prefix import KEY, distinct_paths, read_prefix_index, sequence_documents, write_prefix_index
-from rankloom.session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits, scratch_path
+from rankloom.operators.prefix import KEY, distinct_paths, nested_paths, read_prefix_index, sequence_documents, write_prefix_index
+from rankloom.session import BROADCAST_BYTES, BROADCAST_ROWS, cut_lineage, fits, scratch_path, workers_find_package
 
 SMOOTHING = 0.1
 QUERY_BONUS = 2.0
@@ -23,20 +30,46 @@ _MEAN_DIGITS = 9
 _FEW = 32
 # Paths that share no more than this many first ids with another need no deeper look.
 _NEAR = 8
+# In place of the next id where a path ends; less than any id and than the terminal marker.
+_NOTHING = -2
 
-# (log-probability of the transition, token, ids of the query) -> score of the step
+# (log-probability of the transition, token, ids of the query) -> score of the step, as a column expression
 Scorer = Callable[[Column, Column, Column], Column]
 
 
+@dataclass(frozen=True)
+class BatchScorer:
+    """A scorer that sees whole beginnings, such as a language model.
+
+    ``make`` is called once in each Python worker. What it returns gets Arrow batches of
+    ``(query_tokens, tokens, label)``, the ids of the query, a beginning and what may follow
+    it, and returns a ``list<double>`` array: for each id of the label the score of the step
+    to it, given the query, the beginning and the ids of the label before it.
+    """
+
+    make: Callable[[], Callable[[pa.RecordBatch], pa.Array]]
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+_LOADED: dict[str, Callable[[pa.RecordBatch], pa.Array]] = {}
+
+
+def _loaded(scorer: BatchScorer) -> Callable[[pa.RecordBatch], pa.Array]:
+    if scorer.name not in _LOADED:
+        _LOADED[scorer.name] = scorer.make()
+    return _LOADED[scorer.name]
+
+
 def query_bonus_scorer(bonus: float = QUERY_BONUS) -> Scorer:
     """The transition's log-probability, plus a bonus for ids that the query holds."""
     return lambda logp, token, query_tokens: logp + F.when(F.array_contains(query_tokens, token), bonus).otherwise(0.0)
 
 
-def bigram_scores(paths: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+def bigram_scores(paths: DataFrame, smoothing: float = SMOOTHING, exits: DataFrame | None = None) -> DataFrame:
     """``(prev, token, logp)``: smoothed log-probability of each transition of the corpus.
 
-    ``paths`` is ``(tokens, n_seq)``, as ``distinct_paths`` gives it.
+    ``paths`` is ``(tokens, n_seq)``, as ``distinct_paths`` gives it. ``exits (prev)`` asks
+    for the step to the terminal marker, a transition that never occurs.
     """
     position = F.explode(F.sequence(F.lit(1), F.size("tokens") - 1)).alias("i")
     steps = (
@@ -47,6 +80,9 @@ def bigram_scores(paths: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     pairs = steps.groupBy("prev", "token").agg(F.sum("n_seq").alias("n"))
     totals = pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"))
     n_tokens = pairs.agg(F.countDistinct("token").alias("v")).scalar()
+    if exits is not None:
+        never = exits.select("prev", F.lit(TERMINAL).alias("token"), F.lit(0).cast("bigint").alias("n")).distinct()
+        pairs = pairs.unionByName(never)
     share = (F.col("n") + smoothing) / (F.col("n_prev") + smoothing * n_tokens)
     return pairs.join(totals, "prev").select("prev", "token", F.log(share).alias("logp"))
 
@@ -66,13 +102,13 @@ def search_paths(paths: DataFrame) -> DataFrame:
     spread = (
         near.join(groups, ["n1", "n2"])
         .select("tokens", F.explode(F.sequence(F.lit(1), depth_limit)).alias("depth"))
-        .select("tokens", "depth", h1.alias("h1"), h2.alias("h2"), F.coalesce(F.get("tokens", F.col("depth")), F.lit(TERMINAL)).alias("token"))
+        .select("tokens", "depth", h1.alias("h1"), h2.alias("h2"), F.coalesce(F.get("tokens", F.col("depth")), F.lit(_NOTHING)).alias("token"))
     )
     branchings = (
         spread.groupBy(*KEY)
         .agg(F.min("token").alias("least"), F.max("token").alias("most"))
         .filter(F.col("least") != F.col("most"))
-        .select(*KEY, (F.col("least") == TERMINAL).alias("stop"))
+        .select(*KEY, (F.col("least") == _NOTHING).alias("stop"))
     )
     # The start is always a place to begin from, branching or not.
     found = (
@@ -89,70 +125,130 @@ def search_paths(paths: DataFrame) -> DataFrame:
     )
 
 
-def branch_edges(paths: DataFrame) -> DataFrame:
-    """Edges between the places where stored sequences part.
+def scored_paths(paths: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """``(p1, p2, tokens, starts, logps)``: paths with a key, and the log-probability of each step.
 
-    One row per branching prefix and next token: ``label`` holds the ids from there to the
-    next branching, or to the end of the only sequence left, and ``n_paths`` counts the
-    sequences behind it. A search has a choice at branchings only, and there are fewer of
-    them than sequences.
+    ``logps`` is one shorter than ``tokens``. The transitions are read here, once, and by no
+    search.
     """
+    p1, p2 = prefix_hashes(F.col("tokens"), F.size("tokens"))
+    named = cut_lineage(paths.select("tokens", "starts", p1.alias("p1"), p2.alias("p2")))
+    at = F.explode(F.sequence(F.lit(1), F.size("tokens") - 1)).alias("i")
+    steps = (
+        named.filter(F.size("tokens") > 1)
+        .select("p1", "p2", "tokens", at)
+        .select("p1", "p2", "i", F.get("tokens", F.col("i") - 1).alias("prev"), F.get("tokens", F.col("i")).alias("token"))
+    )
+    few = F.broadcast(bigrams) if fits(bigrams) else bigrams
+    logps = F.transform(F.array_sort(F.collect_list(F.struct("i", "logp"))), lambda s: s["logp"])
+    scored = steps.join(few, ["prev", "token"]).groupBy("p1", "p2").agg(logps.alias("logps"))
+    return named.join(scored, ["p1", "p2"])
+
+
+def branches(scored: DataFrame) -> DataFrame:
+    """One row per path and place where it may part from others, with the ids up to the next one."""
     h1, h2 = prefix_hashes(F.col("tokens"), F.col("depth"))
     until = F.coalesce(F.get("starts", F.col("at") + 1), F.size("tokens"))
-    return (
-        paths.select("tokens", "starts", F.posexplode("starts").alias("at", "depth"))
-        .select(
-            "depth",
-            h1.alias("h1"),
-            h2.alias("h2"),
-            F.get("tokens", F.col("depth") - 1).alias("prev"),
-            F.slice("tokens", F.col("depth") + 1, until - F.col("depth")).alias("label"),
-        )
-        .groupBy(*KEY, "prev", "label")
-        .agg(F.count(F.lit(1)).alias("n_paths"))
+    return scored.select("p1", "p2", "tokens", "starts", "logps", F.posexplode("starts").alias("at", "depth")).select(
+        "p1",
+        "p2",
+        "depth",
+        h1.alias("h1"),
+        h2.alias("h2"),
+        F.get("tokens", F.col("depth")).alias("token"),
+        F.slice("tokens", F.col("depth") + 1, until - F.col("depth")).alias("label"),
+        F.slice("logps", F.col("depth"), until - F.col("depth")).alias("logps"),
+    )
+
+
+def branch_edges(rows: DataFrame) -> DataFrame:
+    """Edges between the places where stored sequences part.
+
+    One row per branching prefix and next token: ``label`` holds the ids from there to the
+    next branching, or to the end of the only sequence left, ``logps`` their scores, ``logp``
+    the first of them, and ``n_paths`` counts the sequences behind it. A search has a choice at branchings only,
+    and there are fewer of them than sequences. Rows of one edge have equal labels.
+    """
+    return rows.groupBy(*KEY, "token").agg(
+        F.count(F.lit(1)).alias("n_paths"),
+        F.first(F.get("logps", F.lit(0))).alias("logp"),
+        F.first("label").alias("label"),
+        F.first("logps").alias("logps"),
+    )
+
+
+def path_tails(scored: DataFrame, rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """What lies behind the first edge of each path with few sequences behind it.
+
+    Rows are ``(depth, h1, h2, token)``, the edge's key, and ``ids`` and ``logps`` from there
+    to the path's end. Every path is behind one such edge.
+    """
+    small = edges.filter(F.col("n_paths") <= _FEW).select(*KEY, "token")
+    front = rows.select("p1", "p2", *KEY, "token").join(small, [*KEY, "token"])
+    first = front.groupBy("p1", "p2").agg(F.min(F.struct(*KEY, "token")).alias("front"))
+    rest = F.size("tokens") - F.col("front.depth")
+    return scored.join(first, ["p1", "p2"]).select(
+        "front.*",
+        F.slice("tokens", F.col("front.depth") + 1, rest).alias("ids"),
+        F.slice("logps", F.col("front.depth"), rest).alias("logps"),
     )
 
 
-BRANCH_SCHEMA = "prev int, token int, h1 long, h2 long, label array<int>, n_paths long, logp double, depth int"
+EDGE_SCHEMA = "h1 long, h2 long, token int, n_paths long, logp double, label array<int>, logps array<double>, depth int"
+TAIL_SCHEMA = "h1 long, h2 long, token int, ids array<int>, logps array<double>, depth int"
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Stored tables of a search: branch edges with their first step's score, the sequences
-    within reach, and the score of every transition."""
+    """Stored tables of a search: branch edges, and the ends of sequences behind edges with few of them."""
 
     edges: DataFrame
-    paths: DataFrame
-    bigrams: DataFrame
+    tails: DataFrame
+
+
+def searched_paths(distinct: DataFrame, policy: str) -> tuple[DataFrame, DataFrame | None]:
+    """The paths a search can take, and the last ids of those that it may leave early.
+
+    ``stop``: a search ends at the first complete sequence. ``pass``: it goes through complete
+    sequences that others continue. There the terminal marker is one of the allowed ids, as
+    it is in the list of next tokens, and a beam that takes it is dead: it ends with the
+    marker, which no stored sequence holds.
+    """
+    if policy == "stop":
+        return distinct, None
+    if policy != "pass":
+        raise ValueError(f"policy must be 'pass' or 'stop', not {policy!r}")
+    left = cut_lineage(nested_paths(distinct).filter("continued").select("tokens", F.lit(True).alias("left")))
+    tokens = F.when(F.col("left"), F.concat("tokens", F.array(F.lit(TERMINAL)))).otherwise(F.col("tokens"))
+    paths = cut_lineage(distinct.join(left, "tokens", "left").select(tokens.alias("tokens"), "n_seq"))
+    return paths, left.select(F.element_at("tokens", -1).alias("prev"))
 
 
-def write_search_index(sequences: DataFrame, path: str) -> SearchIndex:
+def write_search_index(sequences: DataFrame, path: str, policy: str = "stop") -> SearchIndex:
     spark = sequences.sparkSession
     distinct = cut_lineage(distinct_paths(sequences))
-    bigram_scores(distinct).write.mode("overwrite").parquet(f"{path}/bigrams")
-    bigrams = spark.read.parquet(f"{path}/bigrams")
-    search_paths(distinct).write.mode("overwrite").parquet(f"{path}/paths")
-    edges = branch_edges(spark.read.parquet(f"{path}/paths")).withColumn("token", F.get("label", F.lit(0)))
-    write_prefix_index(edges.join(bigrams, ["prev", "token"]), f"{path}/edges")
+    paths, exits = searched_paths(distinct, policy)
+    bigrams = cut_lineage(bigram_scores(distinct, exits=exits))
+    scored = cut_lineage(scored_paths(search_paths(paths), bigrams))
+    rows = cut_lineage(branches(scored))
+    edges = cut_lineage(branch_edges(rows))
+    write_prefix_index(edges, f"{path}/edges")
+    write_prefix_index(path_tails(scored, rows, edges), f"{path}/tails")
     return read_search_index(spark, path)
 
 
 def read_search_index(spark, path: str) -> SearchIndex:
-    return SearchIndex(
-        read_prefix_index(spark, f"{path}/edges", BRANCH_SCHEMA),
-        spark.read.parquet(f"{path}/paths"),
-        spark.read.parquet(f"{path}/bigrams"),
-    )
+    return SearchIndex(read_prefix_index(spark, f"{path}/edges", EDGE_SCHEMA), read_prefix_index(spark, f"{path}/tails", TAIL_SCHEMA))
 
 
-def stored_search_index(sequences: DataFrame) -> SearchIndex:
+def stored_search_index(sequences: DataFrame, policy: str = "stop") -> SearchIndex:
     """A search index in fresh shared scratch space."""
-    return write_search_index(sequences, scratch_path(sequences.sparkSession, "search-index"))
+    return write_search_index(sequences, scratch_path(sequences.sparkSession, "search-index"), policy)
 
 
 _PENDING = "array<struct<token:int,step:double>>"
-_NO_IDS = "array<int>"
-_STATE = ["query_id", "query_tokens", "tokens", "total", "ends", "n_paths", "pending", "rest"]
+_FRONT = "struct<depth:int,h1:bigint,h2:bigint,token:int>"
+_STATE = ["query_id", "query_tokens", "tokens", "total", "ends", "n_paths", "pending", "front"]
 _OPEN_ENDED = 1 << 62
 
 
@@ -167,7 +263,7 @@ def _best(beams: DataFrame, num_beams: int) -> DataFrame:
 
 
 def _at_end(max_steps: int) -> Column:
-    through = (F.col("n_paths") == 1) & (F.size("pending") == 0) & (F.size("rest") == 0)
+    through = (F.col("n_paths") == 1) & (F.size("pending") == 0)
     return F.col("ends") | through | (F.size("tokens") > max_steps)
 
 
@@ -183,73 +279,83 @@ def _consume(state: DataFrame, n: Column, max_steps: int) -> DataFrame:
         "ends",
         "n_paths",
         F.slice("pending", F.col("_n") + 1, F.size("pending")).alias("pending"),
-        "rest",
+        "front",
+        "active",
     ).withColumn("ends", _at_end(max_steps))
 
 
-def _scored_steps(beams: DataFrame, bigrams: DataFrame, scorer: Scorer, small: bool) -> DataFrame:
-    """``(query_id, tokens, rest, steps)``: the scores of the ids in ``rest``, which follow ``tokens``.
+def _with_steps(rows: DataFrame, scorer: Scorer | BatchScorer) -> DataFrame:
+    """``rows`` with ``pending``, the scored ids of ``label``, in place of ``label`` and ``logps``."""
+    if not isinstance(scorer, BatchScorer):
+        step = F.zip_with(
+            "label", "logps", lambda t, logp: F.struct(t.alias("token"), scorer(logp, t, F.col("query_tokens")).cast("double").alias("step"))
+        )
+        return rows.withColumn("pending", step).drop("label", "logps")
+    workers_find_package(rows.sparkSession)
+    rows = rows.drop("logps")
 
-    Beams are few; the transitions stay in place.
-    """
-    keys = ["query_id", "tokens", "rest"]
-    prev = F.when(F.col("i") == 0, F.element_at("tokens", -1)).otherwise(F.get("rest", F.col("i") - 1))
-    steps = (
-        beams.filter(F.size("rest") > 0)
-        .select(*keys, "query_tokens", F.posexplode("rest").alias("i", "token"))
-        .select(*keys, "query_tokens", "i", prev.alias("prev"), "token")
-    )
-    scored = bigrams.join(F.broadcast(steps) if small else steps, ["prev", "token"]).select(
-        *keys, F.struct("i", "token", scorer(F.col("logp"), F.col("token"), F.col("query_tokens")).alias("step")).alias("s")
-    )
-    pairs = F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s["token"].alias("token"), s["step"].alias("step")))
-    return scored.groupBy(*keys).agg(pairs.alias("steps"))
+    def run(batches):
+        score = _loaded(scorer)
+        for batch in batches:
+            steps = score(batch.select(["query_tokens", "tokens", "label"])) if batch.num_rows else pa.array([], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, steps.cast(pa.list_(pa.float64()))], [*batch.schema.names, "steps"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    scored = rows.mapInArrow(run, f"{kinds}, steps array<double>")
+    step = F.zip_with("label", "steps", lambda t, s: F.struct(t.alias("token"), s.alias("step")))
+    return scored.withColumn("pending", step).drop("label", "steps")
+
+
+def _searching() -> Column:
+    return ~F.col("ends") & (F.col("n_paths") > 1)
 
 
-def _with_active(state: DataFrame) -> DataFrame:
-    """A query goes on while one of its open beams has more than ``_FEW`` sequences ahead."""
-    ahead = F.max(F.when(~F.col("ends"), F.col("n_paths"))).over(W.partitionBy("query_id"))
-    return state.withColumn("active", F.coalesce(ahead > _FEW, F.lit(False)))
+def _branching() -> Column:
+    return F.col("active") & _searching() & (F.size("pending") == 0)
 
 
-def _complete(state: DataFrame, index: SearchIndex, num_beams: int, max_steps: int, scorer: Scorer, small: bool) -> DataFrame:
+def _ready(state: DataFrame, max_steps: int) -> DataFrame:
+    """The beams of each query moved on to the next branching of one of them.
+
+    A query stays active while one of its open beams has more than ``_FEW`` sequences ahead.
+    Between branchings nothing can be cut, so all go the same number of steps; without a
+    branching ahead they go to their ends.
+    """
+    of_query = W.partitionBy("query_id")
+    ahead = F.max(F.when(~F.col("ends"), F.col("n_paths"))).over(of_query)
+    to_branching = F.min(F.when(_searching(), F.size("pending"))).over(of_query)
+    moved = state.withColumn("active", F.coalesce(ahead > _FEW, F.lit(False))).withColumn("_to", F.coalesce(to_branching, F.size("pending")))
+    return _consume(moved, F.when(F.col("active"), F.col("_to")).otherwise(0), max_steps)
+
+
+def _complete(state: DataFrame, index: SearchIndex, num_beams: int, max_steps: int, scorer: Scorer | BatchScorer, small: bool) -> DataFrame:
     """The last steps of queries with few sequences ahead, query by query.
 
-    A query brings at most ``num_beams`` times ``_FEW`` sequences, so it fits in one task;
-    there its beams are cut step by step among those sequences.
+    Every open beam has passed an edge with few sequences behind it; their ends are found by
+    the key of that edge. A query brings at most ``num_beams`` times ``_FEW`` sequences, so it
+    fits in one task; there its beams are cut step by step among those sequences.
     """
-    h1, h2 = prefix_hashes(F.col("tokens"), F.size("tokens"))
-    begun = state.filter(~F.col("ends")).select(
-        "query_id", "query_tokens", "total", "tokens", F.size("tokens").alias("depth"), h1.alias("h1"), h2.alias("h2")
-    )
+    begun = state.filter(~F.col("ends")).select("query_id", "query_tokens", "total", "tokens", "front.*")
     depths = [row["depth"] for row in begun.select("depth").distinct().collect()]
-    ended = state.filter("ends").select("query_id", "total", "tokens", F.array().cast(_PENDING).alias("steps"))
+    ended = state.filter("ends").select("query_id", "total", "tokens", F.array().cast(_PENDING).alias("pending"))
     if depths:
-        p1, p2 = prefix_hashes(F.col("path"), F.col("depth"))
-        places = (
-            index.paths.select(F.slice("tokens", 1, max_steps + 1).alias("path"), F.explode(F.array(*map(F.lit, depths))).alias("depth"))
-            .filter(F.col("depth") < F.size("path"))
-            .withColumn("h1", p1)
-            .withColumn("h2", p2)
-        )
+        there = index.tails.filter(F.col("depth").isin(depths))
+        done = F.size("tokens") - F.col("depth")
+        room = F.lit(max_steps + 1) - F.size("tokens")
         ahead = (
-            places.join(F.broadcast(begun) if small else begun, KEY)
-            .filter(F.slice("path", 1, F.col("depth")) == F.col("tokens"))
-            .select("query_id", "query_tokens", "total", "tokens", F.slice("path", F.col("depth") + 1, F.size("path")).alias("rest"))
+            there.join(F.broadcast(begun) if small else begun, [*KEY, "token"])
+            .filter((F.size("ids") > done) & (F.slice("ids", F.lit(1), done) == F.slice("tokens", F.col("depth") + 1, done)))
+            .select("query_id", "query_tokens", "total", "tokens", F.slice("ids", done + 1, room).alias("label"), F.slice("logps", done + 1, room).alias("logps"))
             .distinct()
         )
-        ahead = cut_lineage(ahead)
-        few_steps = small and fits(ahead, BROADCAST_ROWS // max_steps, BROADCAST_BYTES)
-        steps = _scored_steps(ahead, index.bigrams, scorer, few_steps)
-        going = ahead.drop("rest", "query_tokens").distinct().join(steps, ["query_id", "tokens"])
-        ended = ended.unionByName(going.select(*ended.columns))
+        ended = ended.unionByName(_with_steps(ahead, scorer).select(*ended.columns))
 
     def last_steps(frame: pd.DataFrame) -> pd.DataFrame:
         heads = [tuple(t) for t in frame["tokens"]]
-        paths = [head + tuple(s["token"] for s in steps) for head, steps in zip(heads, frame["steps"])]
+        paths = [head + tuple(s["token"] for s in steps) for head, steps in zip(heads, frame["pending"])]
         sums = [
             list(itertools.accumulate((s["step"] for s in steps), initial=total))
-            for total, steps in zip(frame["total"], frame["steps"])
+            for total, steps in zip(frame["total"], frame["pending"])
         ]
         alive = range(len(paths))
         for size in range(min(map(len, heads)) + 1, max(map(len, paths)) + 1):
@@ -281,7 +387,7 @@ def constrained_beam_search(
     queries: DataFrame,
     num_beams: int = NUM_BEAMS,
     max_steps: int = MAX_LENGTH + 1,
-    scorer: Scorer | None = None,
+    scorer: Scorer | BatchScorer | None = None,
 ) -> DataFrame:
     """``(query_id, rank, tokens, score)``: the best stored sequences of each query.
 
@@ -291,64 +397,67 @@ def constrained_beam_search(
 
     Between two branchings nothing can be cut, so each round moves the beams of a query
     straight to its next branching, and takes the one step there by a join with the branch
-    edges. A query with few sequences ahead of every open beam leaves the rounds, and the
-    last steps of all those queries are taken together, each query in one small group. The
-    driver sees the depths in use, at most ``max_steps`` numbers a round.
+    edges of that depth. A round reads no other table. A query with few
+    sequences ahead of every open beam leaves the rounds, and the last steps of all those
+    queries are taken together, each query in one small group. The driver sees the depths in
+    use, at most ``max_steps`` numbers a round.
     """
     scorer = scorer or query_bonus_scorer()
-    state = cut_lineage(
-        queries.select(
-            "query_id",
-            F.array_distinct("tokens").alias("query_tokens"),
-            F.array(F.lit(START_ID)).alias("tokens"),
-            F.lit(0.0).alias("total"),
-            F.lit(False).alias("ends"),
-            F.lit(_OPEN_ENDED).alias("n_paths"),
-            F.array().cast(_PENDING).alias("pending"),
-            F.array().cast(_NO_IDS).alias("rest"),
-            F.lit(True).alias("active"),
-        )
+    begun = queries.select(
+        "query_id",
+        F.array_distinct("tokens").alias("query_tokens"),
+        F.array(F.lit(START_ID)).alias("tokens"),
+        F.lit(0.0).alias("total"),
+        F.lit(False).alias("ends"),
+        F.lit(_OPEN_ENDED).alias("n_paths"),
+        F.array().cast(_PENDING).alias("pending"),
+        F.lit(None).cast(_FRONT).alias("front"),
     )
+    state = cut_lineage(_ready(begun, max_steps))
     # What a round joins is bounded by the queries, the beams and the steps.
-    small = fits(state, BROADCAST_ROWS // (num_beams * max_steps), BROADCAST_BYTES // (num_beams * max_steps))
-    searching = ~F.col("ends") & (F.col("n_paths") > 1)
-    branches = searching & (F.size("pending") == 0)
+    small = fits(state.select("query_id", "query_tokens", "tokens"), BROADCAST_ROWS // num_beams, BROADCAST_BYTES // num_beams)
     while True:
-        beams = state.filter("active").select(*_STATE)
-        steps = _scored_steps(beams, index.bigrams, scorer, small)
-        scored = (
-            beams.join(F.broadcast(steps) if small else steps, ["query_id", "tokens", "rest"], "left")
-            .withColumn("pending", F.coalesce("steps", "pending"))
-            .withColumn("rest", F.array().cast(_NO_IDS))
-        )
-        to_branching = F.min(F.when(searching, F.size("pending"))).over(W.partitionBy("query_id"))
-        ready = cut_lineage(_consume(scored, F.coalesce(to_branching, F.size("pending")), max_steps))
         # Depths differ between queries; the folders of the others are not read.
-        depths = [row["d"] for row in ready.filter(branches).select(F.size("tokens").alias("d")).distinct().collect()]
-        waiting = state.filter(~F.col("active"))
+        depths = [row["d"] for row in state.filter(_branching()).select(F.size("tokens").alias("d")).distinct().collect()]
         if not depths:
-            state = waiting.select(*_STATE).unionByName(ready)
             break
         h1, h2 = prefix_hashes(F.col("tokens"), F.size("tokens"))
-        at_branch = ready.filter(branches).select(
-            "query_id", "query_tokens", "tokens", "total", F.size("tokens").alias("depth"), h1.alias("h1"), h2.alias("h2")
+        at_branch = state.filter(_branching()).select(
+            "query_id", "query_tokens", "tokens", "total", "front", F.size("tokens").alias("depth"), h1.alias("h1"), h2.alias("h2")
         )
-        edges = index.edges.filter(F.col("depth").isin(depths)).select(*KEY, "label", "n_paths", "token", "logp")
-        grown = edges.join(F.broadcast(at_branch) if small else at_branch, KEY).select(
+        edges = index.edges.filter(F.col("depth").isin(depths))
+        met = edges.select(*KEY, "token", "n_paths", "logp").join(F.broadcast(at_branch) if small else at_branch, KEY)
+        # One step for every choice; the ids behind it only for the beams that are kept.
+        if isinstance(scorer, BatchScorer):
+            scored = _with_steps(met.withColumn("label", F.array("token")).withColumn("logps", F.array("logp")).drop("logp"), scorer)
+            step = F.get("pending", F.lit(0))["step"]
+        else:
+            scored, step = met, scorer(F.col("logp"), F.col("token"), F.col("query_tokens"))
+        grown = scored.select(
             "query_id",
             "query_tokens",
             F.concat("tokens", F.array("token")).alias("tokens"),
-            (F.col("total") + scorer(F.col("logp"), F.col("token"), F.col("query_tokens"))).alias("total"),
+            (F.col("total") + step).alias("total"),
             F.lit(False).alias("ends"),
             "n_paths",
             F.array().cast(_PENDING).alias("pending"),
-            F.slice("label", 2, F.size("label")).alias("rest"),
+            "front",
+            F.struct(*KEY, "token").alias("edge"),
         )
         # The other beams of a query take one step meanwhile, unless none of it branches.
-        still = F.max(F.when(branches, 1).otherwise(0)).over(W.partitionBy("query_id"))
-        others = _consume(ready.withColumn("_still", still).filter(~branches), F.col("_still"), max_steps)
-        kept = _best(grown.unionByName(others), num_beams).select(*_STATE).withColumn("ends", _at_end(max_steps))
-        state = cut_lineage(_with_active(kept).unionByName(waiting))
+        still = F.max(F.when(_branching(), 1).otherwise(0)).over(W.partitionBy("query_id"))
+        others = _consume(state.filter("active").withColumn("_still", still).filter(~_branching()), F.col("_still"), max_steps)
+        others = others.select(*_STATE, F.lit(None).cast(_FRONT).alias("edge"))
+        kept = cut_lineage(_best(grown.unionByName(others), num_beams).drop("rank"))
+        stepped = kept.filter("edge IS NOT NULL").drop("pending").select("*", "edge.*")
+        if small:
+            stepped = F.broadcast(stepped)
+        behind = edges.select(*KEY, "token", F.slice("label", 2, F.size("label")).alias("label"), F.slice("logps", 2, F.size("logps")).alias("logps"))
+        front = F.when(F.col("front").isNull() & (F.col("n_paths") <= _FEW), F.col("edge")).otherwise(F.col("front"))
+        moved = _with_steps(behind.join(stepped, [*KEY, "token"]).withColumn("front", front), scorer).select(*_STATE)
+        beams = moved.unionByName(kept.filter("edge IS NULL").select(*_STATE)).withColumn("ends", _at_end(max_steps))
+        waiting = state.filter(~F.col("active"))
+        state = cut_lineage(_ready(beams, max_steps).unionByName(waiting))
     finished = _complete(state, index, num_beams, max_steps, scorer, small)
     return _best(finished, num_beams).select("query_id", "rank", "tokens", _mean().alias("score"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.tokens import START_ID, TERMINAL, prefix_hashes
 from rankloom.operators.skew import dealt_join
-from rankloom.session import cut_lineage, fits
+from rankloom.session import cut_lineage, fits, workers_find_package
 
 KEY = ["depth", "h1", "h2"]
 EDGE_SCHEMA = "h1 long, h2 long, prev int, token int, n_seq long, n_paths long, ends boolean, depth int"
@@ -50,6 +50,7 @@ def with_prefixes(paths: DataFrame, shortest: int = 0) -> DataFrame:
 
 def _in_order(paths: DataFrame) -> DataFrame:
     """Distinct paths, range-partitioned and sorted: a path's neighbours share the most with it."""
+    workers_find_package(paths.sparkSession)
     return paths.repartitionByRange("tokens").sortWithinPartitions("tokens")
 
 

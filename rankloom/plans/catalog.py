@@ -77,6 +77,15 @@ def _stored_sequences(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
     return cut_lineage(tokens.framed(tokens.truncated(encoded))), vocab
 
 
+def _plain_sequences(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Titles and texts without end ids, and the vocabulary: a title is the beginning of its text."""
+    corpus = tables.documents_corpus(spark, root)
+    titles = corpus.select(F.concat(F.lit("t"), "corpus_id").alias("corpus_id"), F.col("title").alias("text"))
+    vocab = tokens.build_vocab(corpus)
+    plain = tokens.truncated(tokens.encode_tokens(corpus.select("corpus_id", "text").unionByName(titles), vocab, limit=MAX_LENGTH), MAX_LENGTH, None)
+    return cut_lineage(tokens.framed(plain)), vocab
+
+
 def _reply_sequences(spark: SparkSession, root: str, vocab: DataFrame) -> DataFrame:
     replies = tables.reply_collection(spark, root).corpus
     return tokens.framed(tokens.truncated(tokens.encode_tokens(replies, vocab, limit=MAX_LENGTH)))
@@ -488,11 +497,7 @@ def shared_sequences(spark: SparkSession, root: str) -> Query:
 
 def shadowed_documents(spark: SparkSession, root: str) -> Query:
     """Titles and texts in one index without end ids, where a title is the beginning of its text."""
-    corpus = tables.documents_corpus(spark, root)
-    titles = corpus.select(F.concat(F.lit("t"), "corpus_id").alias("corpus_id"), F.col("title").alias("text"))
-    vocab = tokens.build_vocab(corpus)
-    plain = tokens.truncated(tokens.encode_tokens(corpus.select("corpus_id", "text").unionByName(titles), vocab, limit=MAX_LENGTH), MAX_LENGTH, None)
-    return prefix.shadowed_documents(cut_lineage(tokens.framed(plain)))
+    return prefix.shadowed_documents(_plain_sequences(spark, root)[0])
 
 
 def prefix_fanout(spark: SparkSession, root: str) -> Query:
@@ -557,6 +562,39 @@ def constrained_beam_search(spark: SparkSession, root: str) -> Query:
     )
 
 
+def pass_beam_search(spark: SparkSession, root: str) -> Query:
+    """Search through complete sequences: titles and texts in one index without end ids."""
+    sequences, vocab = _plain_sequences(spark, root)
+    asked = tokens.encode_tokens(tables.passage_queries(spark, root), vocab, "query_id")
+    found = beam.constrained_beam_search(beam.stored_search_index(sequences, "pass"), asked)
+    return found.select("query_id", _long("rank"), _joined("tokens").alias("tokens"), _rounded("score").alias("score"))
+
+
+def prefix_scorer():
+    """A stand-in for a language model: the score of a step depends on all ids before it."""
+    import pyarrow as pa
+
+    def score(batch: pa.RecordBatch) -> pa.Array:
+        out = []
+        for query, before, label in zip(*(batch.column(c).to_pylist() for c in ("query_tokens", "tokens", "label"))):
+            wanted, total, steps = set(query), sum(before), []
+            for token in label:
+                steps.append(-(((total + 7 * token) % 101) + 1) / 101 + (0.5 if token in wanted else 0.0))
+                total += token
+            out.append(steps)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return score
+
+
+def prefix_scored_search(spark: SparkSession, root: str) -> Query:
+    """Search with a scorer that sees whole beginnings, in batches."""
+    sequences, vocab = _stored_sequences(spark, root)
+    asked = tokens.encode_tokens(tables.passage_queries(spark, root), vocab, "query_id")
+    found = beam.constrained_beam_search(beam.stored_search_index(sequences), asked, scorer=beam.BatchScorer(prefix_scorer))
+    return found.select("query_id", _long("rank"), _joined("tokens").alias("tokens"), _rounded("score").alias("score"))
+
+
 def beams_to_run(spark: SparkSession, root: str) -> Query:
     beams, sequences = _beams(spark, root)
     return beam.beams_to_run(beams, sequences).select("query_id", "corpus_id", _rounded("score").alias("score"))
@@ -715,6 +753,19 @@ def constrained_experiment(spark: SparkSession, root: str) -> Query:
     return _report_rows(experiments.constrained_experiment(tables.passage_collection(spark, root)))
 
 
+def chunked_experiment(spark: SparkSession, root: str) -> Query:
+    """The same search over the whole chunks of the documents."""
+    return _report_rows(experiments.constrained_experiment(tables.passage_collection(spark, root), chunk=True))
+
+
+def first_document_experiment(spark: SparkSession, root: str) -> Query:
+    """nDCG of single documents found by generation, and the number of generated errors."""
+    order = F.substring("corpus_id", 2, 20).cast("bigint")
+    report, errors = experiments.first_document_experiment(tables.passage_collection(spark, root), order)
+    lost = errors.agg(F.lit("errors").alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))
+    return _metric_rows(report.unionByName(lost))
+
+
 def generation_experiment(spark: SparkSession, root: str) -> Query:
     """Generate for judged queries: outcome of each."""
     passages = tables.passage_collection(spark, root)
@@ -779,6 +830,8 @@ QUERIES = {
     "dense_search_blocked": dense_search_blocked,
     "encode_vectors": encode_vectors,
     "constrained_beam_search": constrained_beam_search,
+    "pass_beam_search": pass_beam_search,
+    "prefix_scored_search": prefix_scored_search,
     "beams_to_run": beams_to_run,
     "unmatched_sequences": unmatched_sequences,
     "drop_self_matches": drop_self_matches,
@@ -796,5 +849,7 @@ QUERIES = {
     "lexical_experiment": lexical_experiment,
     "dense_experiment": dense_experiment,
     "constrained_experiment": constrained_experiment,
+    "chunked_experiment": chunked_experiment,
+    "first_document_experiment": first_document_experiment,
     "generation_experiment": generation_experiment,
 }

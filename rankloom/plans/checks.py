@@ -11,6 +11,7 @@ from rankloom.functions.fixed import GENERATORS, INPUT_CAP, K_VALUES, MAX_LENGTH
 from rankloom.operators.beam import QUERY_BONUS, SMOOTHING
 from rankloom.operators.generation import EXTRA_TOKENS, MIN_MARGIN
 from rankloom.operators.lexical import B, K1, TIE_BREAKER
+from rankloom.plans.experiments import MODEL_IDS
 from rankloom.plans.catalog import DEPTH, NEST_ROWS, REQUESTS, TOP, VECTOR_DIM
 
 
@@ -138,6 +139,62 @@ def _cosine(queries: str, corpus: str, query_ids: str, corpus_ids: str, own_leng
               ON m.query_id = a.query_id AND m.corpus_id = b.corpus_id)"""
 
 
+def _bigrams(edges: str) -> str:
+    return f"""
+        SELECT prev, token, ln((n + {SMOOTHING}) / (sum(n) OVER (PARTITION BY prev)
+                            + {SMOOTHING} * (SELECT count(DISTINCT token) FROM {edges} WHERE depth > 0 AND token >= 0))) AS logp
+        FROM (SELECT prev, token, sum(n_seq)::DOUBLE AS n FROM {edges} WHERE depth > 0 AND token >= 0 GROUP BY ALL)"""
+
+
+def _pass_walk(edges: str, bigrams: str) -> str:
+    """Steps of a search through complete sequences; the marker -1 is one where others go on."""
+    return f"""
+        SELECT e.p, e.token, f.f IS NULL AS ends, b.logp
+        FROM {edges} e JOIN {bigrams} b USING (prev, token)
+        LEFT JOIN (SELECT DISTINCT p AS f FROM {edges} WHERE token >= 0) f ON f.f = list_append(e.p, e.token)
+        UNION ALL
+        SELECT e.p, -1, true, ln({SMOOTHING} / (n_prev + {SMOOTHING} * (SELECT count(DISTINCT token) FROM {edges} WHERE depth > 0 AND token >= 0)))
+        FROM {edges} e JOIN (SELECT DISTINCT p FROM {edges} WHERE token >= 0) USING (p)
+        JOIN (SELECT prev, sum(n_seq)::DOUBLE AS n_prev FROM {edges} WHERE depth > 0 AND token >= 0 GROUP BY prev) USING (prev)
+        WHERE e.token = -1"""
+
+
+_BONUS_STEP = f"w.logp + CASE WHEN list_contains(s.ids, w.token) THEN {QUERY_BONUS} ELSE 0 END"
+_PREFIX_STEP = "-(((list_sum(s.tokens) + 7 * w.token) % 101) + 1)::DOUBLE / 101 + CASE WHEN list_contains(s.ids, w.token) THEN 0.5 ELSE 0 END"
+
+
+def _search(name: str, asked: str, walk: str, steps: int, step: str = _BONUS_STEP) -> str:
+    """Plain beam search, one step at a time (recursive)."""
+    return f"""
+        SELECT 0 AS step, query_id, ids, [0]::BIGINT[] AS tokens, 0.0::DOUBLE AS total, false AS ends FROM {asked}
+        UNION ALL
+        SELECT step, query_id, ids, tokens, total, ends FROM (
+            SELECT *, row_number() OVER (
+                PARTITION BY query_id ORDER BY round(total / greatest(len(tokens) - 1, 1), 9) DESC, tokens) AS place
+            FROM (
+                SELECT s.step + 1 AS step, s.query_id, s.ids,
+                       CASE WHEN s.ends THEN s.tokens ELSE list_append(s.tokens, w.token) END AS tokens,
+                       CASE WHEN s.ends THEN s.total ELSE s.total + {step} END AS total,
+                       s.ends OR w.ends AS ends
+                FROM {name} s LEFT JOIN {walk} w ON w.p = CASE WHEN s.ends THEN NULL ELSE s.tokens END
+                WHERE s.step < {steps} AND (s.ends OR w.token IS NOT NULL)))
+        WHERE place <= {NUM_BEAMS}"""
+
+
+def _beams(search: str, steps: int) -> str:
+    return f"""
+        SELECT query_id, tokens, total / greatest(len(tokens) - 1, 1) AS score,
+               row_number() OVER (PARTITION BY query_id ORDER BY round(total / greatest(len(tokens) - 1, 1), 9) DESC, tokens) AS rank
+        FROM {search} WHERE step = {steps}"""
+
+
+def _filled(run: str) -> str:
+    return f"""
+        SELECT q.query_id, d.corpus_id, coalesce(r.score, 0) AS score
+        FROM (SELECT DISTINCT query_id FROM qrels) q CROSS JOIN docs d
+        LEFT JOIN {run} r ON r.query_id = q.query_id AND r.corpus_id = d.corpus_id"""
+
+
 # name -> body; each may use the names before it.
 _PARTS: dict[str, str] = {
     "docs": "SELECT doc_id, 'd' || doc_id AS corpus_id, text, split_part(text, chr(10), 1) AS title FROM documents",
@@ -179,36 +236,45 @@ _PARTS: dict[str, str] = {
         UNION ALL SELECT corpus_id || '/2', tokens[1:len(tokens) // 2] FROM seqs
         UNION ALL SELECT query_id, tokens FROM asked_seqs""",
     "allowed": "SELECT probe_id, token FROM probes LEFT JOIN edges USING (p)",
-    "bigrams": f"""
-        SELECT prev, token, ln((n + {SMOOTHING}) / (sum(n) OVER (PARTITION BY prev)
-                            + {SMOOTHING} * (SELECT count(DISTINCT token) FROM edges WHERE depth > 0 AND token >= 0))) AS logp
-        FROM (SELECT prev, token, sum(n_seq)::DOUBLE AS n FROM edges WHERE depth > 0 AND token >= 0 GROUP BY ALL)""",
+    "bigrams": _bigrams("edges"),
     "walk": "SELECT p, token, ends, logp FROM edges JOIN bigrams USING (prev, token)",
-    "search": f"""
-        SELECT 0 AS step, query_id, ids, [0]::BIGINT[] AS tokens, 0.0::DOUBLE AS total, false AS ends FROM asked_enc
-        UNION ALL
-        SELECT step, query_id, ids, tokens, total, ends FROM (
-            SELECT *, row_number() OVER (
-                PARTITION BY query_id ORDER BY round(total / greatest(len(tokens) - 1, 1), 9) DESC, tokens) AS place
-            FROM (
-                SELECT s.step + 1 AS step, s.query_id, s.ids,
-                       CASE WHEN s.ends THEN s.tokens ELSE list_append(s.tokens, w.token) END AS tokens,
-                       CASE WHEN s.ends THEN s.total
-                            ELSE s.total + w.logp + CASE WHEN list_contains(s.ids, w.token) THEN {QUERY_BONUS} ELSE 0 END END AS total,
-                       s.ends OR w.ends AS ends
-                FROM search s LEFT JOIN walk w ON w.p = CASE WHEN s.ends THEN NULL ELSE s.tokens END
-                WHERE s.step <= {MAX_LENGTH} AND (s.ends OR w.token IS NOT NULL)))
-        WHERE place <= {NUM_BEAMS}""",
-    "beams": f"""
-        SELECT query_id, tokens, total / greatest(len(tokens) - 1, 1) AS score,
-               row_number() OVER (PARTITION BY query_id ORDER BY round(total / greatest(len(tokens) - 1, 1), 9) DESC, tokens) AS rank
-        FROM search WHERE step = {MAX_LENGTH + 1}""",
+    "search": _search("search", "asked_enc", "walk", MAX_LENGTH + 1),
+    "beams": _beams("search", MAX_LENGTH + 1),
     "beam_run": "SELECT query_id, corpus_id, max(exp(score)) AS score FROM beams JOIN seqs USING (tokens) GROUP BY ALL",
-    "filled_run": """
-        SELECT q.query_id, d.corpus_id, coalesce(r.score, 0) AS score
-        FROM (SELECT DISTINCT query_id FROM qrels) q CROSS JOIN docs d
-        LEFT JOIN beam_run r ON r.query_id = q.query_id AND r.corpus_id = d.corpus_id""",
+    "prefix_search": _search("prefix_search", "asked_enc", "walk", MAX_LENGTH + 1, _PREFIX_STEP),
+    "prefix_beams": _beams("prefix_search", MAX_LENGTH + 1),
+    "plain_edges": _edges("plain_seqs"),
+    "plain_bigrams": _bigrams("plain_edges"),
+    "plain_walk": _pass_walk("plain_edges", "plain_bigrams"),
+    "plain_search": _search("plain_search", "asked_enc", "plain_walk", MAX_LENGTH + 1),
+    "plain_beams": _beams("plain_search", MAX_LENGTH + 1),
+    "prompted": f"SELECT query_id, replace({_NQ}, '[QUERY]', text) AS text FROM asked WHERE query_id IN (SELECT query_id FROM qrels)",
+    "prompt_all": _encoded("prompted", "query_id"),
+    "prompt_enc": f"SELECT query_id, ids[1:{INPUT_CAP - 1}] AS ids FROM prompt_all",
+    "prompt_search": _search("prompt_search", "prompt_enc", "walk", MAX_LENGTH + 1),
+    "prompt_beams": _beams("prompt_search", MAX_LENGTH + 1),
+    "prompt_run": "SELECT query_id, corpus_id, max(exp(score)) AS score FROM prompt_beams JOIN seqs USING (tokens) GROUP BY ALL",
+    "filled_run": _filled("prompt_run"),
     "beam_metrics": _per_query("filled_run", "qrels", "one"),
+    "chunk_seqs": f"""
+        SELECT corpus_id, [0] || capped[c * {MAX_LENGTH} + 1:(c + 1) * {MAX_LENGTH}] AS tokens
+        FROM (SELECT corpus_id, capped, unnest(range(0, len(capped) // {MAX_LENGTH})) AS c
+              FROM (SELECT corpus_id, ids[1:{INPUT_CAP - 1}] || [1] AS capped FROM enc))""",
+    "chunk_edges": _edges("chunk_seqs"),
+    "chunk_bigrams": _bigrams("chunk_edges"),
+    "chunk_walk": "SELECT p, token, ends, logp FROM chunk_edges JOIN chunk_bigrams USING (prev, token)",
+    "chunk_search": _search("chunk_search", "prompt_enc", "chunk_walk", MAX_LENGTH + 1),
+    "chunk_beams": _beams("chunk_search", MAX_LENGTH + 1),
+    "chunk_run": "SELECT query_id, corpus_id, max(exp(score)) AS score FROM chunk_beams JOIN chunk_seqs USING (tokens) GROUP BY ALL",
+    "chunk_filled": _filled("chunk_run"),
+    "chunk_metrics": _per_query("chunk_filled", "qrels", "one"),
+    "short_enc": f"SELECT query_id, ids[1:{MODEL_IDS - MAX_LENGTH - 1}] AS ids FROM prompt_all",
+    "whole_walk": _pass_walk("edges", "bigrams"),
+    "whole_search": _search("whole_search", "short_enc", "whole_walk", MAX_LENGTH),
+    "whole_beams": _beams("whole_search", MAX_LENGTH),
+    "whole_docs": """
+        SELECT query_id, corpus_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place
+        FROM whole_beams JOIN (SELECT tokens, 'd' || min(corpus_id[2:]::BIGINT) AS corpus_id FROM seqs GROUP BY tokens) USING (tokens)""",
     "postings": _postings("docs"),
     "ranked": _bm25("postings", "asked"),
     "run": "SELECT * FROM ranked WHERE rank <= 1000",
@@ -268,7 +334,7 @@ _PARTS: dict[str, str] = {
         FROM results JOIN asked a USING (query_id) JOIN (SELECT * FROM qrels WHERE ord = 1) USING (query_id)
         JOIN docs d USING (corpus_id) WHERE error IS NULL""",
 }
-_RECURSIVE = {"search"}
+_RECURSIVE = {"search", "prefix_search", "plain_search", "prompt_search", "chunk_search", "whole_search"}
 
 
 def _uses(body: str, name: str) -> bool:
@@ -441,6 +507,8 @@ _SELECTS: dict[str, str] = {
     "dense_search_blocked": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= {DEPTH}",
     "encode_vectors": "SELECT id, i, round(value, 6) AS value FROM doc_vectors",
     "constrained_beam_search": f"SELECT query_id, rank, {_ids('tokens')} AS tokens, round(score, 6) AS score FROM beams",
+    "pass_beam_search": f"SELECT query_id, rank, {_ids('tokens')} AS tokens, round(score, 6) AS score FROM plain_beams",
+    "prefix_scored_search": f"SELECT query_id, rank, {_ids('tokens')} AS tokens, round(score, 6) AS score FROM prefix_beams",
     "beams_to_run": "SELECT query_id, corpus_id, round(score, 6) AS score FROM beam_run",
     "unmatched_sequences": """SELECT corpus_id, len(tokens) AS n_tokens
         FROM (SELECT corpus_id, tokens FROM seqs UNION ALL SELECT query_id, tokens FROM asked_seqs)
@@ -480,6 +548,12 @@ _SELECTS: dict[str, str] = {
     "lexical_experiment": _report("reply_metrics"),
     "dense_experiment": _report("dense_metrics"),
     "constrained_experiment": _report("beam_metrics"),
+    "chunked_experiment": _report("chunk_metrics"),
+    "first_document_experiment": """
+        SELECT 'nDCG@' || k AS metric, round(avg(coalesce((SELECT sum(1 / log2(w.place + 1)) FROM whole_docs w
+                   WHERE w.query_id = q.query_id AND w.corpus_id = q.corpus_id AND w.place <= k), 0)), 6) AS value
+        FROM (SELECT query_id, corpus_id FROM qrels WHERE ord = 1) q CROSS JOIN (VALUES (1), (5), (10)) ks(k) GROUP BY k
+        UNION ALL SELECT 'errors', count(*)::DOUBLE FROM whole_beams WHERE tokens NOT IN (SELECT tokens FROM seqs)""",
     "generation_experiment": """
         SELECT query_id, corpus_id, len(output) AS n_texts, NULL::VARCHAR AS error FROM assembled
         UNION ALL SELECT query_id, NULL, 0, error FROM results

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS, RETRIEVERS
-from rankloom.operators.beam import Scorer, beams_to_run, constrained_beam_search, stored_search_index
+from rankloom.functions.fixed import INPUT_CAP, MAX_LENGTH, NUM_BEAMS, RETRIEVERS
+from rankloom.functions.tokens import cut_at_pad
+from rankloom.operators.beam import BatchScorer, Scorer, beams_to_run, constrained_beam_search, stored_search_index
 from rankloom.operators.dense import dense_search, encode_vectors
 from rankloom.operators.evaluation import metric_report, zero_fill
 from rankloom.operators.generation import Generate, assemble_generations, generation_requests, run_generation
 from rankloom.operators.lexical import bm25_index, bm25_search
-from rankloom.operators.rewriting import expand_query, first_positive, judged_queries, limit_queries
+from rankloom.operators.list_metrics import list_ndcg
+from rankloom.operators.prefix import sequence_documents, unmatched_sequences
+from rankloom.operators.rewriting import expand_query, first_positive, hit_flags, judged_queries, limit_queries, render_prompt
 from rankloom.operators.tokens import build_vocab, chunked, encode_tokens, framed, head_mean_length, truncated
 from rankloom.session import cut_lineage
 from rankloom.sources.collection import Collection
@@ -84,15 +87,27 @@ def corpus_sequences(corpus: DataFrame, vocab: DataFrame, max_length: int = MAX_
     return framed(chunked(encoded, max_length) if chunk else truncated(encoded, max_length))
 
 
+def prompt_tokens(queries: DataFrame, vocab: DataFrame, stem: str, cap: int) -> DataFrame:
+    """``(query_id, tokens)`` of the rendered prompts, as many ids as fit below ``cap`` with an end id."""
+    return encode_tokens(render_prompt(queries, stem), vocab, "query_id", "prompt", limit=cap - 1)
+
+
 def constrained_experiment(
     collection: Collection,
     max_length: int = MAX_LENGTH,
     num_beams: int = NUM_BEAMS,
     chunk: bool = False,
-    scorer: Scorer | None = None,
+    scorer: Scorer | BatchScorer | None = None,
     max_gen: int | None = None,
+    stem: str = "nq",
+    input_cap: int = INPUT_CAP,
 ) -> DataFrame:
-    """Search by generating stored sequences only; same report as the other retrievers."""
+    """Search by generating stored sequences only; same report as the other retrievers.
+
+    Queries are rendered as prompts and capped. With ``chunk`` the sequences are the whole
+    chunks of the documents; a document has the score of its best chunk, and one too short
+    for a chunk is judged but never found.
+    """
     vocab = build_vocab(collection.corpus)
     sequences = cut_lineage(corpus_sequences(collection.corpus, vocab, max_length, chunk))
     queries = judged_queries(collection.queries, collection.qrels)
@@ -100,7 +115,7 @@ def constrained_experiment(
         queries = limit_queries(queries, collection.qrels, max_gen)
     beams = constrained_beam_search(
         stored_search_index(sequences),
-        encode_tokens(queries, vocab, "query_id"),
+        prompt_tokens(queries, vocab, stem, input_cap),
         num_beams,
         max_length + 1,
         scorer,
@@ -108,3 +123,47 @@ def constrained_experiment(
     run = cut_lineage(beams_to_run(beams, sequences))
     asked = collection.qrels.join(queries.select("query_id"), "query_id", "left_semi")
     return metric_report(zero_fill(run, asked, collection.corpus), asked, include_empty=True, ranked_run=True)
+
+
+# Fixed value: ids of prompt and sequence together, in the single-document run.
+MODEL_IDS = 510
+
+
+def first_document_experiment(
+    collection: Collection,
+    corpus_order: Column,
+    max_length: int = MAX_LENGTH,
+    num_beams: int = NUM_BEAMS,
+    scorer: Scorer | BatchScorer | None = None,
+    stem: str = "nq",
+    ks: tuple[int, ...] = (1, 5, 10),
+) -> tuple[DataFrame, DataFrame]:
+    """``(report, errors)``: nDCG of the documents that generated sequences stand for.
+
+    The search goes through complete sequences that others continue. A sequence stands for
+    the first document that has it; one that is no document's is an error row and leaves no
+    place in the list. A document is a hit if it is the query's first judged one. Lists
+    shorter than a cut-off are filled up with misses.
+    """
+    vocab = build_vocab(collection.corpus)
+    order = collection.corpus.select("corpus_id", corpus_order.alias("ord"))
+    sequences = cut_lineage(corpus_sequences(collection.corpus, vocab, max_length).join(order, "corpus_id"))
+    queries = judged_queries(collection.queries, collection.qrels)
+    beams = constrained_beam_search(
+        stored_search_index(sequences, "pass"),
+        prompt_tokens(queries, vocab, stem, MODEL_IDS - max_length),
+        num_beams,
+        max_length,
+        scorer,
+    )
+    outputs = cut_lineage(beams.select("query_id", "rank", cut_at_pad(F.col("tokens")).alias("tokens")))
+    flags = hit_flags(sequence_documents(outputs, sequences, "first").select("query_id", "corpus_id", "rank"), collection.qrels, first_only=True)
+    # A query brings num_beams rows at most.
+    hits = F.transform(F.array_sort(F.collect_list(F.struct("rank", "corpus_id", "hit"))), lambda x: x["hit"])
+    lists = flags.groupBy("query_id").agg(hits.alias("hits"))
+    misses = F.array_repeat(F.lit(0), max(ks))
+    rows = queries.select("query_id").join(lists, "query_id", "left").select(
+        F.slice(F.concat(F.coalesce("hits", F.array().cast("array<int>")), misses), 1, max(ks)).alias("predictions"),
+        F.array(F.lit(1)).alias("references"),
+    )
+    return list_ndcg(cut_lineage(rows), list(ks)), unmatched_sequences(outputs, sequences)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,15 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did."""
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in paths.split(os.pathsep):
+        environment["PYTHONPATH"] = root + (os.pathsep + paths if paths else "")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 

@@ -147,9 +147,10 @@ def test_index_round_trip(spark, small, tmp_path, rows):
     assert again.filter("depth = 1").count() == 2
 
 
-def _stepwise(sequences, queries, num_beams, max_steps, scores):
+def _stepwise(sequences, queries, num_beams, max_steps, scores, step_of=None):
     """Plain beam search, one step at a time, over Python sets."""
     paths = {tuple(t) for _, t in sequences}
+    step_of = step_of or (lambda tokens, token, wanted: scores[tokens[-1], token] + (beam.QUERY_BONUS if token in wanted else 0.0))
     out = {}
     for query, wanted in queries:
         state = [((0,), 0.0, False)]
@@ -160,8 +161,7 @@ def _stepwise(sequences, queries, num_beams, max_steps, scores):
                     continue
                 for token in {p[len(tokens)] for p in paths if len(p) > len(tokens) and p[: len(tokens)] == tokens}:
                     longer = tokens + (token,)
-                    step = scores[tokens[-1], token] + (beam.QUERY_BONUS if token in wanted else 0.0)
-                    grown.append((longer, total + step, longer in paths))
+                    grown.append((longer, total + step_of(tokens, token, wanted), longer in paths))
             grown.sort(key=lambda b: (-round(b[1] / max(len(b[0]) - 1, 1), 9), b[0]))
             state = grown[:num_beams]
         out[query] = [(list(t), round(s / max(len(t) - 1, 1), 6)) for t, s, _ in state]
@@ -193,6 +193,65 @@ def test_beam_search_equals_stepwise_search(spark, monkeypatch, num_beams, max_s
     assert got == _stepwise(data, queries, num_beams, max_steps, scores)
 
 
+def _nested_table(seed):
+    dice = random.Random(seed)
+    data = []
+    for i in range(60):
+        body = [dice.choice([3, 4, 5]) for _ in range(dice.randint(1, 9))]
+        data.append((f"d{i}", [0, *body]))
+        if dice.random() < 0.4:
+            data.append((f"e{i}", [0, *body, *[dice.choice([3, 4]) for _ in range(dice.randint(1, 3))]]))
+    return data
+
+
+def _found(df):
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((list(r["tokens"]), round(r["score"], 6)))
+    return got
+
+
+@pytest.mark.parametrize("num_beams, max_steps, seed", [(2, 20, 1), (5, 20, 2), (5, 4, 3), (300, 20, 4)])
+def test_search_through_complete_sequences(spark, monkeypatch, num_beams, max_steps, seed):
+    """Under policy pass the marker is an id like others where a complete sequence goes on."""
+    monkeypatch.setattr(beam, "_FEW", 1 if seed % 2 else 6)
+    data = _nested_table(seed)
+    sequences = spark.createDataFrame(data, SEQS)
+    queries = [("q1", [3, 9]), ("q2", [4, 5]), ("q3", [])]
+    whole = {tuple(t) for _, t in data}
+    left = {p for p in whole if any(q != p and q[: len(p)] == p for q in whole)}
+    exits = spark.createDataFrame([(p[-1],) for p in left], "prev int")
+    scores = {(r["prev"], r["token"]): r["logp"] for r in beam.bigram_scores(prefix.distinct_paths(sequences), exits=exits).collect()}
+    found = beam.constrained_beam_search(
+        beam.stored_search_index(sequences, "pass"), spark.createDataFrame(queries, "query_id string, tokens array<int>"), num_beams, max_steps
+    )
+    searched = [(None, [*p, -1] if p in left else list(p)) for p in whole]
+    assert _found(found) == _stepwise(searched, queries, num_beams, max_steps, scores)
+    lost = prefix.unmatched_sequences(found, sequences).collect()
+    assert {tuple(r["tokens"]) for r in lost} == {tuple(r["tokens"]) for r in found.collect()} - whole
+    if num_beams == 300:
+        assert {tuple(r["tokens"]) for r in lost} == {(*p, -1) for p in left}
+
+
+@pytest.mark.parametrize("num_beams, max_steps, seed", [(3, 20, 1), (5, 5, 2), (300, 20, 3)])
+def test_search_with_a_scorer_of_whole_beginnings(spark, monkeypatch, num_beams, max_steps, seed):
+    from rankloom.plans.catalog import prefix_scorer
+
+    monkeypatch.setattr(beam, "_FEW", 1 if seed % 2 else 6)
+    data = _nested_table(seed)
+    sequences = spark.createDataFrame(data, SEQS)
+    queries = [("q1", [3, 9]), ("q2", [4, 5]), ("q3", [])]
+    found = beam.constrained_beam_search(
+        beam.stored_search_index(sequences), spark.createDataFrame(queries, "query_id string, tokens array<int>"), num_beams, max_steps,
+        beam.BatchScorer(prefix_scorer),
+    )
+
+    def step(tokens, token, wanted):
+        return -(((sum(tokens) + 7 * token) % 101) + 1) / 101 + (0.5 if token in wanted else 0.0)
+
+    assert _found(found) == _stepwise(data, queries, num_beams, max_steps, None, step)
+
+
 def test_full_width_search_is_exhaustive(spark):
     data = [(f"d{i}", [0, *body]) for i, body in enumerate(itertools.product([3, 4, 5], repeat=3))]
     sequences = spark.createDataFrame(data, SEQS)
