@@ -131,10 +131,12 @@ def list_recall_multiclass(
     k: Ks = None,
     labels: Sequence[int] | None = None,
     zero_division: float = 0.0,
+    sample_weight: Sequence[float] | None = None,
 ) -> DataFrame:
     """Mean over rows of a multi-class recall; ``average`` is micro, macro, weighted or None.
 
-    Without ``labels`` a row's classes are those it holds. ``average=None`` gives one value
+    ``sample_weight`` weighs positions, as in ``list_recall``; sets of labels, average
+    ``samples``, are ``list_recall_samples``. Without ``labels`` a row's classes are those it holds. ``average=None`` gives one value
     per class, named ``recall@k[label]``, and needs ``labels``: all rows must agree on them.
     """
     if average not in ("micro", "macro", "weighted", None):
@@ -148,11 +150,11 @@ def list_recall_multiclass(
         return F.array_union(_cut(F.col("references"), cut), _cut(F.col("predictions"), cut))
 
     def averaged(cut: int | None) -> Column:
-        pairs, bad = _pairs(cut)
+        pairs, bad = _pairs(cut, sample_weight)
         chosen = classes(cut)
-        support = _fold(F.transform(pairs, lambda x: F.when(F.array_contains(chosen, x["r"]), 1.0).otherwise(0.0)))
+        support = _fold(F.transform(pairs, lambda x: F.when(F.array_contains(chosen, x["r"]), x["w"]).otherwise(0.0)))
         right = _fold(
-            F.transform(pairs, lambda x: F.when(F.array_contains(chosen, x["r"]) & (x["r"] == x["p"]), 1.0).otherwise(0.0))
+            F.transform(pairs, lambda x: F.when(F.array_contains(chosen, x["r"]) & (x["r"] == x["p"]), x["w"]).otherwise(0.0))
         )
         if average == "macro":
             each = F.transform(chosen, lambda label: _recall_of(pairs, label, zero_division))
@@ -165,10 +167,42 @@ def list_recall_multiclass(
     named = []
     for name, cut in _cuts(k, "recall"):
         if average is None:
-            pairs, bad = _pairs(cut)
+            pairs, bad = _pairs(cut, sample_weight)
             for label in labels:
                 value = _checked(_recall_of(pairs, F.lit(int(label)), zero_division), bad, "arrays differ in length")
                 named.append((f"{name}[{int(label)}]", value))
         else:
             named.append((name, averaged(cut)))
     return _means(rows, named)
+
+
+def list_recall_samples(
+    rows: DataFrame,
+    k: Ks = None,
+    labels: Sequence[int] | None = None,
+    sample_weight: Sequence[float] | None = None,
+    zero_division: float = 0.0,
+) -> DataFrame:
+    """Mean over rows of the multi-label recall with average ``samples``.
+
+    ``predictions`` and ``references`` are ``ARRAY<ARRAY<INT>>``: an indicator array of 0 and
+    1, by label, for each instance. An instance's recall is the share of its reference labels
+    that are predicted; a row's is the (weighted) mean over its first ``k`` instances.
+    ``labels`` takes these places of the indicators only.
+    """
+
+    def recall(cut: int | None) -> Column:
+        pairs, bad = _pairs(cut, sample_weight)
+
+        def of_instance(x: Column) -> Column:
+            both = F.arrays_zip(x["r"].alias("r"), x["p"].alias("p"))
+            if labels is not None:
+                both = F.filter(both, lambda _, i: F.array_contains(F.array(*[F.lit(int(v)) for v in labels]), i))
+            right = _fold(F.transform(both, lambda y: F.when((y["r"] == 1) & (y["p"] == 1), 1.0).otherwise(0.0)))
+            return x["w"] * _ratio(right, _fold(F.transform(both, lambda y: F.when(y["r"] == 1, 1.0).otherwise(0.0))), zero_division)
+
+        uneven = F.exists(pairs, lambda x: F.size(x["r"]) != F.size(x["p"]))
+        value = _ratio(_fold(F.transform(pairs, of_instance)), _fold(F.transform(pairs, lambda x: x["w"])), zero_division)
+        return _checked(value, bad | uneven, "arrays differ in length")
+
+    return _means(rows, [(name, recall(cut)) for name, cut in _cuts(k, "recall")])

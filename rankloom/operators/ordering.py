@@ -13,7 +13,7 @@ from rankloom.session import cut_lineage
 _ROW_BITS = 33
 
 
-def number_within(df: DataFrame, keys: list[str], buckets: list[str], order: list[str], out: str) -> DataFrame:
+def number_within(df: DataFrame, keys: list[str], buckets: list[str], order: list[str] | list[Column], out: str) -> DataFrame:
     """Dense numbers from 1 inside each key, ordered by ``buckets`` then ``order``.
 
     Rows are numbered inside (key, bucket) and shifted by the sizes of the key's earlier

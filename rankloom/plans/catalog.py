@@ -729,6 +729,34 @@ def list_recall_multiclass(spark: SparkSession, root: str) -> Query:
     return out
 
 
+def list_recall_multiclass_weighted(spark: SparkSession, root: str) -> Query:
+    """The same averages, with positions weighted 1, 1/2, 1/3, ..."""
+    rows = _neighbour_labels(spark, root)
+    parts = [
+        list_metrics.list_recall_multiclass(rows, average, TOP, sample_weight=POSITION_WEIGHTS).select(
+            F.lit(average).alias("average"), "metric", _rounded("value").alias("value")
+        )
+        for average in ("micro", "macro", "weighted")
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def list_recall_samples(spark: SparkSession, root: str) -> Query:
+    """Sets of labels at each place: the labels of two neighbours, against one of them and the place's number."""
+
+    def sets(of_place) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(TOP - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(TOP - 1)), lambda c: F.when(of_place(i, c), 1).otherwise(0)))
+
+    p, r = F.col("predictions"), F.col("references")
+    rows = _neighbour_labels(spark, root).select(
+        sets(lambda i, c: (F.get(p, i) == c) | (F.get(p, (i + 1) % TOP) == c)).alias("predictions"),
+        sets(lambda i, c: (F.get(r, i) == c) | (i == c)).alias("references"),
+    )
+    plain = list_metrics.list_recall_samples(rows, TOP).withColumn("weights", F.lit("none"))
+    weighted = list_metrics.list_recall_samples(rows, TOP, sample_weight=POSITION_WEIGHTS).withColumn("weights", F.lit("position"))
+    return plain.unionByName(weighted).select("weights", "metric", _rounded("value").alias("value"))
+
+
 # --- experiments -------------------------------------------------------------------
 
 
@@ -846,6 +874,8 @@ QUERIES = {
     "list_recall": list_recall,
     "list_recall_multiclass": list_recall_multiclass,
     "list_recall_weighted": list_recall_weighted,
+    "list_recall_multiclass_weighted": list_recall_multiclass_weighted,
+    "list_recall_samples": list_recall_samples,
     "lexical_experiment": lexical_experiment,
     "dense_experiment": dense_experiment,
     "constrained_experiment": constrained_experiment,

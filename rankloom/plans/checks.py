@@ -308,6 +308,14 @@ _PARTS: dict[str, str] = {
         SELECT query_id, label, count(*) FILTER (r = label) AS support, count(*) FILTER (r = label AND p = label) AS tp
         FROM (SELECT query_id, p AS label FROM neighbours UNION SELECT query_id, r FROM neighbours) JOIN neighbours USING (query_id)
         GROUP BY ALL""",
+    "weighted_classes": """
+        SELECT query_id, label, sum(CASE WHEN r = label THEN 1.0::DOUBLE / i ELSE 0 END) AS support,
+               sum(CASE WHEN r = label AND p = label THEN 1.0::DOUBLE / i ELSE 0 END) AS tp
+        FROM (SELECT query_id, p AS label FROM neighbours UNION SELECT query_id, r FROM neighbours) JOIN neighbours USING (query_id)
+        GROUP BY ALL""",
+    "instances": f"""
+        SELECT a.query_id, a.i, len(list_intersect(list_distinct([a.r, a.i - 1]), [a.p, b.p])) / len(list_distinct([a.r, a.i - 1])) AS v
+        FROM neighbours a JOIN neighbours b ON b.query_id = a.query_id AND b.i = a.i % {TOP} + 1""",
     "doc_vectors": _vector("docs", "corpus_id"),
     "asked_vectors": _vector("asked", "query_id"),
     "reply_vectors": _vector("replies", "corpus_id"),
@@ -545,6 +553,17 @@ _SELECTS: dict[str, str] = {
         FROM (SELECT query_id, avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END) AS v FROM classes GROUP BY query_id)
         UNION ALL SELECT 'none', 'recall@{TOP}[' || l || ']', round(coalesce(sum(tp / support), 0) / (SELECT count(*) FROM vectors), 6)
         FROM (SELECT unnest(range(0, 10)) AS l) LEFT JOIN (SELECT * FROM classes WHERE support > 0) ON label = l GROUP BY l""",
+    "list_recall_multiclass_weighted": f"""
+        SELECT 'micro' AS average, 'recall@{TOP}' AS metric, round(avg(v), 6) AS value
+        FROM (SELECT query_id, sum(tp) / sum(support) AS v FROM weighted_classes GROUP BY query_id)
+        UNION ALL SELECT 'weighted', 'recall@{TOP}', round(avg(v), 6)
+        FROM (SELECT query_id, sum(CASE WHEN support > 0 THEN support * (tp / support) ELSE 0 END) / sum(support) AS v FROM weighted_classes GROUP BY query_id)
+        UNION ALL SELECT 'macro', 'recall@{TOP}', round(avg(v), 6)
+        FROM (SELECT query_id, avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END) AS v FROM weighted_classes GROUP BY query_id)""",
+    "list_recall_samples": f"""
+        SELECT 'none' AS weights, 'recall@{TOP}' AS metric, round(avg(m), 6) AS value FROM (SELECT query_id, avg(v) AS m FROM instances GROUP BY query_id)
+        UNION ALL SELECT 'position', 'recall@{TOP}', round(avg(m), 6)
+        FROM (SELECT query_id, sum(v / i) / sum(1.0::DOUBLE / i) AS m FROM instances GROUP BY query_id)""",
     "lexical_experiment": _report("reply_metrics"),
     "dense_experiment": _report("dense_metrics"),
     "constrained_experiment": _report("beam_metrics"),

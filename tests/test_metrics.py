@@ -118,3 +118,43 @@ def test_query_ndcg(spark):
     judged = spark.createDataFrame([("q", 3)], "query_id string, n_judged long")
     got = lm.query_ndcg(flags, judged, 2).first()["value"]
     assert got == pytest.approx((1 / math.log2(3)) / (1 + 1 / math.log2(3)))
+
+
+def test_ranks_in_buckets_and_blocks(spark, rows, monkeypatch):
+    """Ranks over buckets of scores, and filled ranks over blocks of documents, against plain sorting."""
+    import random
+
+    dice = random.Random(3)
+    docs = [f"d{i}" for i in range(300)] + ["q2"]
+    run = [(q, d, float(dice.choice([0, 1, 2, 5, 5.5]))) for q in ("q1", "q2", "q3") for d in dice.sample(docs, 120)]
+    judged = [(q, d, 1, 1) for q in ("q1", "q2", "q3", "q4") for d in dice.sample(docs, 90)]
+    df = spark.createDataFrame(run, "query_id string, corpus_id string, score double")
+    got = {(r["query_id"], r["corpus_id"]): r["rank"] for r in ev.rank_run(df).collect()}
+    for q in ("q1", "q2", "q3"):
+        own = sorted(((d, s) for x, d, s in run if x == q), key=lambda x: x[0], reverse=True)
+        own.sort(key=lambda x: -x[1])
+        assert [got[q, d] for d, _ in own] == list(range(1, len(own) + 1))
+    monkeypatch.setattr(ev, "BLOCK_DOCS", 17)
+    qrels = spark.createDataFrame(judged, "query_id string, corpus_id string, relevance int, ord int")
+    corpus = spark.createDataFrame([(d, "", "") for d in docs], "corpus_id string, title string, text string")
+    filled = {(r["query_id"], r["corpus_id"]): r["rank"] for r in ev.zero_fill(df, qrels, corpus).collect()}
+    want = {}
+    for q in ("q1", "q2", "q3", "q4"):
+        scores = {d: s for x, d, s in run if x == q}
+        order = sorted((d for d in docs if d != q), reverse=True)
+        order.sort(key=lambda d: -scores.get(d, 0.0))
+        asked = {d for x, d, *_ in judged if x == q}
+        want |= {(q, d): at for at, d in enumerate(order, 1) if scores.get(d, 0) > 0 or d in asked}
+    assert filled == want
+
+
+def test_recall_of_label_sets(spark):
+    table = [([[1, 0, 1], [0, 1, 0]], [[1, 1, 0], [0, 0, 0]]), ([[1, 1, 1], [0, 0, 1]], [[0, 0, 1], [1, 0, 1]])]
+    rows = spark.createDataFrame(table, "predictions array<array<int>>, references array<array<int>>")
+    value = lambda **options: {r["metric"]: round(r["value"], 6) for r in lm.list_recall_samples(rows, **options).collect()}
+    # Instances: 1/2, none; 1, 1/2.
+    assert value() == {"recall": round(((0.5 + 0) / 2 + (1 + 0.5) / 2) / 2, 6)}
+    assert value(k=[1]) == {"recall@1": 0.75}
+    assert value(zero_division=1.0) == {"recall": round(((0.5 + 1) / 2 + (1 + 0.5) / 2) / 2, 6)}
+    assert value(sample_weight=[3.0, 1.0]) == {"recall": round(((1.5 + 0) / 4 + (3 + 0.5) / 4) / 2, 6)}
+    assert value(labels=[0]) == {"recall": round(((1 + 0) / 2 + (0 + 0) / 2) / 2, 6)}
