@@ -270,6 +270,42 @@ def index_length(sequences: DataFrame) -> DataFrame:
     )
 
 
+def _walked(first: DataFrame, probes: DataFrame) -> DataFrame:
+    """Probes with ``matched``, the length of their longest beginning in the index."""
+    nodes = first.select(*KEY).distinct()
+    reached = (
+        with_prefixes(probes.select("probe_id", "tokens"))
+        .select("probe_id", *KEY)
+        .join(nodes, KEY, "left_semi")
+        .groupBy("probe_id")
+        .agg(F.max("depth").alias("matched"))
+    )
+    return probes.select("probe_id", "tokens").join(reached, "probe_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+
+
+def count_appended(first: DataFrame, second: DataFrame, begin_token: int, probes: DataFrame) -> DataFrame:
+    """``(probe_id, n_tokens, begins)``: how many tokens ``append_index`` allows after each probe.
+
+    ``begins`` tells whether the second index begins there. Its first tokens are counted
+    once, not listed for every such probe.
+    """
+    walked = _walked(first, probes)
+    whole = F.col("matched") == F.size("tokens")
+    if second.isEmpty():
+        starts, begin = F.lit(0), F.lit(False)
+    else:
+        starts = second.filter("depth = 0").agg(F.count(F.lit(1))).scalar()
+        begin = F.coalesce(F.col("token") == begin_token, F.lit(False))
+    inside = next_tokens(first, walked.filter(whole) if not second.isEmpty() else probes)
+    counted = inside.groupBy("probe_id").agg(F.count(F.when(~begin, F.col("token"))).alias("n"), F.max(begin).alias("begins"))
+    out = counted.select("probe_id", (F.col("n") + F.when(F.col("begins"), starts).otherwise(0)).alias("n_tokens"), "begins")
+    if second.isEmpty():
+        return out
+    suffix = F.slice("tokens", F.col("matched") + 1, F.size("tokens"))
+    beyond = next_tokens(second, walked.filter(~whole).select("probe_id", suffix.alias("tokens")))
+    return out.unionByName(beyond.groupBy("probe_id").agg(F.count("token").alias("n_tokens")).withColumn("begins", F.lit(False)))
+
+
 def append_index(first: DataFrame, second: DataFrame, begin_token: int, probes: DataFrame) -> DataFrame:
     """``next_tokens`` over two indexes, the second attached at ``begin_token``.
 
@@ -280,15 +316,7 @@ def append_index(first: DataFrame, second: DataFrame, begin_token: int, probes:
     """
     if second.isEmpty():
         return next_tokens(first, probes)
-    nodes = first.select(*KEY).distinct()
-    reached = (
-        with_prefixes(probes.select("probe_id", "tokens"))
-        .select("probe_id", *KEY)
-        .join(nodes, KEY, "left_semi")
-        .groupBy("probe_id")
-        .agg(F.max("depth").alias("matched"))
-    )
-    walked = probes.select("probe_id", "tokens").join(reached, "probe_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    walked = _walked(first, probes)
     whole = F.col("matched") == F.size("tokens")
     inside = next_tokens(first, walked.filter(whole))
     at_begin = F.col("token").eqNullSafe(F.lit(begin_token))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS, template_text
 from rankloom.functions.text import fill_prompt
-from rankloom.functions.tokens import START_ID, cut_at_pad, truncate_tokens
+from rankloom.functions.tokens import START_ID, TERMINAL, cut_at_pad, truncate_tokens
 from rankloom.operators import beam, dense, evaluation, generation, lexical, list_metrics, prefix, rewriting, tokens
 from rankloom.plans import experiments
 from rankloom.session import cut_lineage, scratch_path
@@ -474,21 +474,34 @@ def append_index(spark: SparkSession, root: str) -> Query:
 
     Left out: documents without a conversation's reply are not probed without their end id.
     Each such probe is answered by the first ids of all replies, so asking for every
-    document would return documents times first ids.
+    document would return documents times first ids; ``count_appended`` asks for all.
     """
+    sequences, replies, probes = _appended(spark, root, every=False)
+    return prefix.append_index(
+        prefix.build_prefix_index(sequences), prefix.build_prefix_index(replies), 1, probes
+    ).select("probe_id", _long("token"))
+
+
+def count_appended(spark: SparkSession, root: str) -> Query:
+    """How many ids follow each probe of the two indexes, with every document's probe without its end id."""
+    sequences, replies, probes = _appended(spark, root, every=True)
+    return prefix.count_appended(prefix.build_prefix_index(sequences), prefix.build_prefix_index(replies), 1, probes)
+
+
+def _appended(spark: SparkSession, root: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, replies without start ids, and probes."""
     sequences, vocab = _stored_sequences(spark, root)
     replies = cut_lineage(tokens.truncated(tokens.encode_tokens(tables.reply_collection(spark, root).corpus, vocab)))
-    inside = _probes(spark, root, sequences, vocab).filter(~F.col("probe_id").endswith("/1"))
+    inside = _probes(spark, root, sequences, vocab)
+    if not every:
+        inside = inside.filter(~F.col("probe_id").endswith("/1"))
     document = F.concat(F.lit("d"), F.regexp_extract("corpus_id", r"^a(\d+)-", 1))
     before = sequences.select(F.col("corpus_id").alias("document"), F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("before"))
     paired = replies.withColumn("document", document).join(before, "document")
     half = F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 2).cast("int"))
     beyond = paired.select(F.concat(F.col("corpus_id"), F.lit("/beyond")).alias("probe_id"), F.concat("before", half).alias("tokens"))
     at_end = paired.select(F.concat(F.col("corpus_id"), F.lit("/end")).alias("probe_id"), F.col("before").alias("tokens"))
-    probes = inside.unionByName(beyond).unionByName(at_end)
-    return prefix.append_index(
-        prefix.build_prefix_index(sequences), prefix.build_prefix_index(replies), 1, probes
-    ).select("probe_id", _long("token"))
+    return sequences, replies, inside.unionByName(beyond).unionByName(at_end)
 
 
 def shared_sequences(spark: SparkSession, root: str) -> Query:
@@ -519,7 +532,10 @@ def bm25_index(spark: SparkSession, root: str) -> Query:
 
 
 def bm25_search(spark: SparkSession, root: str) -> Query:
-    return _run_rows(_bm25_run(spark, root, DEPTH))
+    """Search in a stored index: only the folders of the passages' terms are read."""
+    path = scratch_path(spark, "bm25-index")
+    lexical.write_bm25_index(lexical.bm25_index(tables.documents_corpus(spark, root)), path)
+    return _run_rows(lexical.bm25_search(lexical.read_bm25_index(spark, path), tables.passage_queries(spark, root), DEPTH))
 
 
 def _vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -570,6 +586,16 @@ def pass_beam_search(spark: SparkSession, root: str) -> Query:
     return found.select("query_id", _long("rank"), _joined("tokens").alias("tokens"), _rounded("score").alias("score"))
 
 
+def unmatched_beams(spark: SparkSession, root: str) -> Query:
+    """Errors of such a search: sequences that are no document's, by a scorer that likes to end."""
+    sequences, vocab = _plain_sequences(spark, root)
+    asked = tokens.encode_tokens(tables.passage_queries(spark, root), vocab, "query_id")
+    likes_to_end = lambda logp, token, _: F.when(token == TERMINAL, 0.0).otherwise(logp)
+    found = beam.constrained_beam_search(beam.stored_search_index(sequences, "pass"), asked, scorer=likes_to_end)
+    lost = prefix.unmatched_sequences(cut_lineage(found), sequences)
+    return lost.select("query_id", _long("rank"), _joined("tokens").alias("tokens"), _rounded("score").alias("score"))
+
+
 def prefix_scorer():
     """A stand-in for a language model: the score of a step depends on all ids before it."""
     import pyarrow as pa
@@ -847,6 +873,7 @@ QUERIES = {
     "enumerate_sequences": enumerate_sequences,
     "index_length": index_length,
     "append_index": append_index,
+    "count_appended": count_appended,
     "shared_sequences": shared_sequences,
     "shadowed_documents": shadowed_documents,
     "prefix_fanout": prefix_fanout,
@@ -860,6 +887,7 @@ QUERIES = {
     "constrained_beam_search": constrained_beam_search,
     "pass_beam_search": pass_beam_search,
     "prefix_scored_search": prefix_scored_search,
+    "unmatched_beams": unmatched_beams,
     "beams_to_run": beams_to_run,
     "unmatched_sequences": unmatched_sequences,
     "drop_self_matches": drop_self_matches,

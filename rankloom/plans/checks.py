@@ -248,6 +248,8 @@ _PARTS: dict[str, str] = {
     "plain_walk": _pass_walk("plain_edges", "plain_bigrams"),
     "plain_search": _search("plain_search", "asked_enc", "plain_walk", MAX_LENGTH + 1),
     "plain_beams": _beams("plain_search", MAX_LENGTH + 1),
+    "ending_search": _search("ending_search", "asked_enc", "plain_walk", MAX_LENGTH + 1, "CASE WHEN w.token = -1 THEN 0 ELSE w.logp END"),
+    "ending_beams": _beams("ending_search", MAX_LENGTH + 1),
     "prompted": f"SELECT query_id, replace({_NQ}, '[QUERY]', text) AS text FROM asked WHERE query_id IN (SELECT query_id FROM qrels)",
     "prompt_all": _encoded("prompted", "query_id"),
     "prompt_enc": f"SELECT query_id, ids[1:{INPUT_CAP - 1}] AS ids FROM prompt_all",
@@ -342,7 +344,7 @@ _PARTS: dict[str, str] = {
         FROM results JOIN asked a USING (query_id) JOIN (SELECT * FROM qrels WHERE ord = 1) USING (query_id)
         JOIN docs d USING (corpus_id) WHERE error IS NULL""",
 }
-_RECURSIVE = {"search", "prefix_search", "plain_search", "prompt_search", "chunk_search", "whole_search"}
+_RECURSIVE = {"search", "prefix_search", "plain_search", "prompt_search", "chunk_search", "whole_search", "ending_search"}
 
 
 def _uses(body: str, name: str) -> bool:
@@ -420,13 +422,13 @@ _APPENDED = """
                 JOIN (SELECT DISTINCT depth, p FROM edges) n ON n.p = a.p[1:a.d] GROUP BY ALL)
           WHERE matched < len(p)) m
     LEFT JOIN reply_edges r USING (p)"""
-_PARTS["all_probes"] = """
-    SELECT * FROM probes WHERE NOT ends_with(probe_id, '/1')
-    UNION ALL
+_PARTS["more_probes"] = """
     SELECT b.corpus_id || kind, CASE kind WHEN '/end' THEN s.tokens[1:len(s.tokens) - 1]
                                 ELSE s.tokens[1:len(s.tokens) - 1] || b.tokens[1:len(b.tokens) // 2] END
     FROM bare_replies b JOIN replies r USING (corpus_id) JOIN seqs s ON s.corpus_id = 'd' || r.conv_id
     CROSS JOIN (VALUES ('/end'), ('/beyond')) k(kind)"""
+_PARTS["all_probes"] = "SELECT * FROM probes WHERE NOT ends_with(probe_id, '/1') UNION ALL SELECT * FROM more_probes"
+_PARTS["every_probe"] = "SELECT * FROM probes UNION ALL SELECT * FROM more_probes"
 
 _SELECTS: dict[str, str] = {
     "read_corpus": "SELECT corpus_id, title, text FROM docs",
@@ -498,6 +500,11 @@ _SELECTS: dict[str, str] = {
     "enumerate_sequences": f"SELECT DISTINCT corpus_id, {_ids('tokens')} AS tokens FROM seqs",
     "index_length": "SELECT count(*) AS n_inserts, count(DISTINCT (tokens, corpus_id)) AS n_paths FROM seqs",
     "append_index": _APPENDED,
+    "count_appended": f"""SELECT probe_id, count(token) AS n_tokens,
+            probe_id IN (SELECT probe_id FROM every_probe JOIN edges USING (p) WHERE token = 1) AS begins
+        FROM ({_APPENDED.replace('all_probes', 'every_probe')}) GROUP BY probe_id""",
+    "unmatched_beams": f"""SELECT query_id, rank, {_ids('tokens')} AS tokens, round(score, 6) AS score
+        FROM ending_beams WHERE tokens NOT IN (SELECT tokens FROM plain_seqs)""",
     "shared_sequences": """SELECT min(corpus_id) AS first_corpus_id, count(*) AS n_docs FROM seqs GROUP BY tokens HAVING count(*) > 1""",
     "shadowed_documents": """SELECT corpus_id FROM plain_seqs a WHERE EXISTS (SELECT 1 FROM plain_seqs b
         WHERE len(b.tokens) < len(a.tokens) AND a.tokens[1:len(b.tokens)] = b.tokens)""",
