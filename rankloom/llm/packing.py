@@ -41,15 +41,28 @@ _MARKS = ".,;:!?|"
 _LAST_PLAIN = "\u012f"
 # Words of one generation of a worker's cache (about 200 bytes each).
 _CACHE = 100_000
+# What a text must not hold to be encoded as a whole: an apostrophe, or a sign whose lower case,
+# composed form or kind is not plain.
+_NOT_PLAIN = re.compile("[^\t\n\r -&(-~À-ÖØ-öø-į¡«»¿]")
+_NO_WORD = re.compile("[^a-zß-öø-į\t\n\r ]+")
+_SAME_KIND, _DIGIT = re.compile("[0-9]|[^0-9]+"), re.compile("[0-9]")
 # str.split() takes these for blanks, the vocabulary does not.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _closed(match: re.Match) -> str:
+    """A run of marks and digits with the sign that ends a piece around it and behind its digits."""
+    run = match.group()
+    return "\0" + (_SAME_KIND.sub("\\g<0>\0", run) if _DIGIT.search(run) else run + "\0")
+
+
 class Words:
-    """Ids of a text by those of its parts between blanks, each tokenised once.
+    """Ids of a text: of a plain one as a whole, of others by the parts between blanks.
 
-    The cache has two generations: when the newer is full it becomes the older, and of that
-    only what is used again goes over.
+    In a plain text all pieces of the vocabulary's pattern are runs of small letters, runs of
+    marks, or digits, so it is enough to write a piece's end behind each. Other texts' parts
+    are tokenised once each and kept in a cache. It has two generations: when the newer is full it becomes the older, and of that only what
+    is used again goes over.
     """
 
     def __init__(self, path: str):
@@ -65,6 +78,17 @@ class Words:
 
     def encode(self, rows: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit bytes, the end id last."""
+        odd = [at for at, text in enumerate(rows) if "<|" in text or _NOT_PLAIN.search(text)]
+        others = dict(zip(odd, self._by_parts([rows[at] for at in odd]) if odd else ()))
+        return [others[at] if at in others else self._whole(text) for at, text in enumerate(rows)]
+
+    def _whole(self, text: str) -> bytes:
+        closed = _NO_WORD.sub(_closed, text.lower())
+        for blank in " \n\t\r":
+            closed = closed.replace(blank, "\0")
+        return self.piece(closed) + _END
+
+    def _by_parts(self, rows: list[str]) -> list[bytes]:
         split = [_BLANKS.split(text) if _ODD.search(text) else text.split() for text in rows]
         every = set().union(*split)
         new = every.difference(self.known)
@@ -99,11 +123,12 @@ class Words:
 
 
 def _piece_encoder(path: str):
-    """Ids of one piece of the vocabulary's pattern: plain small letters or marks, of one kind.
+    """Ids of pieces of the vocabulary's pattern: runs of plain small letters, or of marks, or digits.
 
     The vocabulary marks the last byte of a piece. That mark is written as a byte 0 behind
-    the piece, which such pieces do not hold, so that a library without such marks can run
-    the same merges: a byte and its mark come before any other pair.
+    each piece, which such pieces do not hold, so that a library without such marks can run
+    the same merges: a byte and its mark come before any other pair. A byte 0 behind another
+    is nothing.
     """
     import tiktoken
 

@@ -229,3 +229,32 @@ def test_a_worker_keeps_one_operators_caches():
     assert minhash.shingler(5) is made
     quality.indicators()
     assert len(common._KEPT) == 1 and minhash.shingler(5) is not made
+
+
+# --- packing -------------------------------------------------------------------------
+
+
+def test_words_equal_the_library():
+    """Plain texts are encoded as a whole, others by their parts: both as the library does."""
+    from rankloom.llm import packing
+
+    words = packing.Words(path("word_bpe_49k.json"))
+    plain = ["a", "b", " ", "  ", "\n", "\t", "\r", ".", ",", "..!", "5", "12", "Ä", "ø", "į", "«", "¿", "|", "{", "~", "&", "_", "Zq", "é", "-", '"', "@", "#", "x" * 30]
+    odd = ["'s", "don't", "½", "²", "ª", "µ", "×", "̀", "€", "\U0001f600", "数", "\xa0", "İ", "Σ", "\x00", "\x1c", "ŉ", "<|", "ı", "\x7f", "\x0b"]
+    random = np.random.default_rng(9)
+    rows = ["".join(random.choice(plain, random.integers(0, 40))) for _ in range(3000)]
+    rows += ["".join(random.choice(plain + odd, random.integers(0, 40))) for _ in range(3000)] + ["", "a" * 3000, "<|endoftext|> a"]
+    assert all(packing._NOT_PLAIN.search(row) is None for row in rows[:3000])
+    want = [np.array(words.tokenizer.encode(row, add_special_tokens=False).ids, "<u4").tobytes() + packing._END for row in rows]
+    assert words.encode(rows) == want
+
+
+def test_cached_words_have_two_generations(monkeypatch):
+    from rankloom.llm import packing
+
+    monkeypatch.setattr(packing, "_CACHE", 20)
+    words = packing.Words(path("word_bpe_49k.json"))
+    rows = [" ".join(f"it's{i % 7} wörd{i % 31}€ {i}" for i in range(k, k + 9)) for k in range(0, 300, 5)]
+    for row in rows:
+        assert words.encode([row]) == [np.array(words.tokenizer.encode(row, add_special_tokens=False).ids, "<u4").tobytes() + packing._END]
+    assert len(words.known) <= 20 + 27 and words.older
