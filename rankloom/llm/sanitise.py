@@ -189,7 +189,7 @@ def telling_words(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alp
         told = F.log2(F.col("n_both") * total / (n_word * F.col("n_entity")))
         return (F.col("n_both") == n_word) | (told >= known / alpha)
 
-    near = cut_lineage(
+    near = (
         named.select("row", "entity", F.explode("near").alias("term"), F.xxhash64("near").alias("around"))
         .groupBy("row", "entity", "term")
         .agg(F.min("around").alias("around"))
@@ -205,7 +205,7 @@ def telling_words(docs: DataFrame, found: DataFrame, support: int = SUPPORT, alp
     least = near.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = cut_lineage(pairs.join(often, "entity").join(least, "term").filter(tells(F.col("n_near"))))
     # A word counts once in a document, however it is spelt there.
-    candidates = cut_lineage(pairs.select("term").distinct())
+    candidates = pairs.select("term").distinct()
     few = F.broadcast(candidates) if fits(candidates) else candidates
     words = F.array_distinct(F.transform(words_in(F.coalesce("text", F.lit(""))), F.lower))
     counts = docs.select(F.explode(words).alias("term")).join(few, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
