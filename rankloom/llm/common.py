@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from pathlib import Path
 from typing import TypeVar
 
@@ -30,7 +33,12 @@ def kept_in_worker(name: tuple, make: Callable[[], T]) -> T:
     dropped first: a worker holds one operator's caches at a time.
     """
     if name not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError, OSError):  # only some C libraries can give memory back
+                ctypes.CDLL(None).malloc_trim(0)
         _KEPT[name] = make()
     return _KEPT[name]
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import replaced, slices, texts
+from rankloom.llm.common import kept_in_worker, replaced, slices, texts
 
 # The base patterns and the least lengths of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -182,6 +182,7 @@ def redacted(docs: DataFrame, model: np.ndarray, mark: str = "[SECRET]") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        kept_in_worker(("secrets",), object)
         for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm import bloom
-from rankloom.llm.common import row_key, slices, texts
+from rankloom.llm.common import kept_in_worker, row_key, slices, texts
 from rankloom.llm.minhash import mix
 from rankloom.session import cut_lineage
 
@@ -110,6 +110,7 @@ def all_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     names = ["anchor", "bytes_hash", "key_id", "key_text", "start", "size", "inner"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker(("runs",), object)
         for batch in slices(batches):
             made = []
             for at, text in enumerate(texts(batch)):
