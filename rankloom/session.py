@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,10 +57,38 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     knows the size of what it reads back, so it plans the next joins by it.
     """
     path = scratch_path(df.sparkSession, "step")
+    for steps in _RECORDERS:
+        steps.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_RECORDERS: list[list[str]] = []
+
+
+@contextmanager
+def recorded_steps() -> Iterator[list[str]]:
+    """The paths of the steps that are written inside the block."""
+    steps: list[str] = []
+    _RECORDERS.append(steps)
+    try:
+        yield steps
+    finally:
+        _RECORDERS.remove(steps)
+
+
+def drop_steps(spark: SparkSession, steps: list[str], still_read: DataFrame) -> list[str]:
+    """Delete written steps that ``still_read`` does not read; those it reads are returned."""
+    files = still_read.inputFiles()
+    kept = [step for step in steps if any(step.rsplit("/", 1)[1] in file for file in files)]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for step in steps:
+        if step not in kept:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step)
+            path.getFileSystem(hadoop).delete(path, True)
+    return kept
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than there are cores is dealt out to all of them.
 
