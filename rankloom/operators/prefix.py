@@ -271,16 +271,28 @@ def index_length(sequences: DataFrame) -> DataFrame:
 
 
 def _walked(first: DataFrame, probes: DataFrame) -> DataFrame:
-    """Probes with ``matched``, the length of their longest beginning in the index."""
-    nodes = first.select(*KEY).distinct()
-    reached = (
-        with_prefixes(probes.select("probe_id", "tokens"))
-        .select("probe_id", *KEY)
-        .join(nodes, KEY, "left_semi")
-        .groupBy("probe_id")
-        .agg(F.max("depth").alias("matched"))
-    )
-    return probes.select("probe_id", "tokens").join(reached, "probe_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    """Probes with ``matched``, the length of their longest beginning in the index.
+
+    Every beginning of a stored path is in the index, so the length is found by bisection: a
+    probe asks for one beginning a round, and a round reads only the depths that can be
+    asked for in it (odd multiples of its step). All rounds together read the index once.
+    """
+    state = cut_lineage(probes.select("probe_id", "tokens", F.lit(0).alias("matched")))
+    longest = state.agg(F.max(F.size("tokens"))).first()[0] or 0
+    deepest = first.agg(F.max("depth")).first()[0] or 0
+    most = min(longest, deepest)
+    step = 1 << (most.bit_length() - 1) if most else 0
+    while step:
+        depth = F.col("matched") + step
+        asks = depth <= F.least(F.size("tokens"), F.lit(most))
+        h1, h2 = prefix_hashes(F.col("tokens"), F.col("depth"))
+        asking = state.filter(asks).withColumn("depth", depth).withColumn("h1", h1).withColumn("h2", h2)
+        nodes = first.filter(F.col("depth") % (2 * step) == step).select(*KEY).distinct().withColumn("_in", F.lit(True))
+        reached = F.when(F.col("_in"), F.col("depth")).otherwise(F.col("matched"))
+        answered = dealt_join(asking, nodes, KEY, "probe_id", "left").select("probe_id", "tokens", reached.alias("matched"))
+        state = cut_lineage(answered.unionByName(state.filter(~asks)))
+        step //= 2
+    return state
 
 
 def count_appended(first: DataFrame, second: DataFrame, begin_token: int, probes: DataFrame) -> DataFrame:

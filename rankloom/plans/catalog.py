@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.fixed import MAX_LENGTH, NUM_BEAMS, template_text
 from rankloom.functions.text import fill_prompt
 from rankloom.functions.tokens import START_ID, TERMINAL, cut_at_pad, truncate_tokens
-from rankloom.operators import beam, dense, evaluation, generation, lexical, list_metrics, prefix, rewriting, tokens
+from rankloom.operators import beam, dense, evaluation, generation, lexical, lexical_blocks, list_metrics, prefix, rewriting, tokens
 from rankloom.plans import experiments
 from rankloom.session import cut_lineage, scratch_path
 from rankloom.sources import collection as files
@@ -538,6 +538,22 @@ def bm25_search(spark: SparkSession, root: str) -> Query:
     return _run_rows(lexical.bm25_search(lexical.read_bm25_index(spark, path), tables.passage_queries(spark, root), DEPTH))
 
 
+def _block_run(spark: SparkSession, root: str, k: int) -> DataFrame:
+    path = scratch_path(spark, "bm25-blocks")
+    lexical_blocks.write_block_index(tables.documents_corpus(spark, root), path)
+    return lexical_blocks.block_search(lexical_blocks.read_block_index(spark, path), tables.passage_queries(spark, root), k)
+
+
+def bm25_block_search(spark: SparkSession, root: str) -> Query:
+    """Search in a stored index with bounds per block, to the depth of the other searches."""
+    return _run_rows(_block_run(spark, root, DEPTH))
+
+
+def bm25_block_top(spark: SparkSession, root: str) -> Query:
+    """The same for short lists, where a search leaves out most blocks."""
+    return _run_rows(_block_run(spark, root, TOP))
+
+
 def _vectors(spark: SparkSession, root: str) -> DataFrame:
     return tables.vector_collection(spark, root).select("id", "embedding")
 
@@ -880,6 +896,8 @@ QUERIES = {
     "zero_fill": zero_fill,
     "bm25_index": bm25_index,
     "bm25_search": bm25_search,
+    "bm25_block_search": bm25_block_search,
+    "bm25_block_top": bm25_block_top,
     "dense_search_dot": dense_search_dot,
     "dense_search_cosine": dense_search_cosine,
     "dense_search_blocked": dense_search_blocked,

@@ -517,6 +517,8 @@ _SELECTS: dict[str, str] = {
         WHERE score > 0 OR (query_id, corpus_id) IN (SELECT (query_id, corpus_id) FROM qrels)""",
     "bm25_index": "SELECT corpus_id, field, term, dl, tf FROM postings",
     "bm25_search": f"SELECT {_RUN_COLUMNS} FROM run WHERE rank <= {DEPTH}",
+    "bm25_block_search": f"SELECT {_RUN_COLUMNS} FROM run WHERE rank <= {DEPTH}",
+    "bm25_block_top": f"SELECT {_RUN_COLUMNS} FROM run WHERE rank <= {TOP}",
     "dense_search_dot": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= {DEPTH}",
     "dense_search_cosine": f"SELECT {_RUN_COLUMNS} FROM cosine WHERE rank <= {DEPTH}",
     "dense_search_blocked": f"SELECT {_RUN_COLUMNS} FROM near WHERE rank <= {DEPTH}",

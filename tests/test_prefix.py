@@ -138,6 +138,19 @@ def test_append_index(spark, small):
     assert allowed(prefix.append_index(first, nothing, 8, probes)) == allowed(prefix.next_tokens(first, probes))
 
 
+@pytest.mark.parametrize("longest", [1, 6, 23])
+def test_longest_beginning_by_bisection(spark, longest):
+    dice = random.Random(longest)
+    body = lambda n: [dice.choice([3, 4]) for _ in range(n)]
+    stored = [(f"d{i}", [0, *body(dice.randint(0, longest))]) for i in range(40)]
+    asked = [(f"p{i}", [0, *body(dice.randint(0, longest + 9))]) for i in range(60)]
+    asked += [("other", [7, 3]), ("root", []), *[(f"copy{i}", asked[0][1]) for i in range(5)]]
+    edges = prefix.build_prefix_index(spark.createDataFrame(stored, SEQS))
+    got = {r["probe_id"]: r["matched"] for r in prefix._walked(edges, spark.createDataFrame(asked, PROBES)).collect()}
+    known = {tuple(s[:n]) for _, s in stored for n in range(len(s) + 1)}
+    assert got == {p: max(n for n in range(len(t) + 1) if tuple(t[:n]) in known) for p, t in asked}
+
+
 def test_index_round_trip(spark, small, tmp_path, rows):
     edges = prefix.build_prefix_index(small)
     path = prefix.index_path(str(tmp_path), "t", 4, "g", False)

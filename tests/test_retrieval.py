@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import dense, lexical
+from rankloom.operators import dense, lexical, lexical_blocks
 from rankloom.sources import collection as files
 from rankloom.sources import store
 from rankloom.sources.tables import containing_documents
@@ -117,6 +117,49 @@ def test_bm25_is_exact(spark, tmp_path, monkeypatch, few):
     assert _lists(lexical.bm25_search(lexical.read_bm25_index(spark, str(tmp_path)), asked, 5)) == want
 
 
+@pytest.mark.parametrize("few, k, block_docs", [(True, 3, 1), (False, 5, 4), (True, 60, 4)])
+def test_block_search_is_exact(spark, tmp_path, monkeypatch, few, k, block_docs):
+    dice = random.Random(k)
+    word = lambda: f"w{min(int(dice.expovariate(0.2)), 30)}"
+    text = lambda n: " ".join(word() for _ in range(n))
+    corpus = [(f"d{i}", text(dice.randint(0, 3)), text(dice.randint(0, 25))) for i in range(120)]
+    corpus += [("q0", "w1", "w1 w2"), ("empty", None, None), (None, "w1", "w2"), *[(f"copy{i}", "w3", "w4 w5 w6") for i in range(9)]]
+    queries = [(f"q{i}", text(dice.randint(0, 6))) for i in range(8)] + [("q9", "w1, W1; w1! zzz"), ("none", None), ("ties", "w4 w5")]
+    monkeypatch.setattr(lexical_blocks, "fits", lambda df: few)
+    asked = spark.createDataFrame(queries, "query_id string, text string")
+    lexical_blocks.write_block_index(
+        spark.createDataFrame(corpus, "corpus_id string, title string, text string"), str(tmp_path), buckets=3, block_docs=block_docs
+    )
+    index = lexical_blocks.read_block_index(spark, str(tmp_path))
+    known = [(c, t or "", x or "") for c, t, x in corpus if c is not None]
+    want = _bm25(known, [(q, t or "") for q, t in queries], k)
+    assert _lists(lexical_blocks.block_search(index, asked, k)) == want
+    shares = {r["query_id"]: (r["n_matched"], r["n_scored"]) for r in lexical_blocks.block_shares(index, asked, k).collect()}
+    assert all(len(want[q]) <= scored <= matched for q, (matched, scored) in shares.items())
+    if k < 60:
+        assert sum(s for _, s in shares.values()) < sum(m for m, _ in shares.values())
+
+
+def test_block_search_counts_repeated_ids_as_one_document(spark, tmp_path):
+    corpus = [("a", "", "x y"), ("a", "", "x z z"), ("b", "", "x x x"), *[(f"n{i}", "", "x w w w w") for i in range(20)]]
+    docs = spark.createDataFrame(corpus, "corpus_id string, title string, text string")
+    asked = spark.createDataFrame([("q", "x")], "query_id string, text string")
+    lexical_blocks.write_block_index(docs, str(tmp_path), block_docs=2)
+    got = lexical_blocks.block_search(lexical_blocks.read_block_index(spark, str(tmp_path)), asked, 2)
+    want = lexical.bm25_search(lexical.bm25_index(docs), asked, 2)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [tuple(r) for r in want.orderBy("rank").collect()]
+
+
+def test_block_search_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "corpus_id string, title string, text string")
+    asked = spark.createDataFrame([("q", "x")], "query_id string, text string")
+    lexical_blocks.write_block_index(none, str(tmp_path / "none"))
+    assert lexical_blocks.block_search(lexical_blocks.read_block_index(spark, str(tmp_path / "none")), asked, 2).count() == 0
+    some = spark.createDataFrame([("a", "", "x")], "corpus_id string, title string, text string")
+    lexical_blocks.write_block_index(some, str(tmp_path / "some"))
+    assert lexical_blocks.block_search(lexical_blocks.read_block_index(spark, str(tmp_path / "some")), asked.limit(0), 2).count() == 0
+
+
 def test_containment_equals_scan(spark, rows):
     docs = [(1, "the cat\nsat  on the mat"), (2, "the cat sat"), (3, "cat"), (4, "concat sat on"), (5, "")]
     items = [(1, "cat sat"), (2, "the"), (3, "sat on"), (4, "dog"), (5, " "), (6, "the cat")]
