@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.skew import dealt_join
 from rankloom.session import cut_lineage
 
 
@@ -40,6 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     Pairs in either direction and repeated pairs are fine; a null or a pair of equal nodes links nothing.
     """
     edges = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
         edges = cut_lineage(_small_star(_large_star(edges)))
@@ -47,3 +50,18 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = state
+
+
+def joined_by(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after more links ``(a, b)``; ``known`` is what ``components`` gave for those so far.
+
+    Only the new links are walked, between the components that their ends are in already.
+    """
+    of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    if more.isEmpty():
+        return known
+    further = more.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    moved = dealt_join(known, further, ["component"], "node", "left")
+    return cut_lineage(moved.select("node", F.coalesce("further", "component").alias("component")).unionByName(more))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import bloom
 from rankloom.llm.common import HASH_ENTRIES, kept_in_worker, slices, texts
-from rankloom.llm.components import components
+from rankloom.llm.components import components, joined_by
 from rankloom.operators.ordering import number_all
 from rankloom.session import cut_lineage
 
@@ -318,26 +318,32 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
         return cut_lineage(now.join(apart.select("bucket"), "bucket"))
 
     at = None
+    # What is done for links costs the new ones only, and nothing once no bucket holds classes that are apart.
     # Stars: first around each bucket's smallest id, which is the same class in many buckets;
     # then around one by hash, which is another class in every bucket.
     for place in (F.col("rep"), F.xxhash64("bucket", "rep")):
+        if members.isEmpty():
+            break
         leaders = members.groupBy("bucket").agg(F.min_by(F.struct("rep", "at"), place).alias("leader"))
         star = members.join(leaders, "bucket").filter(F.col("at") != F.col("leader.at"))
         pairs = star.select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b")).distinct()
         found = verified(cut_lineage(close(pairs)), docs, classes, words, percent)
-        links = cut_lineage(found if links is None else links.union(found))
-        at = components(links)
+        found = cut_lineage(found)
+        at = joined_by(at, found) if at is not None else components(found if links is None else links.union(found))
         members = relabelled(members, at)
+    if at is None:
+        at = components(links if links is not None else members.select(F.col("rep").alias("a"), F.col("at").alias("b")))
 
     # Classes of one bucket that the stars left apart meet each other, in the first bucket
     # they share.
-    sharp = cut_lineage(sharp_sketches(docs, classes.join(members.select("rep").distinct(), "rep"), words))
-    rows = cut_lineage(members.join(classes.select("rep", "bands"), "rep").join(sharp, "rep").select("bucket", "rep", "at", "bands", "sharp"))
-    near = sketch_distance(F.col("sharp_a"), F.col("sharp_b"), SHARP_BITS) <= sketch_bound(SHARP_FLOOR, SHARP_SAMPLES, SHARP_BITS)
-    common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    crossing = met_in_blocks(rows, ["rep", "at", "bands", "sharp"]).filter(near & (F.get(common, F.lit(0)) == F.col("bucket")))
-    pairs = cut_lineage(crossing.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
-    at = components(links.union(verified(pairs, docs, classes, words, percent)))
+    if not members.isEmpty():
+        sharp = cut_lineage(sharp_sketches(docs, classes.join(members.select("rep").distinct(), "rep"), words))
+        rows = cut_lineage(members.join(classes.select("rep", "bands"), "rep").join(sharp, "rep").select("bucket", "rep", "at", "bands", "sharp"))
+        near = sketch_distance(F.col("sharp_a"), F.col("sharp_b"), SHARP_BITS) <= sketch_bound(SHARP_FLOOR, SHARP_SAMPLES, SHARP_BITS)
+        common = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        crossing = met_in_blocks(rows, ["rep", "at", "bands", "sharp"]).filter(near & (F.get(common, F.lit(0)) == F.col("bucket")))
+        pairs = cut_lineage(crossing.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
+        at = joined_by(at, cut_lineage(verified(pairs, docs, classes, words, percent)))
 
     placed_classes = classes.join(at, F.col("rep") == F.col("node"), "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("component")

@@ -1,5 +1,6 @@
 """Vectors, URLs, quality, languages and the pipeline against plain versions on small tables."""
 
+import random
 import hashlib
 import math
 import zlib
@@ -13,7 +14,7 @@ from public_tokenizers import path
 import corpus_pipeline
 from rankloom.llm import bloom, language, multi_index, quality, url_filter
 from rankloom.llm.catalog import ORACLE_SQL, QUERIES
-from rankloom.llm.components import components
+from rankloom.llm.components import components, joined_by
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double"
 
@@ -93,6 +94,17 @@ def test_empty_vectors(spark):
     assert multi_index.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+def test_components_of_links_in_two_parts(spark):
+    dice = random.Random(5)
+    edges = [tuple(dice.sample(range(60), 2)) for _ in range(45)]
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    pairs = lambda df: sorted((r.node, r.component) for r in df.collect())
+    known = components(frame(edges[:25]))
+    assert pairs(joined_by(known, frame(edges[25:]))) == pairs(components(frame(edges)))
+    assert pairs(joined_by(known, frame(edges[:25]))) == pairs(known)
+    assert pairs(joined_by(components(frame([])), frame(edges[:25]))) == pairs(known)
+
+
 def test_components(spark):
     random = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in random.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(30)]
