@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import beam, prefix
+from rankloom.session import cut_lineage
 
 SEQS = "corpus_id string, tokens array<int>"
 PROBES = "probe_id string, tokens array<int>"
@@ -138,6 +139,25 @@ def test_append_index(spark, small):
     assert allowed(prefix.append_index(first, nothing, 8, probes)) == allowed(prefix.next_tokens(first, probes))
 
 
+@pytest.mark.parametrize("fits", [True, False])
+def test_appended_indexes_are_read_once(spark, small, monkeypatch, fits):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(token):
+        read.add(1)
+        return token
+
+    first = cut_lineage(prefix.build_prefix_index(small)).withColumn("token", seen("token"))
+    second = prefix.build_prefix_index(spark.createDataFrame([("x", [40, 41]), ("y", [42])], SEQS))
+    probes = spark.createDataFrame([("5", [5]), ("8", [5, 6]), ("5/40", [5, 40]), ("again", [5])], PROBES)
+    monkeypatch.setattr(prefix, "fits", lambda df: fits)
+    monkeypatch.setattr(prefix, "_LISTED_ROWS", 1)
+    got = allowed(prefix.append_index(first, second, 8, probes))
+    assert got == {"5": {6, 40, 42}, "again": {6, 40, 42}, "8": {7, -1}, "5/40": {41}}
+    assert read.value == prefix.build_prefix_index(small).count()
+
+
 @pytest.mark.parametrize("longest", [1, 6, 23])
 def test_longest_beginning_by_bisection(spark, longest):
     dice = random.Random(longest)
