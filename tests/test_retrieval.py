@@ -58,6 +58,22 @@ def test_dense_search_is_exact(spark, score, blocked):
     assert _lists(run) == _exhaustive(queries, corpus, 7, score)
 
 
+@pytest.mark.parametrize("values", [16_000_000, 100])
+def test_grid_of_a_table_with_itself(spark, monkeypatch, values):
+    vectors = _vectors(90, 8, 4)
+    monkeypatch.setattr(dense, "_GROUP_VALUES", values)
+    monkeypatch.setattr(dense, "_PRODUCT_CELLS", 200)
+    both = spark.createDataFrame(vectors, VECTORS).repartition(3)
+    assert _lists(dense.dense_search(both, both, 7, "dot", True, 10, 12)) == _exhaustive(vectors, vectors, 7, "dot")
+
+
+def test_grid_sends_each_vector_once_per_group(spark):
+    vectors = spark.createDataFrame(_vectors(200, 8, 5), VECTORS)
+    found = dense._by_grid(vectors, vectors, 3, "dot", 8, 8)
+    groups = found.groupBy("query_id").count().agg(F.max("count")).first()[0]
+    assert groups == 3  # the lists of all blocks of the corpus were merged in the task
+
+
 def test_dense_search_with_many_copies(spark):
     corpus = [(f"c{i:03d}", [1.0, 0.0]) for i in range(200)] + [("z", [2.0, 0.0]), ("none", None)]
     run = dense.dense_search(spark.createDataFrame([("q", [1.0, 0.0])], VECTORS), spark.createDataFrame(corpus, VECTORS), 3)
