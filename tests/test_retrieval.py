@@ -133,6 +133,28 @@ def test_bm25_is_exact(spark, tmp_path, monkeypatch, few):
     assert _lists(lexical.bm25_search(lexical.read_bm25_index(spark, str(tmp_path)), asked, 5)) == want
 
 
+@pytest.mark.parametrize("sizes", [(1, 1, 1, 1), (1000, 1000, 3, 7), (30, 20, 2, 5)])
+def test_bm25_by_products_is_exact(spark, monkeypatch, sizes):
+    dice = random.Random(8)
+    text = lambda n: " ".join(dice.choice("a b c d e f g h i j".split()) for _ in range(n))
+    corpus = [(f"d{i}", text(dice.randint(0, 3)), text(dice.randint(0, 12))) for i in range(60)] + [("q0", "a", "a b")]
+    queries = [(f"q{i}", text(dice.randint(0, 6))) for i in range(9)] + [("q9", "a, A; a! zzz"), (None, "a")]
+    monkeypatch.setattr(lexical, "_JOINED_TERMS", 0)
+    for name, size in zip(("_QUERY_CELLS", "_DOC_CELLS", "_QUERY_TILE", "_DOC_TILE"), sizes):
+        monkeypatch.setattr(lexical, name, size)
+    index = lexical.bm25_index(spark.createDataFrame(corpus, "corpus_id string, title string, text string"))
+    run = lexical.bm25_search(index, spark.createDataFrame(queries, "query_id string, text string"), 5)
+    assert _lists(run) == _bm25(corpus, queries[:-1], 5)
+
+
+def test_bm25_tasks_grow_with_the_corpus(spark, monkeypatch):
+    corpus = spark.createDataFrame([(f"d{i}", "", "a b c") for i in range(40)], "corpus_id string, title string, text string")
+    asked = spark.createDataFrame([("q", "a b")], "query_id string, text string")
+    monkeypatch.setattr(lexical, "TASK_TOKENS", 6)
+    plan = lexical.bm25_search(lexical.bm25_index(corpus), asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [corpus_id" in plan and ", 20" in plan
+
+
 @pytest.mark.parametrize("few, k, block_docs", [(True, 3, 1), (False, 5, 4), (True, 60, 4)])
 def test_block_search_is_exact(spark, tmp_path, monkeypatch, few, k, block_docs):
     dice = random.Random(k)
