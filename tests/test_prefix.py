@@ -311,3 +311,14 @@ def test_hot_keys_are_dealt_to_slices(spark, small, probes, rows, monkeypatch):
     want = rows(prefix.next_tokens(edges, many)), rows(prefix.sequence_documents(outputs, docs).select("query_id", "corpus_id"))
     monkeypatch.setattr(skew, "SLICE_ROWS", 4)
     assert (rows(prefix.next_tokens(edges, many)), rows(prefix.sequence_documents(outputs, docs).select("query_id", "corpus_id"))) == want
+
+
+def test_paths_are_not_shuffled_with_their_beginnings(spark, capsys):
+    dice = random.Random(2)
+    stored = [(f"d{i}", [0, *[dice.choice([3, 4]) for _ in range(dice.randint(1, 12))], 1]) for i in range(60)]
+    found = beam.search_paths(prefix.distinct_paths(spark.createDataFrame(stored, SEQS)))
+    found.explain()
+    assert "hashpartitioning(tokens" not in capsys.readouterr().out
+    paths = {tuple(t) for _, t in stored}
+    parts = {p: {d for d in range(1, len(p)) if d == 1 or any(o[:d] == p[:d] and o[d] != p[d] for o in paths if len(o) > d)} for p in paths}
+    assert {tuple(r["tokens"]): set(r["starts"]) for r in found.collect()} == parts
