@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import re
@@ -155,6 +156,19 @@ def test_bm25_tasks_grow_with_the_corpus(spark, monkeypatch):
     assert "RepartitionByExpression [corpus_id" in plan and ", 20" in plan
 
 
+def test_bm25_deals_texts_and_not_their_terms(spark):
+    """A task that writes to more than 200 partitions holds its rows, which were all occurrences of a split."""
+    corpus = spark.createDataFrame([(f"d{i}", "", "a b c") for i in range(40)], "corpus_id string, title string, text string")
+    asked = spark.createDataFrame([("q", "a b")], "query_id string, text string")
+    plan = lexical.bm25_search(lexical.bm25_index(corpus), asked, 5)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depths = [re.search("[A-Za-z]", line).start() for line in plan]
+    dealt = [i for i, line in enumerate(plan) if "RepartitionByExpression [corpus_id" in line]
+    assert dealt
+    for i in dealt:
+        below = itertools.takewhile(lambda j: depths[j] > depths[i], range(i + 1, len(plan)))
+        assert not any("Generate" in plan[j] for j in below)
+
+
 @pytest.mark.parametrize("few, k, block_docs", [(True, 3, 1), (False, 5, 4), (True, 60, 4)])
 def test_block_search_is_exact(spark, tmp_path, monkeypatch, few, k, block_docs):
     dice = random.Random(k)
