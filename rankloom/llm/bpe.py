@@ -1,8 +1,8 @@
 """Byte-level BPE, encoding and decoding, with a segment tree over pair ranks.
 
 A text is cut into pieces by the vocabulary's fixed pattern. Inside a piece the adjacent
-pairs' ranks are the leaves of a segment tree; its root names the leftmost pair of lowest
-rank, and a merge changes three leaves. A piece of n bytes costs O(n log n), however long
+pairs' ranks are the leaves of a segment tree of wide nodes; its root names the leftmost pair of
+lowest rank, and a merge changes three leaves. A piece of n bytes costs O(n log n), however long
 it is. Pieces seen before come from a bounded cache.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to an
@@ -12,7 +12,9 @@ empty text; equal rows have equal results; extra columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ from rankloom.llm.common import CACHE_ENTRIES, slices, texts
 # Fixed value: how the byte-level vocabulary cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = 1 << 60
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
 
 
 def byte_symbols() -> dict[int, str]:
@@ -35,39 +39,42 @@ def byte_symbols() -> dict[int, str]:
 
 
 class PairTree:
-    """A minimum over leaves with the leftmost leaf that holds it."""
+    """A minimum over leaves with the leftmost leaf that holds it.
+
+    A node stands for ``WIDE`` of the level below, so the leaves of a usual piece are one node.
+    """
+
+    WIDE = 32
 
     def __init__(self, ranks: list[int]):
-        size = 1
-        while size < len(ranks):
-            size *= 2
-        self.size = size
-        self.nodes = nodes = [NONE] * size + ranks + [NONE] * (size - len(ranks))
-        for at in range(size - 1, 0, -1):
-            left, right = nodes[2 * at], nodes[2 * at + 1]
-            nodes[at] = left if left <= right else right
+        wide = self.WIDE
+        self.levels = levels = [ranks]
+        while len(levels[-1]) > wide:
+            below = levels[-1]
+            levels.append([min(below[at : at + wide]) for at in range(0, len(below), wide)])
+        self.top = levels[-1]
 
     def lowest(self) -> int:
-        return self.nodes[1]
+        return min(self.top)
 
-    def leftmost(self) -> int:
-        nodes, at, size, low = self.nodes, 1, self.size, self.nodes[1]
-        while at < size:
-            at *= 2
-            if nodes[at] != low:
-                at += 1
-        return at - size
+    def leftmost(self, low: int | None = None) -> int:
+        """The first leaf that holds the minimum, which may be given."""
+        low, wide = min(self.top) if low is None else low, self.WIDE
+        at = self.top.index(low)
+        for level in self.levels[-2::-1]:
+            at = level.index(low, at * wide, at * wide + wide)
+        return at
 
     def put(self, leaf: int, rank: int) -> None:
-        nodes, at = self.nodes, leaf + self.size
-        nodes[at] = rank
-        while at > 1:
-            at //= 2
-            left, right = nodes[2 * at], nodes[2 * at + 1]
-            low = left if left <= right else right
-            if nodes[at] == low:
+        below, wide, at = self.levels[0], self.WIDE, leaf
+        below[at] = rank
+        for level in self.levels[1:]:
+            at //= wide
+            low = min(below[at * wide : at * wide + wide])
+            if level[at] == low:
                 return
-            nodes[at] = low
+            level[at] = low
+            below = level
 
 
 class Vocabulary:
@@ -77,9 +84,10 @@ class Vocabulary:
         ids = whole["model"]["vocab"]
         symbols = byte_symbols()
         self.of_byte = [ids[symbols[b]] for b in range(256)]
-        self.merges = {}
+        # A pair's rank and, below it, the id that the pair becomes: one number that orders as the rank.
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, (left, right) in enumerate(m if isinstance(m, list) else m.split(" ") for m in whole["model"]["merges"]):
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.merges[ids[left], ids[right]] = rank << ID_BITS | ids[left + right]
         self.added = {token["content"]: token["id"] for token in whole["added_tokens"]}
         back = {symbol: b for b, symbol in symbols.items()}
         self.bytes_of = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
@@ -93,32 +101,32 @@ class Vocabulary:
 
     def merge(self, piece: str) -> bytes:
         """Ids as little-endian 32-bit bytes."""
-        ids = [self.of_byte[b] for b in piece.encode()]
-        n, merges = len(ids), self.merges
+        ids = list(map(self.of_byte.__getitem__, piece.encode()))
+        n, merged = len(ids), self.merges.get
         if n == 1:
             return ids[0].to_bytes(4, "little")
-        found = [merges.get(pair) for pair in zip(ids, ids[1:])]
-        tree = PairTree([f[0] if f else NONE for f in found])
+        leaves = list(map(merged, zip(ids, ids[1:]), itertools.repeat(NONE)))
+        tree = PairTree(leaves)
+        # A tree of one node is its leaves: found and written without a call.
+        leftmost, put, top = (leaves.index, leaves.__setitem__, leaves) if tree.top is leaves else (tree.leftmost, tree.put, tree.top)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while tree.lowest() != NONE:
-            at = tree.leftmost()
+        while (low := min(top)) != NONE:
+            at = leftmost(low)
             gone = after[at]
-            ids[at] = merges[ids[at], ids[gone]][1]
+            ids[at] = new = low & ID_MASK
             ids[gone] = -1
-            follow = after[gone]
-            after[at] = follow
-            if gone < n - 1:
-                tree.put(gone, NONE)
+            after[at] = follow = after[gone]
             if follow < n:
                 before[follow] = at
-                right = merges.get((ids[at], ids[follow]))
-                tree.put(at, right[0] if right else NONE)
+                put(gone, NONE)
+                put(at, merged((new, ids[follow]), NONE))
             else:
-                tree.put(at, NONE)
-            if before[at] >= 0:
-                left = merges.get((ids[before[at]], ids[at]))
-                tree.put(before[at], left[0] if left else NONE)
-        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+                put(at, NONE)
+            ahead = before[at]
+            if ahead >= 0:
+                put(ahead, merged((ids[ahead], new), NONE))
+        left = [i for i in ids if i >= 0]
+        return struct.pack(f"<{len(left)}I", *left)
 
     def encode(self, text: str) -> np.ndarray:
         if self.around_added is not None and any(token in text for token in self.added):
@@ -130,7 +138,10 @@ class Vocabulary:
 
     def _plain(self, text: str) -> bytes:
         pieces, known = self.pieces(text), self.known
-        new = set(pieces).difference(known)
+        found = list(map(known.get, pieces))
+        if all(found):
+            return b"".join(found)
+        new = {piece for piece, ids in zip(pieces, found) if ids is None}
         if len(known) + len(new) > CACHE_ENTRIES:
             known.clear()
             new = set(pieces)

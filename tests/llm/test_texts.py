@@ -106,6 +106,19 @@ def test_pair_tree_finds_the_leftmost_lowest():
             tree.put(at, rank)
 
 
+@pytest.mark.parametrize("n", [1, 32, 33, 1024, 1025, 3000])
+def test_pair_tree_of_wide_nodes(n):
+    """The leaves of a usual piece are one node; many leaves have few levels."""
+    random = np.random.default_rng(n)
+    ranks = random.integers(0, 9, n).tolist()
+    tree = bpe.PairTree(list(ranks))
+    assert len(tree.levels) == 1 + (n > 32) + (n > 1024)
+    for at, rank in zip(random.integers(0, n, 200).tolist(), random.integers(0, 1000, 200).tolist()):
+        assert (tree.lowest(), tree.leftmost()) == (min(ranks), ranks.index(min(ranks)))
+        ranks[at] = rank
+        tree.put(at, rank)
+
+
 @pytest.mark.parametrize("which", ["odd", "given"])
 def test_packing(request, which):
     df, file = request.getfixturevalue(which), path("word_bpe_49k.json")
