@@ -192,6 +192,22 @@ def test_block_search_is_exact(spark, tmp_path, monkeypatch, few, k, block_docs)
         assert sum(s for _, s in shares.values()) < sum(m for m, _ in shares.values())
 
 
+@pytest.mark.parametrize("sizes", [(1, 1, 2, 3), (50, 4, 512, 8192)])
+def test_block_search_joins_no_query_with_postings(spark, tmp_path, monkeypatch, sizes):
+    """Blocks that are left are scored as products in groups of bounded size, not as a row per query, document and term."""
+    dice = random.Random(4)
+    text = lambda n: " ".join(f"w{min(int(dice.expovariate(0.2)), 30)}" for _ in range(n))
+    corpus = [(f"d{i}", text(dice.randint(0, 3)), text(dice.randint(0, 25))) for i in range(150)]
+    queries = [(f"q{i}", text(dice.randint(1, 6))) for i in range(9)]
+    for name, size in zip(("GROUP_POSTINGS", "GROUP_PAIRS", "_QUERY_TILE", "_DOC_TILE"), sizes):
+        monkeypatch.setattr(lexical_blocks, name, size)
+    lexical_blocks.write_block_index(spark.createDataFrame(corpus, "corpus_id string, title string, text string"), str(tmp_path), block_docs=2)
+    asked = spark.createDataFrame(queries, "query_id string, text string")
+    run = lexical_blocks.block_search(lexical_blocks.read_block_index(spark, str(tmp_path)), asked, 3)
+    assert "FlatMapCoGroupsInArrow" in run._jdf.queryExecution().optimizedPlan().toString()
+    assert _lists(run) == _bm25(corpus, queries, 3)
+
+
 def test_block_search_counts_repeated_ids_as_one_document(spark, tmp_path):
     corpus = [("a", "", "x y"), ("a", "", "x z z"), ("b", "", "x x x"), *[(f"n{i}", "", "x w w w w") for i in range(20)]]
     docs = spark.createDataFrame(corpus, "corpus_id string, title string, text string")
