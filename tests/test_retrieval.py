@@ -169,6 +169,20 @@ def test_bm25_deals_texts_and_not_their_terms(spark):
         assert not any("Generate" in plan[j] for j in below)
 
 
+def test_bm25_streams_texts_to_few_partitions_before_many(spark, monkeypatch):
+    """The task of a row group dealt to more partitions than Spark streams to held all its texts."""
+    corpus = [(f"d{i}", "", "a b c " * (i % 3)) for i in range(60)]
+    asked = [("q", "a b")]
+    monkeypatch.setattr(lexical, "TASK_TOKENS", 6)
+    monkeypatch.setattr(lexical, "_STREAMED", 5)
+    index = lexical.bm25_index(spark.createDataFrame(corpus, "corpus_id string, title string, text string"))
+    run = lexical.bm25_search(index, spark.createDataFrame(asked, "query_id string, text string"), 5)
+    assert _lists(run) == _bm25(corpus, asked, 5)
+    plan = run._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    exchanges = [line.rsplit(", ", 1)[1].strip() for line in plan if "RepartitionByExpression" in line]
+    assert exchanges == ["30", "5"] * (len(exchanges) // 2) and exchanges
+
+
 @pytest.mark.parametrize("few, k, block_docs", [(True, 3, 1), (False, 5, 4), (True, 60, 4)])
 def test_block_search_is_exact(spark, tmp_path, monkeypatch, few, k, block_docs):
     dice = random.Random(k)
