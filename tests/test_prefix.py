@@ -295,6 +295,19 @@ def test_full_width_search_is_exhaustive(spark):
     assert run.count() == 54
 
 
+def test_edges_of_the_start_are_dealt_to_tasks(spark, monkeypatch):
+    """One task met all of them, of one file, with every query."""
+    monkeypatch.setattr(beam, "_FIRST_EDGES", 2)
+    sequences = spark.createDataFrame([(f"d{i}", [0, 3 + i, 1]) for i in range(40)], "corpus_id string, tokens array<int>")
+    index = beam.stored_search_index(sequences)
+    dealt = beam.round_edges(index, [1])
+    assert sorted(dealt.collect()) == sorted(index.edges.filter("depth = 1").collect())
+    assert dealt.rdd.getNumPartitions() == 20
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 8
+    found = beam.constrained_beam_search(index, spark.createDataFrame([("q", [7, 9])], "query_id string, tokens array<int>"), 3)
+    assert [list(r["tokens"]) for r in found.orderBy("rank").collect()] == [[0, 7, 1], [0, 9, 1], [0, 3, 1]]
+
+
 def test_search_in_an_empty_index(spark, small):
     queries = spark.createDataFrame([("q", [4])], "query_id string, tokens array<int>")
     empty = beam.stored_search_index(small.filter("false"))
