@@ -1,11 +1,12 @@
 import itertools
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import beam, prefix
-from rankloom.session import cut_lineage
+from rankloom.session import cut_lineage, recorded_steps
 
 SEQS = "corpus_id string, tokens array<int>"
 PROBES = "probe_id string, tokens array<int>"
@@ -308,6 +309,33 @@ def test_edges_of_the_start_are_dealt_to_tasks(spark, monkeypatch):
     assert [list(r["tokens"]) for r in found.orderBy("rank").collect()] == [[0, 7, 1], [0, 9, 1], [0, 3, 1]]
 
 
+@pytest.mark.parametrize("policy", ["stop", "pass"])
+def test_search_paths_over_many_partitions(spark, monkeypatch, policy):
+    """What a partition's paths share with those of others; a path walked alone or at the edge counts as any other."""
+    paths = {tuple(t) for _, t in _nested_table(7)}
+    monkeypatch.setattr(beam, "_in_order", lambda df: df.repartitionByRange(9, "tokens").sortWithinPartitions("tokens"))
+    if policy == "stop":
+        kept = {p for p in paths if not any(q != p and q == p[: len(q)] for q in paths)}
+    else:
+        kept = {(*p, -1) if any(q != p and p == q[: len(p)] for q in paths) else p for p in paths}
+    found = beam.search_paths(spark.createDataFrame([(list(p),) for p in paths], "tokens array<int>"), policy).collect()
+    assert {tuple(r["tokens"]) for r in found} == kept and len(found) == len(kept)
+    for r in found:
+        p = tuple(r["tokens"])
+        assert r["starts"] == [d for d in range(1, len(p)) if d == 1 or any(q[:d] == p[:d] and q[d] != p[d] for q in kept if len(q) > d)]
+        assert r["counts"] == [sum(q[: d + 1] == p[: d + 1] for q in kept) for d in r["starts"]]
+    ordered = sorted(found, key=lambda r: r["p"])
+    shared = [sum(1 for _ in itertools.takewhile(lambda t: t[0] == t[1], zip(a["tokens"], b["tokens"]))) for a, b in zip(ordered, ordered[1:])]
+    assert [r["before"] for r in ordered[1:]] == shared
+
+
+def test_an_index_leaves_its_tables_only(spark, tmp_path):
+    """Steps and shuffle files of the build stayed until the session ended."""
+    with recorded_steps() as steps:
+        beam.write_search_index(spark.createDataFrame(_nested_table(3), SEQS), str(tmp_path / "index"))
+    assert len(steps) >= 5 and not any(os.path.exists(step) and any(f.endswith(".parquet") for f in os.listdir(step)) for step in steps)
+
+
 def test_search_in_an_empty_index(spark, small):
     queries = spark.createDataFrame([("q", [4])], "query_id string, tokens array<int>")
     empty = beam.stored_search_index(small.filter("false"))
