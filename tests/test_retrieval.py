@@ -1,4 +1,5 @@
 import collections
+import glob
 import itertools
 import math
 import random
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import dense, lexical, lexical_blocks
+from rankloom.session import recorded_steps
 from rankloom.sources import collection as files
 from rankloom.sources import store
 from rankloom.sources.tables import containing_documents
@@ -222,6 +224,26 @@ def test_block_search_joins_no_query_with_postings(spark, tmp_path, monkeypatch,
     assert _lists(run) == _bm25(corpus, queries, 3)
 
 
+def test_a_block_index_leaves_its_tables_only(spark, tmp_path):
+    """All postings stayed beside the index as a step, as did what was shuffled to sort them."""
+    corpus = spark.createDataFrame([(f"d{i}", "", f"x w{i % 5}") for i in range(40)], "corpus_id string, title string, text string")
+    with recorded_steps() as steps:
+        lexical_blocks.write_block_index(corpus, str(tmp_path / "blocks"))
+    left = [spark.read.parquet(step).columns for step in steps if glob.glob(f"{step}/*.parquet")]
+    assert steps and not any("factor" in columns for columns in left)
+
+
+def test_the_grid_shuffles_its_lists_once(spark, monkeypatch):
+    """The lists of all groups of documents were shuffled by slices first, and cut to nothing less there."""
+    monkeypatch.setattr(lexical, "_JOINED_TERMS", 0)
+    corpus = spark.createDataFrame([(f"d{i}", "", f"a w{i}") for i in range(40)], "corpus_id string, title string, text string")
+    run = lexical.bm25_search(lexical.bm25_index(corpus), spark.createDataFrame([("q", "a w3")], "query_id string, text string"), 5)
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("FlatMapCoGroupsInArrow")[0]
+    assert above.count("Exchange hashpartitioning") == 1
+    assert [r["corpus_id"] for r in run.orderBy("rank").collect()] == ["d3", "d9", "d8", "d7", "d6"]
+
+
 def test_block_search_counts_repeated_ids_as_one_document(spark, tmp_path):
     corpus = [("a", "", "x y"), ("a", "", "x z z"), ("b", "", "x x x"), *[(f"n{i}", "", "x w w w w") for i in range(20)]]
     docs = spark.createDataFrame(corpus, "corpus_id string, title string, text string")
